@@ -18,9 +18,10 @@ class RobustGraph:
     ``entries`` the number of spread points where searches may begin. Everything is deterministic.
     """
 
-    def __init__(self, vectors: np.ndarray, degree: int = 12, beam: int = 16, alpha: float = 1.2, entries: int | None = None, batch: int = 1024, width: int = 4):
+    def __init__(self, vectors: np.ndarray, degree: int = 12, beam: int = 16, alpha: float = 1.2, entries: int | None = None, batch: int = 512, width: int = 8):
         self.x = np.ascontiguousarray(vectors, dtype=np.float32)
         self.n, self.degree, self.alpha, self.width = len(vectors), degree, alpha, width
+        self.flat = np.int32 if batch * self.n < 2**31 else np.int64
         self.edges = np.full((self.n, degree), -1, dtype=np.int32)
         self.far = np.full((self.n, degree), np.inf, dtype=np.float32)
         order = np.random.default_rng(0).permutation(self.n).astype(np.int32)
@@ -46,12 +47,12 @@ class RobustGraph:
         target, source = target[order], source[order]
         touched, start = np.unique(target, return_index=True)
         rank = np.arange(len(target)) - np.repeat(start, np.diff(np.append(start, len(target))))
-        keep = rank < 2 * self.degree
-        back = np.full((len(touched), min(2 * self.degree, int(rank.max(initial=0)) + 1)), -1, dtype=np.int32)
+        keep = rank < self.degree
+        back = np.full((len(touched), min(self.degree, int(rank.max(initial=0)) + 1)), -1, dtype=np.int32)
         back[np.searchsorted(touched, target[keep]), rank[keep]] = source[keep]
         self.edges[touched], self.far[touched] = self._prune(touched, np.concatenate([self.edges[touched], back], axis=1))
 
-    def _prune(self, nodes: np.ndarray, candidates: np.ndarray, step: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    def _prune(self, nodes: np.ndarray, candidates: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """Robust pruning of a row of candidates for each node; -1 is no candidate."""
         if len(nodes) > step:
             parts = [self._prune(nodes[i : i + step], candidates[i : i + step]) for i in range(0, len(nodes), step)]
@@ -59,23 +60,22 @@ class RobustGraph:
         c = np.sort(candidates, axis=1)
         c[:, 1:][c[:, 1:] == c[:, :-1]] = -1
         v = self.x[c]
-        d = 1 - np.einsum("bd,bkd->bk", self.x[nodes], v)
+        d = 1 - np.matmul(v, self.x[nodes][:, :, None])[:, :, 0]
         d[c < 0] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")
-        rows = np.arange(len(nodes))
-        c, d, v = np.take_along_axis(c, order, 1), np.take_along_axis(d, order, 1), v[rows[:, None], order]
-        between = 1 - np.matmul(v, v.transpose(0, 2, 1))
-        alive = np.isfinite(d)
-        edges, far, filled = np.full((len(nodes), self.degree), -1, np.int32), np.full((len(nodes), self.degree), np.inf, np.float32), np.zeros(len(nodes), np.int64)
-        for _ in range(self.degree):
-            some = np.nonzero(alive.any(axis=1))[0]
-            if not len(some):
+        between = np.matmul(v, v.transpose(0, 2, 1))
+        np.subtract(1, between, out=between)
+        between *= self.alpha
+        left, rows = d.copy(), np.arange(len(nodes))
+        edges, far = np.full((len(nodes), self.degree), -1, np.int32), np.full((len(nodes), self.degree), np.inf, np.float32)
+        for slot in range(self.degree):
+            best = left.argmin(axis=1)
+            near = left[rows, best]
+            some = np.isfinite(near)
+            if not some.any():
                 break
-            best = alive[some].argmax(axis=1)
-            edges[some, filled[some]], far[some, filled[some]] = c[some, best], d[some, best]
-            filled[some] += 1
-            alive[some] &= self.alpha * between[some, best] > d[some]
-            alive[some, best] = False
+            edges[some, slot], far[some, slot] = c[rows[some], best[some]], near[some]
+            left[between[rows, best] <= d] = np.inf
+            left[rows, best] = np.inf
         return edges, far
 
     def search(self, queries: np.ndarray, beam: int, starts: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +103,7 @@ class RobustGraph:
         ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
         done = ~np.isfinite(dist)
         out_ids, out_dist = ids.copy(), dist.copy()
-        live = rows
+        live, place = rows, rows.copy()
         q = queries
         while True:
             go = ~done.all(axis=1)
@@ -113,6 +113,7 @@ class RobustGraph:
                 live, ids, dist, done, q = live[go], ids[go], dist[go], done[go], q[go]
                 if not len(live):
                     return out_ids, out_dist
+                place[live] = np.arange(len(live))
             width = min(self.width, beam)
             pick = np.argsort(done, axis=1, kind="stable")[:, :width]
             fresh = ~np.take_along_axis(done, pick, 1)
@@ -123,14 +124,15 @@ class RobustGraph:
             near = near.reshape(len(live), -1)
             row, slot = np.nonzero(near >= 0)
             target = near[row, slot]
-            flat = live[row] * self.n + target
-            new = ~seen.reshape(-1)[flat]
-            row, target, flat = row[new], target[new], flat[new]
-            flat, once = np.unique(flat, return_index=True)
-            row, target = row[once], target[once]
-            seen.reshape(-1)[flat] = True
-            if not len(row):
+            flat = (live[row] * self.n + target).astype(self.flat)
+            flat = flat[~seen.reshape(-1)[flat]]
+            if not len(flat):
                 continue
+            flat = np.sort(flat)
+            flat = flat[np.concatenate([[True], flat[1:] != flat[:-1]])]
+            at, target = np.divmod(flat, self.n)
+            row = place[at]
+            seen.reshape(-1)[flat] = True
             found = 1 - np.einsum("kd,kd->k", self.x[target], q[row])
             worth = found < dist[row, -1]
             row, target, found = row[worth], target[worth], found[worth]
@@ -142,7 +144,7 @@ class RobustGraph:
             new_ids, new_dist = np.full((len(live), more), -1, np.int32), np.full((len(live), more), np.inf, np.float32)
             new_ids[row, column], new_dist[row, column] = target, found
             all_dist = np.concatenate([dist, new_dist], axis=1)
-            order = np.argsort(all_dist, axis=1, kind="stable")[:, :beam]
+            order = np.argsort(all_dist, axis=1)[:, :beam]
             dist = np.take_along_axis(all_dist, order, 1)
             ids = np.take_along_axis(np.concatenate([ids, new_ids], axis=1), order, 1)
             done = np.take_along_axis(np.concatenate([done, np.zeros((len(live), more), bool)], axis=1), order, 1) | ~np.isfinite(dist)

@@ -21,7 +21,7 @@ SHARD, SHARD_MOST, SHARDS_MOST = 8000, 48_000, 8192
 SAMPLE, PER_CENTRE = 20_000, 16
 #: A vector also enters the shards whose centre is at most ``MARGIN`` less similar than its best, ``REPLICAS`` shards at most.
 MARGIN, REPLICAS = 0.08, 3
-DEGREE, BEAM, QUERY_BEAM, ENTRIES, WIDTH = 16, 16, 16, 1024, 8
+DEGREE, BEAM, QUERY_BEAM, ENTRIES, WIDTH = 16, 12, 12, 1024, 8
 
 _MEMBER = "shard int, part int, class binary, unit binary, indexed boolean"
 
