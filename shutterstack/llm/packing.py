@@ -106,7 +106,8 @@ def pack(items: DataFrame, capacities: DataFrame, shard_items: int = SHARD_ITEMS
     """
     spark = items.sparkSession
     ship_package(spark)
-    sizes = items.where("doc_id is not null").groupBy("doc_id").agg(F.max("n_tokens").cast("long").alias("n_tokens"))
+    # written down: measuring the items may be most of the work, and they are needed twice
+    sizes = checkpointed(items.where("doc_id is not null").groupBy("doc_id").agg(F.max("n_tokens").cast("long").alias("n_tokens")))
     usable = capacities.where("capacity_id is not null and capacity_tokens >= 1").select(F.col("capacity_id").cast("long").alias("capacity_id"), F.col("capacity_tokens").cast("int").alias("capacity_tokens")).distinct()
     asked = usable.limit(MOST_CAPACITIES + 1).collect()
     if len(asked) > MOST_CAPACITIES:
