@@ -192,7 +192,8 @@ def mixture(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, blo
         before = before + np.array(r["n"], np.int64)
     held = spark.sparkContext.broadcast(starts)
     slots = spark.range(groups).mapInPandas(lambda batches: _slots(batches, sources, held.value, total, shard, seed), "shard_no long, slot_no long, source string, block_no long, repeat_no long")
-    return slots.join(blocks, ["source", "block_no"]).select("shard_no", "slot_no", "source", "block_no", "repeat_no", "n_tokens", "pieces")
+    # the slots' size can't be told from the group numbers they are made of, so neither side may be broadcast
+    return slots.hint("merge").join(blocks, ["source", "block_no"]).select("shard_no", "slot_no", "source", "block_no", "repeat_no", "n_tokens", "pieces")
 
 
 def _targets(targets: DataFrame) -> DataFrame:
