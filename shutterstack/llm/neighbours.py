@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shutterstack.llm.graph import RobustGraph
 from shutterstack.operators.current import live_rows
-from shutterstack.session import checkpointed, ship_package
+from shutterstack.session import broadcast_if_small, checkpointed, ship_package
 
 #: Distinct vectors aimed at per shard before replication, a shard's most members, and the most shards.
 SHARD, SHARD_MOST, SHARDS_MOST = 8000, 48_000, 8192
@@ -23,7 +23,7 @@ SAMPLE, PER_CENTRE = 20_000, 16
 MARGIN, REPLICAS = 0.08, 3
 DEGREE, BEAM, QUERY_BEAM, ENTRIES, WIDTH = 16, 12, 12, 1024, 8
 
-_MEMBER = "shard int, part int, class binary, unit binary, indexed boolean"
+_MEMBER = "shard int, part int, id string, n long, unit binary, indexed boolean"
 
 
 def _unit_batches(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
@@ -77,16 +77,15 @@ def shards_of(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _assigned(batches: Iterator[pa.RecordBatch], centres: np.ndarray, parts: np.ndarray, dim: int) -> Iterator[pa.RecordBatch]:
     """Every vector once for each shard it belongs to; where a shard has several parts it is indexed in one and a query in all."""
     for batch in batches:
-        classes, units = batch.column("class").to_pylist(), batch.column("unit").to_pylist()
-        row, shard = shards_of(_matrix(units, dim), centres)
-        row, shard, part = (np.repeat(a, parts[shard]) for a in (row, shard, np.zeros(len(shard), np.int64)))
-        if len(row):
-            new = np.concatenate([[True], (row[1:] != row[:-1]) | (shard[1:] != shard[:-1])])
-            first = np.nonzero(new)[0]
-            part = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+        classes, units = batch.column("class").to_pylist(), batch.column("unit")
+        row, shard = shards_of(_matrix(units.to_pylist(), dim), centres)
+        each = parts[shard]
+        part = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        row, shard = np.repeat(row, each), np.repeat(shard, each)
         own = np.array([int.from_bytes(c[8:12], "little") for c in classes], np.int64)[row] % parts[shard]
+        at = pa.array(row)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(shard.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array([classes[i] for i in row], pa.binary()), pa.array([units[i] for i in row], pa.binary()), pa.array(part == own)], names=["shard", "part", "class", "unit", "indexed"]
+            [pa.array(shard.astype(np.int32)), pa.array(part.astype(np.int32)), batch.column("id").take(at), batch.column("n").take(at), units.take(at), pa.array(part == own)], names=["shard", "part", "id", "n", "unit", "indexed"]
         )
 
 
@@ -111,31 +110,33 @@ def search_shard(x: np.ndarray, indexed: np.ndarray, k: int) -> Iterator[tuple[n
             yield q[row], base[ids[row, slot]], dist[row, slot]
 
 
-def similar_classes(classes: DataFrame, dim: int, k: int, least: float) -> DataFrame:
-    """Rows ``(class, other, cosine)``: for each distinct vector up to ``k`` most similar others found, of at least ``least``."""
-    spark = classes.sparkSession
-    n = classes.count()
-    shards = min(SHARDS_MOST, max(1, -(-n // SHARD)))
+def similar_classes(vectors: DataFrame, rows: int, dim: int, k: int, least: float) -> DataFrame:
+    """Rows ``(id, n, other, other_n, cosine)``: for each of the distinct ``vectors(id, n, class, unit)`` up to ``k`` most similar others found, of at least ``least``."""
+    spark = vectors.sparkSession
+    shards = min(SHARDS_MOST, max(1, -(-rows // SHARD)))
     # classes are digests, so the smallest ones are a random sample
-    sample = _matrix([r[0] for r in classes.orderBy("class").limit(max(SAMPLE, PER_CENTRE * shards)).select("unit").toLocalIterator()], dim)
+    sample = _matrix([r[0] for r in vectors.orderBy("class").limit(max(SAMPLE, PER_CENTRE * shards)).select("unit").toLocalIterator()], dim)
     centres = fit_centres(sample, shards) if len(sample) else np.zeros((1, dim), np.float32)
-    members = np.bincount(shards_of(sample, centres)[1], minlength=len(centres)) * (n / max(1, len(sample)))
+    members = np.bincount(shards_of(sample, centres)[1], minlength=len(centres)) * (rows / max(1, len(sample)))
     parts = np.maximum(1, np.ceil(members / SHARD_MOST)).astype(np.int64)
     held = spark.sparkContext.broadcast((centres, parts))
-    placed = classes.select("class", "unit").mapInArrow(lambda batches: _assigned(batches, *held.value, dim), _MEMBER)
+    placed = vectors.select("id", "n", "class", "unit").mapInArrow(lambda batches: _assigned(batches, *held.value, dim), _MEMBER)
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("class", kind="stable")
-        x, key = _matrix(frame["unit"], dim), frame["class"].to_numpy()
+        frame = frame.sort_values("id", kind="stable")
+        x, key, n = _matrix(frame["unit"], dim), frame["id"].to_numpy(), frame["n"].to_numpy()
         found = []
         for q, p, d in search_shard(x, frame["indexed"].to_numpy(), k):
             near = d <= 1 - least + 1e-4
             q, p = q[near], p[near]
-            cosine = np.einsum("kd,kd->k", x[q].astype(np.float64), x[p].astype(np.float64))
-            found.append(pd.DataFrame({"class": key[q], "other": key[p], "cosine": cosine})[cosine >= least])
-        return pd.concat(found) if found else pd.DataFrame({"class": [], "other": [], "cosine": []})
+            # the same pair found in two shards has to compare equal
+            cosine = np.round(np.einsum("kd,kd->k", x[q].astype(np.float64), x[p].astype(np.float64)), 12)
+            found.append(pd.DataFrame({"id": key[q], "n": n[q], "other": key[p], "other_n": n[p], "cosine": cosine})[cosine >= least])
+        return pd.concat(found) if found else pd.DataFrame({"id": [], "n": [], "other": [], "other_n": [], "cosine": []})
 
-    return placed.groupBy("shard", "part").applyInPandas(search, "class binary, other binary, cosine double")
+    # three partitions for each graph, so that few tasks get more than one
+    placed = placed.repartition(3 * int(parts.sum()), "shard", "part")
+    return placed.groupBy("shard", "part").applyInPandas(search, "id string, n long, other string, other_n long, cosine double")
 
 
 def most_similar(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = 64) -> DataFrame:
@@ -154,23 +155,26 @@ def most_similar(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int =
     ship_package(vectors.sparkSession)
     rows = vectors.where("id is not null").select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("embedding")).where(F.size("embedding") == dim)
     units = checkpointed(rows.mapInArrow(lambda batches: _unit_batches(batches, dim), "id string, class binary, unit binary"))
-    classes = checkpointed(units.groupBy("class").agg(F.first("unit").alias("unit"), F.count("*").alias("n")))
-    near = similar_classes(classes, dim, k, least)
-    best = Window.partitionBy("class").orderBy(F.desc("cosine"), "other")
-    near = checkpointed(near.distinct().withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= k).drop("_rank"))
     members = units.select("class", "id")
-    shared = classes.where("n > 1").select("class", "n")
-    # the first k + 1 members of every class stand for it; only copies need ranking
-    lead = Window.partitionBy("class").orderBy("id")
-    alone = members.join(shared, "class", "left_anti")
-    copies = members.join(shared, "class")
-    leaders = copies.withColumn("_rank", F.row_number().over(lead)).where(F.col("_rank") <= k + 1).select("class", "id")
-    own = copies.join(leaders.select("class", F.col("id").alias("other")), "class").where("id <> other").select("id", "other", F.lit(1.0).alias("cosine"))
-    seekers = alone.unionByName(copies.where(F.col("n") <= k).select("class", "id"))
-    first = alone.unionByName(leaders).select(F.col("class").alias("_class"), F.col("id").alias("_other"))
-    apart = seekers.join(near, "class").join(first, F.col("other") == F.col("_class")).select("id", F.col("_other").alias("other"), "cosine")
-    ranked = own.unionByName(apart).withColumn("_rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other")))
-    return ranked.where((F.col("_rank") <= k) & (F.col("cosine") >= least)).drop("_rank")
+    shared = members.groupBy("class").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    copies = checkpointed(members.join(broadcast_if_small(shared), "class").select("id", "lead", "n"))
+    # of equal vectors the row with the smallest id stands in the index for all
+    leading = units.join(broadcast_if_small(copies), "id", "left").where("lead is null or id = lead").select("id", F.coalesce("n", F.lit(1)).alias("n"), "class", "unit")
+    # at most k rows from each of the few shards a vector was searched in
+    ordered = F.sort_array(F.collect_set(F.struct((-F.col("cosine")).alias("c"), "other", "other_n")))
+    near = checkpointed(similar_classes(leading, units.count(), dim, k, least).groupBy("id", "n").agg(F.slice(ordered, 1, k).alias("near")))
+    plain = (F.col("n") == 1) & F.forall("near", lambda x: x["other_n"] == 1)
+    alone = near.where(plain).select("id", F.inline("near")).select("id", "other", (-F.col("c")).alias("cosine"))
+    # where copies are involved they have to be counted among the k
+    rank = F.row_number().over(Window.partitionBy("lead").orderBy("id"))
+    first = copies.withColumn("_rank", rank).where(F.col("_rank") <= k + 1).select("lead", F.col("id").alias("_member"))
+    own = copies.join(first, "lead").where("id <> _member").select("id", F.col("_member").alias("other"), F.lit(1.0).alias("cosine"))
+    mixed = near.where(~plain)
+    few = mixed.where(F.col("n").between(2, k)).join(copies.select(F.col("id").alias("_id"), F.col("lead").alias("id")), "id").select(F.col("_id").alias("id"), "near")
+    seekers = mixed.where("n = 1").select("id", "near").unionByName(few).select("id", F.inline("near"))
+    apart = seekers.where("other_n = 1").select("id", "other", "c").unionByName(seekers.where("other_n > 1").join(first, F.col("other") == F.col("lead")).select("id", F.col("_member").alias("other"), "c"))
+    both = own.unionByName(apart.select("id", "other", (-F.col("c")).alias("cosine"))).withColumn("_rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other")))
+    return alone.unionByName(both.where((F.col("_rank") <= k) & (F.col("cosine") >= least)).drop("_rank"))
 
 
 def similar_media(media: DataFrame, k: int = 5, least: float = 0.88, dim: int = 64) -> DataFrame:
