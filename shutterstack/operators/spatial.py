@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from shutterstack.functions.vptree import VPTree, angle, unit_vectors
 from shutterstack.operators.current import live_rows
-from shutterstack.session import checkpointed, ship_package
+from shutterstack.session import checkpointed, drawn, ship_package
 
 #: Radius of the sphere, in metres.
 EARTH_M = 6371008.8
@@ -137,9 +137,10 @@ def choose_pivots(places: DataFrame, per_cell: int = CELL, most: int = MOST_PIVO
     Drawn evenly from distinct locations they follow the density, so a city gets as many cells as its
     share of locations; copies of one location count once. The driver holds at most ``most`` rows.
     """
-    n = min(most, max(1, -(-places.count() // per_cell)))
-    drawn = places.orderBy(F.xxhash64("lat", "lon"), "lat", "lon").limit(n).select("lat", "lon").toPandas()
-    return unit_vectors(drawn["lat"], drawn["lon"])
+    total = places.count()
+    n = min(most, max(1, -(-total // per_cell)))
+    found = drawn(places.select("lat", "lon"), F.xxhash64("lat", "lon"), n, total).toPandas()
+    return unit_vectors(found["lat"], found["lon"])
 
 
 def spatial_join(
