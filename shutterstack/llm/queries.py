@@ -77,9 +77,10 @@ WITH s AS ({P2_SQL}), v AS (SELECT lower(trim(file_hash, {SPACE_SQL})) AS file_h
 SELECT s.file_hash, p.path, z.size, m.modified FROM s LEFT JOIN v p ON p.file_hash = s.file_hash AND p.record_id = s.path_from
 LEFT JOIN v z ON z.file_hash = s.file_hash AND z.record_id = s.size_from LEFT JOIN v m ON m.file_hash = s.file_hash AND m.record_id = s.modified_from
 """
+# isnan is tested on its own: a reader that prunes by column statistics may take NaN for a value below the maximum
 P4_SQL = f"""
 WITH RECURSIVE links AS (
-  SELECT lower(trim(id_a, {SPACE_SQL})) AS a, lower(trim(id_b, {SPACE_SQL})) AS b FROM visual_matches WHERE id_a IS NOT NULL AND id_b IS NOT NULL AND similarity BETWEEN CAST(0.92 AS FLOAT) AND 1
+  SELECT lower(trim(id_a, {SPACE_SQL})) AS a, lower(trim(id_b, {SPACE_SQL})) AS b FROM visual_matches WHERE id_a IS NOT NULL AND id_b IS NOT NULL AND similarity BETWEEN CAST(0.92 AS FLOAT) AND 1 AND NOT isnan(similarity)
 ), e AS (SELECT a, b FROM links WHERE a <> b UNION SELECT b, a FROM links WHERE a <> b),
 reach(id, other) AS (SELECT a, b FROM e UNION SELECT r.id, e.b FROM reach r JOIN e ON e.a = r.other)
 SELECT id, least(id, min(other)) AS group_id FROM reach GROUP BY id
