@@ -18,7 +18,7 @@ BLOCK_EDGES, MOST_BLOCKS = 100_000, 128
 
 def local_representatives(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union-find over some edges: all their vertices, and for each the smallest vertex it is linked to."""
-    codes, names = pd.factorize(np.concatenate([left, right]), sort=True)
+    names, codes = np.unique(np.concatenate([left, right]), return_inverse=True)
     parent = list(range(len(names)))
     half = len(left)
     for a, b in zip(codes[:half].tolist(), codes[half:].tolist()):
@@ -39,7 +39,7 @@ def local_representatives(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarr
 
 
 def _represent(frame: pd.DataFrame) -> pd.DataFrame:
-    vertex, representative = local_representatives(frame["a"].to_numpy(object), frame["b"].to_numpy(object))
+    vertex, representative = local_representatives(frame["a"].to_numpy(np.int64), frame["b"].to_numpy(np.int64))
     return pd.DataFrame({"vertex": vertex, "representative": representative})
 
 
@@ -50,7 +50,7 @@ def _placed(edges: DataFrame, n: int, block_edges: int) -> DataFrame:
     salt; union-find on any part of the edges is right, so no task gets an unbounded block.
     """
     side = max(1, min(MOST_BLOCKS, math.ceil(math.sqrt(2 * n / block_edges))))
-    row, column = (F.pmod(F.xxhash64(c), F.lit(side)).cast("int") for c in ("a", "b"))
+    row, column = (F.pmod(c, F.lit(side)).cast("int") for c in ("a", "b"))
     placed = edges.select("a", "b", F.least(row, column).alias("row"), F.greatest(row, column).alias("column"))
     # side * side rows at most, so this side of the join is always small
     parts = placed.groupBy("row", "column").agg(F.ceil(F.count("*") / (2 * block_edges)).cast("int").alias("parts"))
@@ -58,40 +58,50 @@ def _placed(edges: DataFrame, n: int, block_edges: int) -> DataFrame:
     return salted.withColumn("salt", F.pmod(F.xxhash64("a", "b", F.lit(7)), F.col("parts")).cast("int"))
 
 
+def _labelled(ids: DataFrame) -> tuple[DataFrame, int]:
+    """``ids(id)`` with a label of 64 bits each, and the seed whose hashes are those labels: one that gives no label twice."""
+    seed = 0
+    while True:
+        labelled = checkpointed(ids.withColumn("vertex", F.xxhash64("id", F.lit(seed))))
+        if labelled.groupBy("vertex").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return labelled, seed
+        seed += 1
+
+
 def match_groups(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """Rows ``(id, group_id)`` for every id linked to another by the undirected ``edges(a, b)``; group_id is the smallest id of the group.
 
     Links with a null end and links of an id with itself join nothing; repeated links and either direction
     are one link. An empty table gives an empty result.
 
-    Each round runs union-find locally on every block of the grid, then the row and column blocks of a vertex
-    exchange their representatives: the smallest becomes its parent, and the others are linked to that
-    one. Those links are the next round's edges, a contraction of the graph. A round without new links ends the loop, and
-    the parents of the rounds are composed from the last to the first. Every round is written to the shared
-    checkpoint folder; the driver holds counts only.
+    Ids are hashed to labels, checked to be unique, whose order is as good as random: along a chain of any order of ids
+    about a third of the vertices is smaller than both neighbours, so every round shortens it. A round
+    runs union-find locally on every block of the grid, then the row and column blocks of a vertex exchange their representatives: the
+    smallest becomes its parent, and the others are linked to that one. Those links are the next round's edges, a
+    contraction of the graph. A round without new links ends the loop, and the parents of the rounds are
+    composed from the last to the first. Every round is written to the shared checkpoint folder; the driver holds counts only.
     """
     ship_package(edges.sparkSession)
-    clean = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    current = checkpointed(clean.distinct())
-    rounds: list[tuple[DataFrame, int]] = []
-    n = current.count()
-    while n:
-        placed = _placed(current, n, block_edges)
-        local = placed.groupBy("row", "column", "salt").applyInPandas(_represent, "vertex string, representative string")
+    links = checkpointed(edges.where("a <> b").select("a", "b"))
+    ids, seed = _labelled(links.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    ends = [F.xxhash64(c, F.lit(seed)) for c in ("a", "b")]
+    current = checkpointed(links.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct())
+    rounds: list[DataFrame] = []
+    while n := current.count():
+        local = _placed(current, n, block_edges).groupBy("row", "column", "salt").applyInPandas(_represent, "vertex long, representative long")
         parent = F.min("representative").over(Window.partitionBy("vertex"))
         exchanged = checkpointed(local.distinct().withColumn("parent", parent))
-        parents = exchanged.where("representative = parent").select("vertex", "parent")
-        rounds.append((parents, n))
-        links = exchanged.where("representative <> parent").select(F.col("parent").alias("a"), F.col("representative").alias("b"))
-        current = checkpointed(links.distinct())
-        n = current.count()
+        rounds.append(exchanged.where("representative = parent").select("vertex", "parent"))
+        current = checkpointed(exchanged.where("representative <> parent").select(F.col("parent").alias("a"), F.col("representative").alias("b")).distinct())
     if not rounds:
-        return current.select(F.col("a").alias("id"), F.col("b").alias("group_id"))
-    groups = rounds[-1][0].select(F.col("vertex").alias("id"), F.col("parent").alias("group_id"))
-    for parents, _ in reversed(rounds[:-1]):
-        upper = broadcast_if_small(groups.where("id <> group_id").select(F.col("id").alias("parent"), "group_id"))
-        groups = parents.join(upper, "parent", "left").select(F.col("vertex").alias("id"), F.coalesce("group_id", "parent").alias("group_id"))
-    return groups
+        return ids.select("id", F.col("id").alias("group_id"))
+    roots = rounds[-1].select("vertex", F.col("parent").alias("root"))
+    for parents in reversed(rounds[:-1]):
+        upper = broadcast_if_small(roots.where("vertex <> root").select(F.col("vertex").alias("parent"), "root"))
+        roots = checkpointed(parents.join(upper, "parent", "left").select("vertex", F.coalesce("root", "parent").alias("root")))
+    placed = checkpointed(ids.join(roots, "vertex").select("id", "root"))
+    named = broadcast_if_small(placed.groupBy("root").agg(F.min("id").alias("group_id")))
+    return placed.join(named, "root").select("id", "group_id")
 
 
 def visual_match_groups(matches: DataFrame, least: float = 0.92, most: float = 1.0, block_edges: int = BLOCK_EDGES) -> DataFrame:
