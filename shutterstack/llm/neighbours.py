@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shutterstack.llm.graph import RobustGraph
 from shutterstack.operators.current import live_rows
-from shutterstack.session import broadcast_if_small, checkpointed, ship_package
+from shutterstack.session import broadcast_if_small, checkpointed, drawn, ship_package
 
 #: Distinct vectors aimed at per shard before replication, a shard's most members, and the most shards.
 SHARD, SHARD_MOST, SHARDS_MOST = 8000, 48_000, 8192
@@ -114,8 +114,7 @@ def similar_classes(vectors: DataFrame, rows: int, dim: int, k: int, least: floa
     """Rows ``(id, n, other, other_n, cosine)``: for each of the distinct ``vectors(id, n, class, unit)`` up to ``k`` most similar others found, of at least ``least``."""
     spark = vectors.sparkSession
     shards = min(SHARDS_MOST, max(1, -(-rows // SHARD)))
-    # classes are digests, so the smallest ones are a random sample
-    sample = _matrix([r[0] for r in vectors.orderBy("class").limit(max(SAMPLE, PER_CENTRE * shards)).select("unit").toLocalIterator()], dim)
+    sample = _matrix([r[0] for r in drawn(vectors.select("unit"), F.xxhash64("unit"), max(SAMPLE, PER_CENTRE * shards), rows).toLocalIterator()], dim)
     centres = fit_centres(sample, shards) if len(sample) else np.zeros((1, dim), np.float32)
     members = np.bincount(shards_of(sample, centres)[1], minlength=len(centres)) * (rows / max(1, len(sample)))
     parts = np.maximum(1, np.ceil(members / SHARD_MOST)).astype(np.int64)
@@ -132,7 +131,7 @@ def similar_classes(vectors: DataFrame, rows: int, dim: int, k: int, least: floa
             # the same pair found in two shards has to compare equal
             cosine = np.round(np.einsum("kd,kd->k", x[q].astype(np.float64), x[p].astype(np.float64)), 12)
             found.append(pd.DataFrame({"id": key[q], "n": n[q], "other": key[p], "other_n": n[p], "cosine": cosine})[cosine >= least])
-        return pd.concat(found) if found else pd.DataFrame({"id": [], "n": [], "other": [], "other_n": [], "cosine": []})
+        return pd.concat(found) if found else pd.DataFrame({"id": [], "n": [], "other": [], "other_n": [], "cosine": []}, dtype=object)
 
     # three partitions for each graph, so that few tasks get more than one
     placed = placed.repartition(3 * int(parts.sum()), "shard", "part")
