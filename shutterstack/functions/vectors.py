@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Vectors shorter than this stay as they are when normalised.
@@ -52,3 +52,16 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 def usable(a: Column, dim: int) -> Column:
     """Whether a vector has ``dim`` finite numbers; null counts as not."""
     return F.coalesce((F.size(a) == dim) & F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
+
+
+def register_functions(spark: SparkSession) -> None:
+    """``l2sq``, ``dot_product``, ``cosine`` and ``l2_normalize`` over arrays of doubles as temporary SQL functions."""
+    total = "aggregate({}, 0D, (s, x) -> s + x)"
+    product, length = total.format("zip_with(a, b, (x, y) -> x * y)"), "sqrt(" + total.format("transform({}, x -> x * x)") + ")"
+    for name, arguments, kind, body in (
+        ("l2sq", "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", total.format("zip_with(a, b, (x, y) -> (x - y) * (x - y))")),
+        ("dot_product", "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", product),
+        ("cosine", "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", f"try_divide({product}, {length.format('a')} * {length.format('b')})"),
+        ("l2_normalize", "a ARRAY<DOUBLE>", "ARRAY<DOUBLE>", f"CASE WHEN {length.format('a')} < {LEAST_NORM} THEN a ELSE transform(a, y -> y / {length.format('a')}) END"),
+    ):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qsl, urlsplit
 
@@ -94,8 +95,24 @@ def server(catalog: Catalog, host: str, port: int) -> ThreadingHTTPServer:
             self.end_headers()
             self.wfile.write(data)
 
+        def _stream(self) -> None:
+            """Progress as server-sent events, every two seconds until nothing runs."""
+            self.send_response(200)
+            self.send_header("Content-Type", "text/event-stream")
+            self.end_headers()
+            while True:
+                value = service.handle("GET", "/api/progress", {})[1]
+                self.wfile.write(f"data: {json.dumps(value)}\n\n".encode())
+                self.wfile.flush()
+                if value["running"] is None:
+                    return
+                time.sleep(2)
+
         def do_GET(self) -> None:  # noqa: N802
-            self._answer("GET")
+            if self.path == "/api/progress" and "text/event-stream" in (self.headers.get("Accept") or ""):
+                self._stream()
+            else:
+                self._answer("GET")
 
         def do_POST(self) -> None:  # noqa: N802
             self._answer("POST")

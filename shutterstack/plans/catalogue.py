@@ -100,7 +100,7 @@ _SHOWN = "SELECT id, media_type, round(d, 6) AS distance, round(1 / (1 + d), 6)
 
 @query("search_topk", f"{_SHOWN} near ORDER BY d, id LIMIT 20")
 def _(spark, folder):
-    return _shown(search.search(domain.vectors(spark, folder), _vector(spark, folder), limit=20))
+    return _shown(search.search(domain.vectors(spark, folder, "media_type"), _vector(spark, folder), limit=20))
 
 
 _WINDOW = search.Filters(media_type="image", after=dt.datetime(2018, 1, 1), before=dt.datetime(2022, 12, 31, 23, 59, 59))
@@ -109,30 +109,30 @@ _WINDOW = search.Filters(media_type="image", after=dt.datetime(2018, 1, 1), befo
 @query("search_filtered", f"""SELECT * FROM ({_SHOWN} (SELECT *, {_TAKEN} AS taken FROM (SELECT * FROM near ORDER BY d, id LIMIT 40))
   WHERE media_type NOT IN ('video', 'video_frame') AND (taken IS NULL OR taken BETWEEN TIMESTAMP '2018-01-01' AND TIMESTAMP '2022-12-31 23:59:59') ORDER BY 1 / (1 + d) DESC, id LIMIT 10)""")
 def _(spark, folder):
-    return _shown(search.search(domain.vectors(spark, folder), _vector(spark, folder), _WINDOW, 10))
+    return _shown(search.search(domain.vectors(spark, folder, "media_type", "exif_date_taken", "file_modified"), _vector(spark, folder), _WINDOW, 10))
 
 
 @query("search_prefilter", f"""{_SHOWN} (SELECT *, {_TAKEN} AS taken FROM near)
   WHERE media_type NOT IN ('video', 'video_frame') AND (taken IS NULL OR taken BETWEEN TIMESTAMP '2018-01-01' AND TIMESTAMP '2022-12-31 23:59:59') ORDER BY d, id LIMIT 10""")
 def _(spark, folder):
-    return _shown(search.search(domain.vectors(spark, folder), _vector(spark, folder), _WINDOW, 10, prefilter=True))
+    return _shown(search.search(domain.vectors(spark, folder, "media_type", "exif_date_taken", "file_modified"), _vector(spark, folder), _WINDOW, 10, prefilter=True))
 
 
 @query("search_extended_filters", f"{_SHOWN} near WHERE width >= 1000 AND height >= 700 AND lower(file_ext) = 'jpg' AND exif_camera_model = 'LV-200' AND exif_gps_lat IS NOT NULL AND exif_gps_lon IS NOT NULL ORDER BY d, id LIMIT 10")
 def _(spark, folder):
     only = search.Filters(min_width=1000, min_height=700, file_ext="JPG", camera_model="LV-200", has_gps=True)
-    return _shown(search.search(domain.vectors(spark, folder), _vector(spark, folder), only, 10, prefilter=True))
+    return _shown(search.search(domain.vectors(spark, folder, "media_type", "width", "height", "file_ext", "exif_camera_model", "exif_gps_lat", "exif_gps_lon", "exif_date_taken", "file_modified"), _vector(spark, folder), only, 10, prefilter=True))
 
 
 @query("search_table", """SELECT row_number() OVER (ORDER BY d, id) AS rank, id, printf('%.3f', 1 / (1 + d)) AS score_text, CASE media_type WHEN 'video_frame' THEN 'frame' ELSE media_type END AS type_label,
   coalesce(width || 'x' || height, '-') AS dims FROM (SELECT * FROM near ORDER BY d, id LIMIT 20)""")
 def _(spark, folder):
-    return search.display_table(search.search(domain.vectors(spark, folder), _vector(spark, folder), limit=20))
+    return search.display_table(search.search(domain.vectors(spark, folder, "media_type", "width", "height"), _vector(spark, folder), limit=20))
 
 
 @query("search_results", """SELECT id, file_name, round(1 / (1 + d), 6) AS score, CASE WHEN source_video_path IS NOT NULL THEN coalesce(frame_index, 0) END AS frame_index FROM near ORDER BY d, id LIMIT 20""")
 def _(spark, folder):
-    rows = search.result_columns(search.search(domain.vectors(spark, folder), _vector(spark, folder), limit=20))
+    rows = search.result_columns(search.search(domain.vectors(spark, folder, "media_type", "file_path", "file_name", "width", "height", "source_video_path", "frame_index", "frame_timestamp_ms"), _vector(spark, folder), limit=20))
     return rows.select("id", "file_name", _r("score").alias("score"), F.col("frame.frame_index").alias("frame_index"))
 
 
@@ -172,48 +172,48 @@ def _(spark, folder):
 
 @query("catalog_scan", "SELECT id, file_hash, file_name, media_type, width, tombstone FROM cur")
 def _(spark, folder):
-    return domain.media(spark, folder).select("id", "file_hash", "file_name", "media_type", "width", "tombstone")
+    return domain.media(spark, folder, "file_hash", "file_name", "media_type", "width", "tombstone").select("id", "file_hash", "file_name", "media_type", "width", "tombstone")
 
 
 @query("catalog_count", "SELECT count(*) AS n FROM cur")
 def _(spark, folder):
-    return domain.media(spark, folder).agg(F.count("*").alias("n"))
+    return domain.media(spark, folder, "tombstone").agg(F.count("*").alias("n"))
 
 
 @query("catalog_get_by_id", "SELECT id, file_name FROM cur WHERE id = (SELECT min(id) FROM cur)")
 def _(spark, folder):
-    rows = domain.media(spark, folder)
+    rows = domain.media(spark, folder, "file_name")
     return catalog.by_id(rows, rows.agg(F.min("id")).first()[0]).select("id", "file_name")
 
 
 @query("catalog_get_by_hash", "SELECT id, file_name FROM cur WHERE file_hash = (SELECT min(file_hash) FROM cur WHERE media_type = 'video_frame')")
 def _(spark, folder):
-    rows = domain.media(spark, folder)
+    rows = domain.media(spark, folder, "file_name", "file_hash", "media_type")
     return catalog.by_hash(rows, rows.where("media_type = 'video_frame'").agg(F.min("file_hash")).first()[0]).select("id", "file_name")
 
 
 @query("catalog_list_page", "SELECT id, file_name, media_type, (SELECT count(*) FROM cur WHERE media_type = 'image') AS total FROM cur WHERE media_type = 'image' ORDER BY id LIMIT 25 OFFSET 10")
 def _(spark, folder):
-    return catalog.list_page(domain.media(spark, folder), 10, 25, "image")
+    return catalog.list_page(domain.media(spark, folder, "file_name", "media_type"), 10, 25, "image")
 
 
 @query("catalog_upsert", "SELECT id, CASE WHEN media_type = 'image' THEN width + 1 ELSE width END AS width FROM cur UNION ALL SELECT 'new-' || id, width FROM cur WHERE media_type = 'video'")
 def _(spark, folder):
-    rows = domain.media(spark, folder).select("id", "width", "media_type")
+    rows = domain.media(spark, folder, "width", "media_type").select("id", "width", "media_type")
     delta = rows.where("media_type = 'image'").withColumn("width", F.col("width") + 1).unionByName(rows.where("media_type = 'video'").withColumn("id", F.concat(F.lit("new-"), "id")))
     return catalog.upsert(rows, delta).select("id", "width")
 
 
 @query("catalog_tombstone", "SELECT id, coalesce(tombstone, false) OR file_hash IN (SELECT file_hash FROM chg WHERE kind = 'deleted') AS tombstone FROM cur")
 def _(spark, folder):
-    return catalog.tombstoned(domain.media(spark, folder).select("id", "file_hash", "tombstone"), _changes(spark, folder)).select("id", "tombstone")
+    return catalog.tombstoned(domain.media(spark, folder, "file_hash", "tombstone").select("id", "file_hash", "tombstone"), _changes(spark, folder)).select("id", "tombstone")
 
 
 @query("reembed_merge", f"""SELECT id, CASE WHEN w IS NOT NULL THEN 'new-model' ELSE model_id END AS model_id, CASE WHEN w IS NOT NULL THEN round(w[1], 6) END AS first_component
   FROM cur LEFT JOIN (SELECT file_hash, max(list_transform(v, lambda x: x * 2)) AS w FROM vec WHERE media_type = 'image' GROUP BY 1) n USING (file_hash)""")
 def _(spark, folder):
-    new = domain.vectors(spark, folder).where("media_type = 'image'").select("file_hash", F.transform("embedding", lambda x: x.cast("double") * 2).alias("vector"))
-    rows = catalog.reembedded(domain.media(spark, folder).select("id", "file_hash", "embedding", "model_id", "model_version", "updated_at"), new, "new-model", "2", "2025-01-01T00:00:00Z")
+    new = domain.vectors(spark, folder, "media_type", "file_hash").where("media_type = 'image'").select("file_hash", F.transform("embedding", lambda x: x.cast("double") * 2).alias("vector"))
+    rows = catalog.reembedded(domain.media(spark, folder, "file_hash", "embedding", "model_id", "model_version", "updated_at").select("id", "file_hash", "embedding", "model_id", "model_version", "updated_at"), new, "new-model", "2", "2025-01-01T00:00:00Z")
     return rows.select("id", "model_id", F.when(F.col("model_id") == "new-model", _r(F.get("embedding", F.lit(0)).cast("double"))).alias("first_component"))
 
 
@@ -355,18 +355,18 @@ def _(spark, folder):
 
 @query("catalog_stats", "SELECT 'catalog' AS metric, count(*) AS value FROM cur UNION ALL SELECT 'files_active', count(*) FROM f0 WHERE status = 'active' UNION ALL SELECT 'models', 3 UNION ALL SELECT 'jobs_' || status, count(*) FROM jobs GROUP BY 1")
 def _(spark, folder):
-    return browse.catalog_stats(domain.media(spark, folder), domain.files(spark, folder), domain.jobs(spark, folder), domain.models(spark))
+    return browse.catalog_stats(domain.media(spark, folder, "tombstone"), domain.files(spark, folder), domain.jobs(spark, folder), domain.models(spark))
 
 
 @query("browse_page", """SELECT id, file_name, media_type, (SELECT count(*) FROM cur WHERE NOT coalesce(tombstone, false) AND media_type IN ('video', 'video_frame')) AS total FROM cur WHERE NOT coalesce(tombstone, false) AND media_type IN ('video', 'video_frame')
   ORDER BY file_size DESC NULLS LAST, id LIMIT 25 OFFSET 25""")
 def _(spark, folder):
-    return browse.browse(domain.media(spark, folder), "video", "size", 2, 25).select("id", "file_name", "media_type", "total")
+    return browse.browse(domain.media(spark, folder, "file_name", "file_path", "media_type", "file_size", "indexed_at", "tombstone"), "video", "size", 2, 25).select("id", "file_name", "media_type", "total")
 
 
 @query("browse_newest", "SELECT id, file_name, (SELECT count(*) FROM cur WHERE NOT coalesce(tombstone, false)) AS total FROM cur WHERE NOT coalesce(tombstone, false) ORDER BY indexed_at DESC NULLS LAST, id LIMIT 50")
 def _(spark, folder):
-    return browse.browse(domain.media(spark, folder)).select("id", "file_name", "total")
+    return browse.browse(domain.media(spark, folder, "file_name", "file_path", "media_type", "file_size", "indexed_at", "tombstone")).select("id", "file_name", "total")
 
 
 def _duplicates(spark, folder):
@@ -407,14 +407,14 @@ _EDGES_SQL = f"""SELECT least(q, n) AS a, greatest(q, n) AS b, max(1 - d / 2) AS
 
 @query("visual_edges", f"SELECT a, b, round(similarity, 6) AS similarity FROM ({_EDGES_SQL})")
 def _(spark, folder):
-    return dedup.visual_edges(domain.vectors(spark, folder)).withColumn("similarity", _r("similarity"))
+    return dedup.visual_edges(domain.vectors(spark, folder, "media_type")).withColumn("similarity", _r("similarity"))
 
 
 @query("visual_clusters", f""", edges AS MATERIALIZED ({_EDGES_SQL}), links AS (SELECT a, b, similarity FROM edges UNION ALL SELECT b, a, similarity FROM edges),
   reach(id, other) AS (SELECT a, b FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other)
   SELECT least(id, lo) AS cluster_id, id, round(s, 6) AS similarity FROM (SELECT id, min(other) AS lo FROM reach GROUP BY 1) JOIN (SELECT a AS id, max(similarity) AS s FROM links GROUP BY 1) USING (id)""")
 def _(spark, folder):
-    return dedup.visual_clusters(domain.vectors(spark, folder)).withColumn("similarity", _r("similarity"))
+    return dedup.visual_clusters(domain.vectors(spark, folder, "media_type")).withColumn("similarity", _r("similarity"))
 
 
 @query("cross_video_pairs", f""", pairs AS (SELECT DISTINCT least(va, vb) AS video_a, greatest(va, vb) AS video_b, least(q, n) AS fa, greatest(q, n) AS fb FROM {_ranked_sql("a.media_type = 'video_frame'", 10)} WHERE nt = 'video_frame' AND va <> vb AND 1 - d / 2 >= 0.92),
@@ -422,19 +422,19 @@ def _(spark, folder):
   SELECT video_a, video_b, count(*) AS shared, any_value(a.total) AS total_a, any_value(b.total) AS total_b, round(count(*) / least(any_value(a.total), any_value(b.total)), 6) AS overlap_ratio
   FROM pairs JOIN totals a ON a.video = video_a JOIN totals b ON b.video = video_b GROUP BY 1, 2""")
 def _(spark, folder):
-    return dedup.cross_video_pairs(domain.vectors(spark, folder)).withColumn("overlap_ratio", _r("overlap_ratio"))
+    return dedup.cross_video_pairs(domain.vectors(spark, folder, "media_type", "source_video_path", "file_path")).withColumn("overlap_ratio", _r("overlap_ratio"))
 
 
 @query("frame_index", "SELECT video, file_path, row_number() OVER (PARTITION BY video ORDER BY file_path) - 1 AS idx FROM (SELECT DISTINCT source_video_path AS video, file_path FROM cur WHERE media_type = 'video_frame' AND file_path LIKE '%.jpg')")
 def _(spark, folder):
-    return frames.frame_index(domain.media(spark, folder).where("media_type = 'video_frame'"))
+    return frames.frame_index(domain.media(spark, folder, "media_type", "source_video_path", "file_path").where("media_type = 'video_frame'"))
 
 
 _VIDEOS_SQL = "SELECT file_path AS video, fps, CAST(floor(duration_ms * CAST(fps AS DOUBLE) / 1000) AS BIGINT) AS frames FROM cur WHERE media_type = 'video' AND fps > 0 AND duration_ms > 0"
 
 
 def _videos(spark, folder):
-    rows = domain.media(spark, folder).where("media_type = 'video' and fps > 0 and duration_ms > 0")
+    rows = domain.media(spark, folder, "media_type", "source_video_path", "file_path").where("media_type = 'video' and fps > 0 and duration_ms > 0")
     return rows.select(F.col("file_path").alias("video"), "fps", F.floor(F.col("duration_ms") * F.col("fps").cast("double") / 1000).alias("frames"))
 
 
@@ -448,7 +448,7 @@ def _(spark, folder):
   SELECT id, try_cast(regexp_extract(name, '(?:^|/)frame_(\\d+)\\.[^./]*$', 1) AS BIGINT) AS pts, coalesce(frame_index, 0) AS idx, 10 AS total, CASE WHEN frame_index % 3 = 0 THEN 25.0::DOUBLE END AS fps, 90000 AS duration_ms FROM (
     SELECT *, CASE WHEN frame_index % 2 = 0 THEN file_path ELSE '/frames/still.jpg' END AS name FROM cur WHERE media_type = 'video_frame'))""")
 def _(spark, folder):
-    rows = domain.media(spark, folder).where("media_type = 'video_frame'")
+    rows = domain.media(spark, folder, "media_type", "frame_index", "file_path").where("media_type = 'video_frame'")
     name = F.when(F.col("frame_index") % 2 == 0, F.col("file_path")).otherwise("/frames/still.jpg")
     fps = F.when(F.col("frame_index") % 3 == 0, 25.0)
     return rows.select("id", rules.frame_time(name, F.coalesce("frame_index", F.lit(0)), F.lit(10), fps, F.lit(90000)).alias("ts_ms"))
@@ -474,7 +474,7 @@ def _(spark, folder):
   SELECT *, regexp_replace(regexp_extract(file_path, '([^/]*)$', 1), '(.)\\.[^.]*$', '\\1') AS name, '^(.*)_f(\\d+)_(-?\\d+(?:\\.\\d+)?)s$' AS p FROM (
     SELECT CASE WHEN frame_index % 2 = 0 THEN '/frames/' || file_hash[1:8] || '_f' || frame_index || '_' || frame_index * 30 || 's.jpg' ELSE file_path END AS file_path FROM cur WHERE media_type = 'video_frame'))""")
 def _(spark, folder):
-    rows = domain.media(spark, folder).where("media_type = 'video_frame'")
+    rows = domain.media(spark, folder, "media_type", "frame_index", "file_path", "file_hash").where("media_type = 'video_frame'")
     made = F.concat(F.lit("/frames/"), F.substring("file_hash", 1, 8), F.lit("_f"), F.col("frame_index").cast("string"), F.lit("_"), (F.col("frame_index") * 30).cast("string"), F.lit("s.jpg"))
     return frames.parse_frame_name(rows.select(F.when(F.col("frame_index") % 2 == 0, made).otherwise(F.col("file_path")).alias("file_path"))).drop("name")
 
@@ -495,7 +495,7 @@ def _(spark, folder):
 
 
 def _meta_kind(spark, folder):
-    kinds = domain.media(spark, folder).where("media_type <> 'video_frame'")
+    kinds = domain.media(spark, folder, "media_type", "file_hash", "updated_at").where("media_type <> 'video_frame'")
     from shutterstack.functions.text import folded
 
     best = kinds.groupBy(folded("file_hash").alias("file_hash")).agg(F.max(F.struct("updated_at", "id", "media_type"))["media_type"].alias("media_type"))
@@ -519,7 +519,7 @@ def _(spark, folder):
 def _(spark, folder):
     from shutterstack.functions.text import folded
 
-    rows = domain.media(spark, folder).select("id", folded("file_hash").alias("file_hash"), "width", "codec")
+    rows = domain.media(spark, folder, "file_hash", "width", "codec").select("id", folded("file_hash").alias("file_hash"), "width", "codec")
     return catalog.with_metadata(rows, domain.metadata(spark, folder)).select("id", "width", "codec")
 
 

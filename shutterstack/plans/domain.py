@@ -14,14 +14,14 @@ from shutterstack.session import read_table
 DIM = 64
 
 
-def media(spark: SparkSession, folder: str) -> DataFrame:
-    """Current rows of the catalog."""
-    return current_rows(read_table(spark, folder, "media"), *(f.name for f in MEDIA if f.name != "id"))
+def media(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Current rows of the catalog with ``columns``, or all of them. Name what is needed: nothing else is read, above all no vector."""
+    return current_rows(read_table(spark, folder, "media"), *(columns or (f.name for f in MEDIA if f.name != "id")))
 
 
-def vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Current rows with a usable vector."""
-    return media(spark, folder).where(usable(F.col("embedding"), DIM))
+def vectors(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """Current rows with a usable vector, ``columns`` besides."""
+    return media(spark, folder, *columns, "embedding").where(usable(F.col("embedding"), DIM))
 
 
 def query_vector(spark: SparkSession, folder: str) -> list[float]:
@@ -59,7 +59,7 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
 def metadata(spark: SparkSession, folder: str) -> DataFrame:
     """Media and EXIF values per content hash: those of the row updated last, of equally recent rows the one with the greatest id."""
     names = ["width", "height", "duration_ms", "fps", "codec", "bitrate_kbps", "exif_camera_make", "exif_camera_model", "exif_date_taken", "exif_gps_lat", "exif_gps_lon", "exif_focal_length_mm", "exif_iso", "exif_orientation"]
-    rows = media(spark, folder).where("media_type <> 'video_frame'").groupBy(folded("file_hash").alias("file_hash")).agg(F.max(F.struct("updated_at", "id", *names)).alias("r"))
+    rows = media(spark, folder, "updated_at", "file_hash", "media_type", *names).where("media_type <> 'video_frame'").groupBy(folded("file_hash").alias("file_hash")).agg(F.max(F.struct("updated_at", "id", *names)).alias("r"))
     return rows.select("file_hash", *(F.col("r")[c].alias(c) for c in names))
 
 
@@ -70,5 +70,5 @@ def models(spark: SparkSession) -> DataFrame:
 
 def frames(spark: SparkSession, folder: str) -> DataFrame:
     """Frames with a usable vector and the video they are from."""
-    rows = vectors(spark, folder).where("media_type = 'video_frame' and source_video_path is not null")
+    rows = vectors(spark, folder, "media_type", "source_video_path", "frame_index").where("media_type = 'video_frame' and source_video_path is not null")
     return rows.select(F.col("source_video_path").alias("video"), "frame_index", "id", "embedding")

@@ -227,3 +227,16 @@ def probe_video(files: DataFrame, path: str = "file_path", program: str = "ffpro
 
     rows = files.mapInPandas(probed, StructType([*files.schema.fields, StructField("probe_json", StringType())]))
     return rows.withColumn("probe", probe_fields(F.col("probe_json"))).select(*rows.columns, "probe.*")
+
+
+def write_sidecars(frames: DataFrame, folder: str) -> None:
+    """Frames ``(file_hash, frame_index, timestamp_ms, file_path)`` as CSV, a folder for each video's hash, in frame order."""
+    rows = frames.select("file_hash", "frame_index", "timestamp_ms", "file_path")
+    rows.repartition("file_hash").sortWithinPartitions("file_hash", "frame_index").write.mode("overwrite").partitionBy("file_hash").csv(folder)
+
+
+def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``write_sidecars`` wrote; a folder that is missing is an error."""
+    if not os.path.isdir(folder):
+        raise NotFoundError(folder)
+    return spark.read.schema("frame_index int, timestamp_ms long, file_path string, file_hash string").option("basePath", folder).csv(folder)

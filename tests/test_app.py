@@ -19,7 +19,7 @@ from shutterstack.config import Config, parse_config
 from shutterstack.encoders import HashingEncoder, pad
 from shutterstack.errors import CatalogError, NotFoundError, StorageError
 from shutterstack.http import server
-from shutterstack.sources.scan import exif_fields, image_metadata, image_size, scan_directory
+from shutterstack.sources.scan import exif_fields, image_metadata, image_size, read_sidecars, scan_directory, write_sidecars
 from shutterstack.sources.storage import Table
 from shutterstack.streaming.ingest import ingest, progress, reduce_stream, watch
 
@@ -174,6 +174,9 @@ def test_service(catalog, library):
             break
         time.sleep(0.1)
     assert state["message"].startswith("error") and state["done"] == state["total"]
+    request = urllib.request.Request(f"http://127.0.0.1:{web.server_address[1]}/api/progress", headers={"Accept": "text/event-stream"})
+    with urllib.request.urlopen(request, timeout=60) as answer:
+        assert answer.read().startswith(b"data: {")
     web.shutdown()
 
 
@@ -186,3 +189,11 @@ def test_config_and_encoder():
     e = HashingEncoder(16)
     assert e.encode_text("a b") == e.encode_text("A  b") and abs(sum(x * x for x in e.encode_text("a b c")) - 1) < 1e-9
     assert pad([1, 2], 4) == [1, 2, 0, 0] and pad([1] * 9, 4, 7) == [1, 1, 1, 7]
+
+
+def test_sidecars(spark, tmp_path):
+    rows = [("aa", 1, 33, "/f/2.jpg"), ("aa", 0, 0, "/f/1, with comma.jpg"), ("bb", 0, 0, None)]
+    write_sidecars(spark.createDataFrame(rows, "file_hash string, frame_index int, timestamp_ms long, file_path string"), str(tmp_path / "s"))
+    assert sorted((r["file_hash"], r["frame_index"], r["timestamp_ms"], r["file_path"]) for r in read_sidecars(spark, str(tmp_path / "s")).collect()) == sorted(rows)
+    with pytest.raises(NotFoundError):
+        read_sidecars(spark, str(tmp_path / "none"))

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shutterstack.errors import QueryError
-from shutterstack.functions.vectors import dot, normalised, norm
+from shutterstack.functions.vectors import dot, norm, normalised, register_functions
 from shutterstack.operators import search
 from shutterstack.operators.search import Filters, parse_queries, parse_query
 
@@ -101,3 +101,9 @@ def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0]), ([0.0, 0.0], [2.0, 3.0])], "a array<float>, b array<float>")
     rows = df.select(normalised(F.col("a")).alias("n"), norm(F.col("a")).alias("l"), dot(F.col("a"), F.col("b")).alias("d")).collect()
     assert rows[0]["n"] == pytest.approx([0.6, 0.8]) and rows[1]["n"] == [0, 0] and (rows[0]["l"], rows[0]["d"]) == (5, 3)
+
+
+def test_sql_functions(spark):
+    register_functions(spark)
+    row = spark.sql("SELECT l2sq(array(1D, 2D), array(4D, 6D)) AS l, cosine(array(1D, 0D), array(1D, 1D)) AS c, l2_normalize(array(3D, 4D)) AS n, l2_normalize(array(0D)) AS z, cosine(array(0D), array(1D)) AS none, dot_product(array(1D, 2D), array(3D, 4D)) AS d").first()
+    assert (row["l"], row["n"], row["z"], row["none"], row["d"]) == (25, [0.6, 0.8], [0], None, 11) and row["c"] == pytest.approx(2**-0.5)
