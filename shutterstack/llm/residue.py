@@ -76,7 +76,7 @@ PLACEHOLDER = re.compile(
 )
 _UPPER_ONLY = re.compile(r"__[A-Z][A-Z_]*__|%[A-Z][A-Z_]+%")
 _QUOTED = re.compile(r"``.+?``|`[^`\n]*`|\$\$.+?\$\$|\$(?!\{)[^$\n]+\$|\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|«[^»\n]{1,300}»|„[^“”\n]{1,300}[“”]", re.S)
-_TAG = re.compile(r"</?(?:html|head|body|center|title|h[1-6]|p|div|span|noscript|b|i|strong|em|br|hr|a|pre)(?:\s+[\w-]+\s*=[^<>]*)?\s*/?>", re.I)
+_TAG = re.compile(r"(?<!<)</?(?:html|head|body|center|title|h[1-6]|p|div|span|noscript|b|i|strong|em|br|hr|a|pre)(?:\s+[\w-]+\s*=[^<>]*)?\s*/?>(?!>)", re.I)
 _UNIT = re.compile(r"[.!?](?=\s)|[\n|]")
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s+")

@@ -5,7 +5,7 @@ from shutterstack.llm.residue import Detector, residue_documents
 CELL = "array<struct<kind string, execution_count int, first_char int, n_chars int>>"
 
 RESIDUE = [
-    "# {{ title }}\n\n**By:** {{ author }}\n\n{{ summary }}", "## %PROJECT_NAME%", "Welcome to [Insert course]! In this lesson you will learn [YOUR TOPIC].", "| Field | Value |\n|---|---|\n| title | &lt;title&gt; |\n| date | __DATE__ |", "# <title here>\n\n<summary here>",
+    "# {{ title }}\n\n**By:** {{ author }}\n\n{{ summary }}", "## %PROJECT_NAME%", "## <<TITLE>>", "| Field | Value |\n|---|---|\n| contact | <<TITLE>> |\n| description | [[course]] |", "Welcome to [Insert course]! In this lesson you will learn [YOUR TOPIC].", "| Field | Value |\n|---|---|\n| title | &lt;title&gt; |\n| date | __DATE__ |", "# <title here>\n\n<summary here>",
     "- Team: ${TEAM}\n- Goal: <<goal>>", "# {% block x %}{% endblock %}\n\nThis notebook describes <%= a %> for @@b@@. Last change: [[date]].",
     "Lorem ipsum dolor sit amet consectetur adipiscing elit.", "## Introduction\n\nAliqua ut magna aute aute in cillum aute aliquip. Incididunt nulla amet amet aliqua.", "asdf asdf asdf asdf asdf", "foo bar foo bar foo bar foo bar", "## Heading goes here\n\nDouble click to edit this cell.",
     "Hier steht später der Einleitungstext. Bitte ersetzen.", "Texte provisoire à remplacer par votre introduction.",
