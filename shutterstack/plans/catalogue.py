@@ -434,7 +434,7 @@ _VIDEOS_SQL = "SELECT file_path AS video, fps, CAST(floor(duration_ms * CAST(fps
 
 
 def _videos(spark, folder):
-    rows = domain.media(spark, folder, "media_type", "source_video_path", "file_path").where("media_type = 'video' and fps > 0 and duration_ms > 0")
+    rows = domain.media(spark, folder, "media_type", "file_path", "fps", "duration_ms").where("media_type = 'video' and fps > 0 and duration_ms > 0")
     return rows.select(F.col("file_path").alias("video"), "fps", F.floor(F.col("duration_ms") * F.col("fps").cast("double") / 1000).alias("frames"))
 
 
