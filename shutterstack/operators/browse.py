@@ -26,7 +26,7 @@ def browse(media: DataFrame, kind: str | None = None, sort: str = "date", page:
     rows = rows.where(F.col("media_type").isin(kinds)) if kinds else rows
     order = {"name": [F.lower("file_name")], "size": [F.desc_nulls_last("file_size")]}.get(sort, [F.desc_nulls_last("indexed_at")])
     shown = rows.select("id", "file_name", "file_path", "media_type", "file_size", "indexed_at")
-    return _page(shown, [*order, "id"], page, per_page).crossJoin(rows.agg(F.count("*").alias("total")))
+    return _page(shown, [*order, "id"], page, per_page).withColumn("total", rows.agg(F.count("*")).scalar())
 
 
 def browse_files(files: DataFrame, kind: str | None = None, sort: str = "name", page: int = 1, per_page: int = 50) -> DataFrame:
@@ -34,7 +34,7 @@ def browse_files(files: DataFrame, kind: str | None = None, sort: str = "name",
     rows = files.where("status = 'active'").select("file_hash", "file_path", "file_size", "file_modified", basename(F.col("file_path")).alias("file_name"), media_type(F.col("file_path"), "unknown").alias("media_type"))
     rows = rows.where(F.col("media_type") == kind) if kind in ("image", "video") else rows
     order = {"size": [F.desc_nulls_last("file_size")], "date": [F.desc_nulls_last("file_modified")]}.get(sort, [F.lower("file_name")])
-    return _page(rows, [*order, "file_path"], page, per_page).crossJoin(rows.agg(F.count("*").alias("total")))
+    return _page(rows, [*order, "file_path"], page, per_page).withColumn("total", rows.agg(F.count("*")).scalar())
 
 
 def classify(files: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def by_hash(media: DataFrame, file_hash: str) -> DataFrame:
 def list_page(media: DataFrame, offset: int, limit: int, kind: str | None = None) -> DataFrame:
     """Ids in order, a page of them, with the number of all that match."""
     rows = media.where(F.col("media_type") == kind) if kind else media
-    return rows.select("id", "file_name", "media_type").orderBy("id").offset(offset).limit(limit).crossJoin(rows.agg(F.count("*").alias("total")))
+    return rows.select("id", "file_name", "media_type").orderBy("id").offset(offset).limit(limit).withColumn("total", rows.agg(F.count("*")).scalar())
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: str = "id") -> DataFrame:

@@ -140,6 +140,8 @@ def choose_pivots(places: DataFrame, per_cell: int = CELL, most: int = MOST_PIVO
     total = places.count()
     n = min(most, max(1, -(-total // per_cell)))
     found = drawn(places.select("lat", "lon"), F.xxhash64("lat", "lon"), n, total).toPandas()
+    if total and not len(found):  # all but impossible, but without a pivot there is no cell
+        found = places.select("lat", "lon").limit(1).toPandas()
     return unit_vectors(found["lat"], found["lon"])
 
 
