@@ -9,6 +9,7 @@ strings stays below the threshold.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -70,7 +71,7 @@ LOREM = (
 _NAMED = r"[A-Za-z_][\w .-]{0,60}?"
 #: Placeholders nobody filled in, in the notations of common template engines and forms.
 PLACEHOLDER = re.compile(
-    r"\{\{\s*" + _NAMED + r"\s*\}\}|\{%.{1,60}?%\}|<%=?.{1,60}?%>|\$\{" + _NAMED + r"\}|#\{" + _NAMED + r"\}|@@\w{1,60}@@|__[A-Z][A-Z_]*__|%[A-Z][A-Z_]+%|\[\[" + _NAMED + r"\]\]"
+    r"\{\{[^\S\n]*" + _NAMED + r"[^\S\n]*\}\}|\{%.{1,60}?%\}|<%=?.{1,60}?%>|\$\{" + _NAMED + r"\}|#\{" + _NAMED + r"\}|@@\w{1,60}@@|__[A-Z][A-Z_]*__|%[A-Z][A-Z_]+%|\[\[" + _NAMED + r"\]\]"
     r"|\[(?:insert|your|add|enter|replace|todo|tbd)\b[^\]\n]{0,60}\]|<<" + _NAMED + r">>|<[A-Za-z][\w ]{0,60}? here>|&lt;[A-Za-z][\w ]{0,60}?&gt;|(?<![\\$\w{}])\{[A-Za-z][\w ]{2,60}\}(?!\})",
     re.I,
 )
@@ -148,19 +149,19 @@ class Detector:
         spans = [m.span() for m in PLACEHOLDER.finditer(text) if not (m.group()[0] in "_%" and not _UPPER_ONLY.fullmatch(m.group()))]
         if not spans:
             return 0.0
-        covered = 0
-        for line in self._lines(text):
-            start, stop = line
+        starts, covered = [s for s, _ in spans], 0
+        for start, stop in self._lines(text):
+            # placeholders hold no line break, so those of a line are next to each other
+            own = spans[bisect_left(starts, start) : bisect_left(starts, stop)]
             row = text[start:stop]
-            if not any(start <= s < stop for s, _ in spans):
+            if not own:
                 continue
             if row.lstrip().startswith("|"):
                 covered += _letters(row)
                 continue
             cuts = [start, *(start + m.end() for m in _UNIT.finditer(row)), stop]
-            for a, b in zip(cuts, cuts[1:]):
-                if any(s < b and e > a for s, e in spans):
-                    covered += _letters(text[a:b])
+            held = {bisect_right(cuts, p) - 1 for s, e in own for p in (s, e - 1)}
+            covered += sum(_letters(text[cuts[i] : cuts[i + 1]]) for i in held if i + 1 < len(cuts))
         return covered / total
 
     @staticmethod

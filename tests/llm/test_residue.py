@@ -43,6 +43,11 @@ def test_outputs(detector):
         assert not detector.output_cell(text)
 
 
+def test_long_cells_take_no_longer_by_the_square(detector):
+    assert detector.text_cell("- Team: {{ team }}. Goal: ${GOAL}.\n" * 20_000)
+    assert not detector.text_cell(("- Team: {{ team }}.\n" + "We plot the noisy readings before looking at the table.\n" * 3) * 5_000)
+
+
 def cells(*parts):
     out, at = [], 0
     for kind, body in parts:
