@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from shutterstack.encoders import HashingEncoder, embed_images
 from shutterstack.errors import NotFoundError
 from shutterstack.functions.paths import basename, extension, media_type
 from shutterstack.operators import browse, catalog, changes, dedup, jobs, search, transcode
-from shutterstack.sources.scan import image_metadata, scan_directory
+from shutterstack.sources.scan import image_metadata, probe_video, scan_directory
 from shutterstack.sources.storage import Table
 
 
@@ -88,10 +89,16 @@ class Catalog:
             read = image_metadata(images.select("file_hash", "file_path").dropDuplicates(["file_hash"])).drop("file_path").withColumn("extracted_at", F.lit(self.clock()))
             full = read.select(*(F.col(f.name).cast(f.dataType) if f.name in read.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.METADATA))
             self.tables["metadata"].upsert(full)
+            if shutil.which("ffprobe"):
+                videos = probe_video(claimed.where(kind == "video").select("file_hash", "file_path").dropDuplicates(["file_hash"]))
+                known = videos.where("probe_json is not null").withColumn("extracted_at", F.lit(self.clock())).persist()
+                self.tables["metadata"].upsert(known.select(*(F.col(f.name).cast(f.dataType) if f.name in known.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.METADATA)))
+                done = known.select("file_hash").withColumn("_ok", F.lit(True))
+                return claimed.join(done, "file_hash", "left").select("id", F.when((kind == "image") | F.col("_ok"), "completed").otherwise("failed").alias("outcome"), F.when(kind == "video", "probe failed").alias("message"))
         elif stage == "embed":
             vectors = embed_images(images, self.encoder).join(images.select("file_path", "file_hash"), "file_path")
             self.tables["media"].upsert(self._records(vectors))
-            there = vectors.select("id" if "id" in vectors.columns else "file_hash").distinct().withColumn("_ok", F.lit(True))
+            there = vectors.select("file_hash").distinct().withColumn("_ok", F.lit(True))
             return claimed.join(there, "file_hash", "left").select("id", F.when(F.col("_ok"), "completed").otherwise("skipped").alias("outcome"), nothing)
         elif stage == "index":
             return claimed.select("id", F.lit("completed").alias("outcome"), nothing)

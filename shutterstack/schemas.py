@@ -37,6 +37,7 @@ METADATA = _schema(
 )
 PROBE = "streams array<struct<codec_type string, codec_name string, width int, height int, r_frame_rate string>>, format struct<duration string, bit_rate string>"
 
+# Stages of the queue, those a new file is enqueued for, the states of a job, and the extensions of media files.
 STAGES = ("extract_metadata", "extract_frames", "embed", "index", "re_embed", "transcode")
 ENQUEUED = ("extract_metadata", "extract_frames", "embed", "index")
 STATUSES = ("pending", "running", "completed", "failed", "skipped")

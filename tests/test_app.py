@@ -19,7 +19,7 @@ from shutterstack.config import Config, parse_config
 from shutterstack.encoders import HashingEncoder, pad
 from shutterstack.errors import CatalogError, NotFoundError, StorageError
 from shutterstack.http import server
-from shutterstack.sources.scan import exif_fields, image_metadata, image_size, read_sidecars, scan_directory, write_sidecars
+from shutterstack.sources.scan import exif_fields, image_metadata, image_size, probe_video, read_sidecars, scan_directory, write_sidecars
 from shutterstack.sources.storage import Table
 from shutterstack.streaming.ingest import ingest, progress, reduce_stream, watch
 
@@ -138,6 +138,22 @@ def test_life_of_a_catalog(catalog, library):
     assert catalog.reembed("m2", "1") == 5 and catalog.reembed("m2", "1") == 0
 
 
+def test_videos_are_probed_where_the_program_is(catalog, library, tmp_path, monkeypatch):
+    """A stand-in that prints a fixed probe for one file and fails on others."""
+    (library / "bad.mp4").write_bytes(b"?")
+    tool = tmp_path / "bin" / "ffprobe"
+    tool.parent.mkdir()
+    tool.write_text('#!/bin/sh\nfor last; do :; done\ncase "$last" in *bad*) exit 1;; esac\n' + """echo '{"streams":[{"codec_type":"video","codec_name":"h264","width":640,"height":360,"r_frame_rate":"25/1"}],"format":{"duration":"2.5","bit_rate":"800000"}}'\n""")
+    tool.chmod(0o755)
+    monkeypatch.setattr("shutterstack.app.shutil.which", lambda name: str(tool))
+    monkeypatch.setattr("shutterstack.app.probe_video", lambda df: probe_video(df, program=str(tool)))
+    catalog.scan(str(library))
+    catalog.ingest(("extract_metadata",))
+    rows = catalog.read("metadata").where("codec is not null").collect()
+    assert [(r["width"], r["duration_ms"], r["bitrate_kbps"], r["fps"]) for r in rows] == [(640, 2500, 800, 25.0)]
+    assert [r["file_path"].rsplit("/", 1)[1] for r in catalog.read("jobs").where("status = 'failed'").collect()] == ["bad.mp4"]
+
+
 def test_command_line(catalog, library):
     say = lambda *argv: (lambda out: (cli.run(cli.parser().parse_args(argv), catalog, Config(), out), out.getvalue())[1])(io.StringIO())
     assert json.loads(say("scan", str(library))) == {"new": 6}
