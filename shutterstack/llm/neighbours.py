@@ -21,7 +21,7 @@ SHARD, SHARD_MOST, SHARDS_MOST = 8000, 48_000, 8192
 SAMPLE, PER_CENTRE = 20_000, 16
 #: A vector also enters the shards whose centre is at most ``MARGIN`` less similar than its best, ``REPLICAS`` shards at most.
 MARGIN, REPLICAS = 0.08, 3
-DEGREE, BEAM, QUERY_BEAM, ENTRIES, WIDTH = 16, 12, 12, 1024, 8
+DEGREE, BEAM, QUERY_BEAM, ENTRIES, WIDTH = 16, 12, 12, 2048, 8
 
 _MEMBER = "shard int, part int, id string, n long, unit binary, indexed boolean"
 
@@ -90,26 +90,45 @@ def _assigned(batches: Iterator[pa.RecordBatch], centres: np.ndarray, parts: np.
 
 
 def search_shard(x: np.ndarray, indexed: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Build the graph over the indexed rows and search it for every row: batches of (query row, found row, distance), k others at most."""
+    """Build the graph over the indexed rows and search it for every row: batches of (query row, found row, distance), k others at most.
+
+    What the nearest points found have found themselves is measured too: a point that one search missed is
+    seldom missed by all its neighbours' searches.
+    """
     base = np.nonzero(indexed)[0]
     if not len(base):
         return
     graph = RobustGraph(x[base], DEGREE, BEAM, entries=ENTRIES, width=WIDTH)
-    place = np.full(len(x), -1, np.int64)
+    beam = max(QUERY_BEAM, k + 1)
+    found = np.full((len(base), beam), -1, np.int32)
+    for i in range(0, len(base), 1024):
+        own = np.arange(i, min(i + 1024, len(base)), dtype=np.int32)
+        ids, dist = graph.search(graph.x[own], beam, own=own)
+        found[own] = np.where(np.isfinite(dist), ids, -1)
+    place = np.full(len(x), -1, np.int32)
     place[base] = np.arange(len(base))
-    for rows in (np.nonzero(indexed)[0], np.nonzero(~indexed)[0]):
+    for rows in (base, np.nonzero(~indexed)[0]):
         for i in range(0, len(rows), 1024):
             q = rows[i : i + 1024]
-            own = place[q].astype(np.int32) if indexed[q[0]] else None
-            ids, dist = graph.search(x[q], max(QUERY_BEAM, k + 1), own=own)
-            if own is not None:
-                dist[ids == own[:, None]] = np.inf
-                order = np.argsort(dist, axis=1, kind="stable")
-                ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
-            row, slot = np.nonzero(np.isfinite(dist[:, :k]))
+            own = place[q]
+            ids = found[own] if own[0] >= 0 else graph.search(x[q], beam)[0]
+            ids, dist = nearest_of(graph.x, x[q], np.concatenate([ids, found[ids[:, : k + 1]].reshape(len(q), -1)], axis=1), own, k)
+            row, slot = np.nonzero(np.isfinite(dist))
             yield q[row], base[ids[row, slot]], dist[row, slot]
 
 
+def nearest_of(x: np.ndarray, queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` nearest of each row of candidates, which may repeat; -1 and a query's own point don't count."""
+    c = np.sort(candidates, axis=1)
+    keep = (c >= 0) & (c != own[:, None])
+    keep[:, 1:] &= c[:, 1:] != c[:, :-1]
+    row, slot = np.nonzero(keep)
+    d = np.full(c.shape, np.inf, np.float32)
+    d[row, slot] = 1 - np.einsum("kd,kd->k", x[c[row, slot]], queries[row])
+    order = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(c, order, 1), np.take_along_axis(d, order, 1)
+
+
 def similar_classes(vectors: DataFrame, rows: int, dim: int, k: int, least: float) -> DataFrame:
     """Rows ``(id, n, other, other_n, cosine)``: for each of the distinct ``vectors(id, n, class, unit)`` up to ``k`` most similar others found, of at least ``least``."""
     spark = vectors.sparkSession
