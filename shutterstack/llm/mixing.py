@@ -220,8 +220,9 @@ def block_tokens(mixed: DataFrame, documents: DataFrame, path: str = TOKENIZER)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": [np.array(encode(t), np.int32) for t in batch["text"]]})
 
-    texts = documents.where("doc_id is not null and text <> ''").select("doc_id", "text").groupBy("doc_id").agg(F.max(F.struct(F.length("text"), "text"))["text"].alias("text"))
-    ids = texts.mapInPandas(encoded, "doc_id long, ids array<int>")
+    # of repeated rows the one that the mixture was measured by
+    whole = documents.where("doc_id is not null and text <> ''").select("doc_id", "text").mapInPandas(encoded, "doc_id long, ids array<int>")
+    ids = whole.groupBy("doc_id").agg(F.max(F.struct(F.size("ids"), "ids"))["ids"].alias("ids"))
     pieces = mixed.select("shard_no", "slot_no", F.posexplode("pieces").alias("at", "p")).select("shard_no", "slot_no", "at", "p.*")
     cut = pieces.join(ids, "doc_id").select("shard_no", "slot_no", "at", F.slice("ids", (F.col("first_token") + 1).cast("int"), F.col("n_tokens").cast("int")).alias("part"))
     ordered = F.sort_array(F.collect_list(F.struct("at", "part")))
