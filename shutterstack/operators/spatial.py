@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterstack.functions.vptree import VPTree, angle, unit_vectors
+from shutterstack.functions.vptree import VPTree, unit_vectors
 from shutterstack.operators.current import live_rows
 from shutterstack.session import checkpointed, drawn, ship_package
 
