@@ -499,6 +499,20 @@ def _meta_kind(spark, folder):
     return domain.metadata(spark, folder).join(best, "file_hash")
 
 
+@query("metadata_ffprobe_all", """SELECT file_hash, width, height, codec, round(CASE WHEN width % 3 = 0 THEN NULL WHEN width % 3 = 1 THEN 24.0 ELSE 30000.0 / 1001 END, 4) AS fps, CAST(floor(CAST(duration_ms AS DOUBLE) / 1000 * 1000) AS BIGINT) AS duration_ms, bitrate_kbps FROM meta WHERE media_type = 'video'
+  UNION ALL SELECT file_hash, NULL, NULL, NULL, NULL, NULL, NULL FROM meta WHERE media_type = 'image'""")
+def _(spark, folder):
+    """Every video, whatever its duration; a null field isn't in its JSON at all."""
+    m = _meta_kind(spark, folder)
+    rate = F.when(F.col("width") % 3 == 0, "0/0").when(F.col("width") % 3 == 1, "24").otherwise("30000/1001")
+    duration = F.format_string("%d.%03d", F.floor(F.col("duration_ms") / 1000), F.pmod("duration_ms", F.lit(1000)))
+    audio, video = F.struct(F.lit("audio").alias("codec_type"), F.lit("aac").alias("codec_name")), F.struct(F.lit("video").alias("codec_type"), F.col("codec").alias("codec_name"), "width", "height", F.array(F.lit(1)).alias("extra"), rate.alias("r_frame_rate"))
+    form = F.struct(F.when(F.col("duration_ms").isNotNull(), duration).alias("duration"), F.concat(F.col("bitrate_kbps").cast("string"), F.lit("999")).alias("bit_rate"))
+    json = F.concat(F.lit('{"streams":['), F.to_json(audio), F.lit(","), F.to_json(video), F.lit('],"format":'), F.to_json(form), F.lit("}"))
+    rows = m.select("file_hash", F.when(F.col("media_type") == "video", json).when(F.col("media_type") == "image", '{"streams":[],"format":{}}').alias("json")).where("json is not null")
+    return rows.select("file_hash", rules.probe_fields(F.col("json")).alias("p")).select("file_hash", "p.width", "p.height", "p.codec", _r(F.col("p.fps").cast("double"), 4).alias("fps"), "p.duration_ms", "p.bitrate_kbps")
+
+
 @query("metadata_exif_struct", "SELECT file_hash, coalesce(exif_camera_make, exif_camera_model, exif_date_taken, CAST(exif_gps_lat AS VARCHAR)) IS NOT NULL AS has_exif, exif_camera_make AS camera_make FROM meta")
 def _(spark, folder):
     rows = catalog.exif_struct(domain.metadata(spark, folder))
