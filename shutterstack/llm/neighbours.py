@@ -15,11 +15,12 @@ from shutterstack.llm.graph import RobustGraph
 from shutterstack.operators.current import live_rows
 from shutterstack.session import broadcast_if_small, checkpointed, drawn, ship_package
 
-#: Distinct vectors aimed at per shard before replication, a shard's most members, and the most shards.
-SHARD, SHARD_MOST, SHARDS_MOST = 8000, 48_000, 8192
+#: Distinct vectors aimed at per shard before replication, the most indexed and the most searched for in one graph, and the most centres.
+SHARD, SHARD_MOST, SEARCHED_MOST, SHARDS_MOST = 8000, 48_000, 192_000, 8192
 #: The centres that route vectors to shards are fitted on this many distinct vectors, or ``PER_CENTRE`` for each centre if that is more.
 SAMPLE, PER_CENTRE = 20_000, 16
-#: A vector also enters the shards whose centre is at most ``MARGIN`` less similar than its best, ``REPLICAS`` shards at most.
+#: A vector is searched for in every shard that has a centre at most ``MARGIN`` less similar than its best, and indexed in those of the ``REPLICAS``
+#: nearest of these centres. Centres of a cosine of 1 - ``MARGIN`` or more to a common one make one shard.
 MARGIN, REPLICAS = 0.08, 3
 DEGREE, BEAM, QUERY_BEAM, ENTRIES, WIDTH = 16, 12, 12, 2048, 8
 
@@ -60,32 +61,59 @@ def fit_centres(sample: np.ndarray, n: int, rounds: int = 10) -> np.ndarray:
     return centres
 
 
-def shards_of(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row, shard): the shards a vector belongs to."""
-    rows, shards = [], []
-    take = min(REPLICAS, len(centres))
+def merged(centres: np.ndarray) -> np.ndarray:
+    """The shard of each centre: centres within ``MARGIN`` of a common one, the one with the most such neighbours first, make one shard."""
+    near = np.concatenate([(centres[i : i + 1024] @ centres.T >= 1 - MARGIN).sum(axis=1) for i in range(0, len(centres), 1024)])
+    shard, n = np.full(len(centres), -1), 0
+    for i in np.argsort(-near, kind="stable"):
+        if shard[i] < 0:
+            shard[(shard < 0) & (centres @ centres[i] >= 1 - MARGIN)] = n
+            shard[i] = n
+            n += 1
+    return shard
+
+
+def places_of(x: np.ndarray, centres: np.ndarray, merge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (row, shard, indexed): every shard a vector is searched for in, and whether it is indexed there too."""
+    found, take, n = [], min(REPLICAS, len(centres)), int(merge.max()) + 1
     for i in range(0, len(x), 4096):
         s = x[i : i + 4096] @ centres.T
+        least = s.max(axis=1, keepdims=True) - MARGIN
+        row, centre = np.nonzero(s >= least)
+        searched = np.unique(row * n + merge[centre])
         best = np.argpartition(-s, take - 1, axis=1)[:, :take]
-        value = np.take_along_axis(s, best, 1)
-        row, slot = np.nonzero(value >= value.max(axis=1, keepdims=True) - MARGIN)
-        rows.append(row + i)
-        shards.append(best[row, slot])
-    return np.concatenate(rows or [np.empty(0, int)]), np.concatenate(shards or [np.empty(0, int)])
+        row, slot = np.nonzero(np.take_along_axis(s, best, 1) >= least)
+        found.append((searched // n + i, searched % n, np.isin(searched, row * n + merge[best[row, slot]])))
+    return tuple(np.concatenate(p) for p in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0, bool))
+
+
+def shards_of(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, shard): the shards a vector is searched for in."""
+    return places_of(x, centres, merged(centres))[:2]
 
 
-def _assigned(batches: Iterator[pa.RecordBatch], centres: np.ndarray, parts: np.ndarray, dim: int) -> Iterator[pa.RecordBatch]:
-    """Every vector once for each shard it belongs to; where a shard has several parts it is indexed in one and a query in all."""
+def _assigned(batches: Iterator[pa.RecordBatch], centres: np.ndarray, merge: np.ndarray, parts: np.ndarray, slices: np.ndarray, dim: int) -> Iterator[pa.RecordBatch]:
+    """Every vector once for each shard it is searched for in; where a shard has several parts it is indexed in one and a query in all.
+
+    Where a part has several slices each has all that the part indexes, and a share of its queries.
+    """
     for batch in batches:
         classes, units = batch.column("class").to_pylist(), batch.column("unit")
-        row, shard = shards_of(_matrix(units.to_pylist(), dim), centres)
+        row, shard, indexed = places_of(_matrix(units.to_pylist(), dim), centres, merge)
+        digest = np.array([int.from_bytes(c[8:12], "little") for c in classes], np.int64)[row]
+        own, home = digest % parts[shard], digest // parts[shard] % slices[shard]
         each = parts[shard]
+        at = np.repeat(np.arange(len(row)), each)
         part = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        row, shard = np.repeat(row, each), np.repeat(shard, each)
-        own = np.array([int.from_bytes(c[8:12], "little") for c in classes], np.int64)[row] % parts[shard]
-        at = pa.array(row)
+        more = np.where(indexed, slices[shard] - 1, 0)
+        again = np.repeat(np.arange(len(row)), more)
+        other = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+        other += other >= home[again]
+        part, piece, kept = np.concatenate([part, own[again]]), np.concatenate([home[at], other]), np.concatenate([indexed[at] & (part == own[at]), np.ones(len(again), bool)])
+        at = np.concatenate([at, again])
+        of, place = pa.array(row[at]), part * slices[shard[at]] + piece
         yield pa.RecordBatch.from_arrays(
-            [pa.array(shard.astype(np.int32)), pa.array(part.astype(np.int32)), batch.column("id").take(at), batch.column("n").take(at), units.take(at), pa.array(part == own)], names=["shard", "part", "id", "n", "unit", "indexed"]
+            [pa.array(shard[at].astype(np.int32)), pa.array(place.astype(np.int32)), batch.column("id").take(of), batch.column("n").take(of), units.take(of), pa.array(kept)], names=["shard", "part", "id", "n", "unit", "indexed"]
         )
 
 
@@ -135,9 +163,10 @@ def similar_classes(vectors: DataFrame, rows: int, dim: int, k: int, least: floa
     shards = min(SHARDS_MOST, max(1, -(-rows // SHARD)))
     sample = _matrix([r[0] for r in drawn(vectors.select("unit"), F.xxhash64("unit"), max(SAMPLE, PER_CENTRE * shards), rows).toLocalIterator()], dim)
     centres = fit_centres(sample, shards) if len(sample) else np.zeros((1, dim), np.float32)
-    members = np.bincount(shards_of(sample, centres)[1], minlength=len(centres)) * (rows / max(1, len(sample)))
-    parts = np.maximum(1, np.ceil(members / SHARD_MOST)).astype(np.int64)
-    held = spark.sparkContext.broadcast((centres, parts))
+    merge = merged(centres)
+    _, shard, indexed = places_of(sample, centres, merge)
+    parts, slices = (np.maximum(1, np.ceil(np.bincount(held, minlength=merge.max() + 1) * (rows / max(1, len(sample))) / most)).astype(np.int64) for held, most in ((shard[indexed], SHARD_MOST), (shard, SEARCHED_MOST)))
+    held = spark.sparkContext.broadcast((centres, merge, parts, slices))
     placed = vectors.select("id", "n", "class", "unit").mapInArrow(lambda batches: _assigned(batches, *held.value, dim), _MEMBER)
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
@@ -153,7 +182,7 @@ def similar_classes(vectors: DataFrame, rows: int, dim: int, k: int, least: floa
         return pd.concat(found) if found else pd.DataFrame({"id": [], "n": [], "other": [], "other_n": [], "cosine": []}, dtype=object)
 
     # three partitions for each graph, so that few tasks get more than one
-    placed = placed.repartition(3 * int(parts.sum()), "shard", "part")
+    placed = placed.repartition(3 * int((parts * slices).sum()), "shard", "part")
     return placed.groupBy("shard", "part").applyInPandas(search, "id string, n long, other string, other_n long, cosine double")
 
 
@@ -167,7 +196,8 @@ def most_similar(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int =
     a shard: a row's other copies come first, and only ``k`` + 1 members of a vector are ever needed to answer for all. The
     distinct vectors go to the shards of their nearest centres; in each a robust-pruned graph is built, and a
     beam search from every member finds its neighbours. A shard that is expected to grow beyond ``SHARD_MOST`` is
-    split into parts, each member indexed in one and searched for in all. The centres are fitted on a bounded sample,
+    split into parts, each member indexed in one and searched for in all. Where many centres lie in one dense cluster of
+    distinct vectors they are one shard, so its size squared over ``SHARD_MOST`` is what it costs. The centres are fitted on a bounded sample,
     but every vector is indexed and searched for. The search is approximate; the cosines are exact.
     """
     ship_package(vectors.sparkSession)
