@@ -72,7 +72,8 @@ def run(args: argparse.Namespace, catalog: Catalog, config: Config, out=sys.stdo
         say(catalog.reembed(args.model_id, args.version), "jobs")
     elif args.command == "dedup":
         for tier, rows in catalog.dedup(args.tier, args.threshold).items():
-            say(dedup.duplicate_report(tier, rows), end="")
+            for line in dedup.report_lines(tier, rows):
+                say(line)
     elif args.command == "transcode":
         say(json.dumps(transcode.summary(catalog.transcode_plan(config.transcode)).first().asDict()))
     elif args.command == "config":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,17 +107,35 @@ def duplicates(tier: str, files: DataFrame, media: DataFrame, threshold: float =
     return {name: run() for name, run in tiers.items() if tier in (name, "all")}
 
 
-def duplicate_report(tier: str, result: DataFrame, most: int = 1000) -> str:
-    """The first ``most`` rows of a tier's result as text."""
-    rows = result.limit(most).collect()
-    if not rows:
-        return f"No {tier} duplicates found.\n"
-    lines = [f"{tier} duplicates: {len(rows)}"]
-    for r in rows:
-        if tier == "exact":
-            lines.append(f"  {r['file_hash'][:12]}: {r['n']} files, {r['bytes']} bytes, from {r['first_path']} to {r['last_path']}")
-        elif tier == "visual":
-            lines.append(f"  {r['cluster_id']}: {r['id']} ({r['similarity']:.3f})")
-        else:
-            lines.append(f"  {r['video_a']} and {r['video_b']}: {r['shared']} frames, {100 * r['overlap_ratio']:.1f} %")
-    return "\n".join(lines) + "\n"
+#: By tier: the order of a report's rows, and the totals of its first line.
+_REPORT = {
+    "exact": (("file_hash",), "count(*) || ' sets, ' || sum(n - 1) || ' extra files'"),
+    "visual": (("cluster_id", "id"), "count(distinct cluster_id) || ' clusters, ' || count(*) || ' items'"),
+    "cross-video": (("video_a", "video_b"), "count(*) || ' pairs'"),
+}
+
+
+def report_lines(tier: str, result: DataFrame) -> Iterator[str]:
+    """All rows of a tier's result as lines of text in a fixed order, after their totals; the driver holds one partition at a time."""
+    order, totals = _REPORT[tier]
+    rows = result.orderBy(*order).persist()
+    try:
+        n, total = rows.agg(F.count("*"), F.expr(totals)).first()
+        if not n:
+            yield f"No {tier} duplicates found."
+            return
+        yield f"{tier} duplicates: {total}"
+        for r in rows.toLocalIterator():
+            if tier == "exact":
+                yield f"  {r['file_hash'][:12]}: {r['n']} files, {r['bytes']} bytes, from {r['first_path']} to {r['last_path']}"
+            elif tier == "visual":
+                yield f"  {r['cluster_id']}: {r['id']} ({r['similarity']:.3f})"
+            else:
+                yield f"  {r['video_a']} and {r['video_b']}: {r['shared']} frames, {100 * r['overlap_ratio']:.1f} %"
+    finally:
+        rows.unpersist()
+
+
+def duplicate_report(tier: str, result: DataFrame) -> str:
+    """All of ``report_lines`` as one text."""
+    return "".join(line + "\n" for line in report_lines(tier, result))
