@@ -23,6 +23,10 @@ def _now() -> str:
     return dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
+#: Jobs of a stage claimed at a time.
+CLAIMED = 1_000_000
+
+
 class Catalog:
     """All tables of one catalog. One process writes at a time; readers always see whole versions."""
 
@@ -68,16 +72,19 @@ class Catalog:
         return numbered.withColumns({"attempts": F.lit(0), "max_attempts": F.lit(3), "created_at": stamp})
 
     def ingest(self, stages: tuple[str, ...] = ("extract_frames", "extract_metadata", "embed", "index"), worker: str = "local") -> dict[str, int]:
-        """Work off the queue stage by stage: every claimed batch is one transformation, and then one commit of results and outcomes. Jobs done by stage."""
+        """Work off the queue stage by stage, each until nothing can be claimed: every claimed batch is one transformation, and then one commit of results and outcomes. Jobs done by stage."""
         self.tables["jobs"].overwrite(jobs.reset_running(self.read("jobs")))
         done = {}
         for stage in stages:
-            queue = self.read("jobs")
-            claimed = jobs.claim(queue.where(F.col("stage") == stage), worker, 1_000_000, 3).select("id").join(queue, "id").persist()
-            done[stage] = claimed.count()
-            if done[stage]:
-                self.tables["jobs"].overwrite(jobs.transition(queue, self._work(stage, claimed)))
-            claimed.unpersist()
+            done[stage], n = 0, 1
+            while n:
+                queue = self.read("jobs")
+                claimed = jobs.claim(queue.where(F.col("stage") == stage), worker, CLAIMED, 3).select("id").join(queue, "id").persist()
+                n = claimed.count()
+                if n:
+                    self.tables["jobs"].overwrite(jobs.transition(queue, self._work(stage, claimed)))
+                claimed.unpersist()
+                done[stage] += n
         return done
 
     def _work(self, stage: str, claimed: DataFrame) -> DataFrame:
