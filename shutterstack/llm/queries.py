@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shutterstack.llm.groups import visual_match_groups
-from shutterstack.llm.mixing import mixture, mixture_shares
+from shutterstack.llm.mixing import block_tokens, mixture, mixture_shares
 from shutterstack.llm.neighbours import similar_media
 from shutterstack.llm.packing import pack_documents, packing_report
 from shutterstack.llm.residue import residue_documents
@@ -48,12 +48,16 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture_shares(p8_mixture(spark, folder), read_table(spark, folder, "mix_targets"))
 
 
+def p8_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return block_tokens(p8_mixture(spark, folder), read_table(spark, folder, "documents"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue_documents(read_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_records, p3_found, p4_found, p7_containers, p7_report, p8_mixture, p8_shares, p9_found)
+    f.__name__: f for f in (p2_found, p2_records, p3_found, p4_found, p7_containers, p7_report, p8_mixture, p8_shares, p8_tokens, p9_found)
 }
 
 P2_SQL = f"""
