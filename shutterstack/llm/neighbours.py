@@ -15,16 +15,26 @@ from shutterstack.llm.graph import RobustGraph
 from shutterstack.operators.current import live_rows
 from shutterstack.session import broadcast_if_small, checkpointed, drawn, ship_package
 
-#: Distinct vectors aimed at per shard before replication, the most indexed and the most searched for in one graph, and the most centres.
-SHARD, SHARD_MOST, SEARCHED_MOST, SHARDS_MOST = 8000, 48_000, 192_000, 8192
+#: Distinct vectors aimed at per shard before replication, the most indexed and the most searched for in one graph, and the most centres of one level.
+SHARD, SHARD_MOST, SEARCHED_MOST, CENTRES_MOST = 32_000, 128_000, 512_000, 8192
 #: The centres that route vectors to shards are fitted on this many distinct vectors, or ``PER_CENTRE`` for each centre if that is more.
 SAMPLE, PER_CENTRE = 20_000, 16
-#: A vector is searched for in every shard that has a centre at most ``MARGIN`` less similar than its best, and indexed in those of the ``REPLICAS``
-#: nearest of these centres. Centres of a cosine of 1 - ``MARGIN`` or more to a common one make one shard.
-MARGIN, REPLICAS = 0.08, 3
-DEGREE, BEAM, QUERY_BEAM, ENTRIES, WIDTH = 16, 12, 12, 2048, 8
+#: A vector is searched for in every shard that has a centre at most a margin less similar than its best, and indexed in those of the ``REPLICAS``
+#: nearest of these centres. The margin is ``MARGIN`` for neighbours of cosine 0.5, and shrinks with the chord to the least similar neighbour wanted.
+#: Centres within ``MERGED`` of a cosine of 1 to a common one make one shard.
+MARGIN, REPLICAS, MERGED = 0.16, 2, 0.08
+#: Points kept of every member's search, and points that a search from outside the index keeps.
+QUERY_BEAM, OUTER_BEAM = 12, 16
+#: Rows of a heavy shard that one task routes.
+ROUTED = 65_536
 
-_MEMBER = "shard int, part int, id string, n long, unit binary, indexed boolean"
+_ROUTED = "shard long, id string, n long, class binary, unit binary, best float, indexed boolean"
+_FOUND = "id string, n long, other string, other_n long, cosine double"
+
+
+def margin_for(least: float) -> float:
+    """How much less similar than a vector's best centre another may be to be searched, for neighbours of cosine ``least`` or more."""
+    return MARGIN * float(np.sqrt(2 * (1 - min(0.995, max(0.5, least)))))
 
 
 def _unit_batches(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
@@ -62,84 +72,135 @@ def fit_centres(sample: np.ndarray, n: int, rounds: int = 10) -> np.ndarray:
 
 
 def merged(centres: np.ndarray) -> np.ndarray:
-    """The shard of each centre: centres within ``MARGIN`` of a common one, the one with the most such neighbours first, make one shard."""
-    near = np.concatenate([(centres[i : i + 1024] @ centres.T >= 1 - MARGIN).sum(axis=1) for i in range(0, len(centres), 1024)])
+    """The shard of each centre: centres within ``MERGED`` of a common one, the one with the most such neighbours first, make one shard."""
+    near = np.concatenate([(centres[i : i + 1024] @ centres.T >= 1 - MERGED).sum(axis=1) for i in range(0, len(centres), 1024)])
     shard, n = np.full(len(centres), -1), 0
     for i in np.argsort(-near, kind="stable"):
         if shard[i] < 0:
-            shard[(shard < 0) & (centres @ centres[i] >= 1 - MARGIN)] = n
+            shard[(shard < 0) & (centres @ centres[i] >= 1 - MERGED)] = n
             shard[i] = n
             n += 1
     return shard
 
 
-def places_of(x: np.ndarray, centres: np.ndarray, merge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (row, shard, indexed): every shard a vector is searched for in, and whether it is indexed there too."""
+def places_of(x: np.ndarray, centres: np.ndarray, merge: np.ndarray, margin: float, best: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (row, shard, indexed, similarity of the best centre): every shard a vector is searched for in, and whether it is indexed there too.
+
+    ``best`` is what its best centre of the level above gave; a vector whose best centre is elsewhere may need no shard here.
+    """
     found, take, n = [], min(REPLICAS, len(centres)), int(merge.max()) + 1
     for i in range(0, len(x), 4096):
         s = x[i : i + 4096] @ centres.T
-        least = s.max(axis=1, keepdims=True) - MARGIN
-        row, centre = np.nonzero(s >= least)
+        top = s.max(axis=1) if best is None else np.maximum(s.max(axis=1), best[i : i + 4096])
+        row, centre = np.nonzero(s >= top[:, None] - margin)
         searched = np.unique(row * n + merge[centre])
-        best = np.argpartition(-s, take - 1, axis=1)[:, :take]
-        row, slot = np.nonzero(np.take_along_axis(s, best, 1) >= least)
-        found.append((searched // n + i, searched % n, np.isin(searched, row * n + merge[best[row, slot]])))
-    return tuple(np.concatenate(p) for p in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0, bool))
+        near = np.argpartition(-s, take - 1, axis=1)[:, :take]
+        row, slot = np.nonzero(np.take_along_axis(s, near, 1) >= top[:, None] - margin)
+        found.append((searched // n + i, searched % n, np.isin(searched, row * n + merge[near[row, slot]]), top[searched // n].astype(np.float32)))
+    return tuple(np.concatenate(p) for p in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0, bool), np.empty(0, np.float32))
 
 
-def shards_of(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shards_of(x: np.ndarray, centres: np.ndarray, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row, shard): the shards a vector is searched for in."""
-    return places_of(x, centres, merged(centres))[:2]
+    return places_of(x, centres, merged(centres), margin)[:2]
+
 
+def _routed(batches: Iterator[pa.RecordBatch], centres: np.ndarray, merge: np.ndarray, margin: float, dim: int) -> Iterator[pa.RecordBatch]:
+    """Every vector once for each shard it is searched for in."""
+    for batch in batches:
+        row, shard, indexed, best = places_of(_matrix(batch.column("unit").to_pylist(), dim), centres, merge, margin)
+        of = pa.array(row)
+        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *(batch.column(c).take(of) for c in ("id", "n", "class", "unit")), pa.array(best), pa.array(indexed)], names=["shard", "id", "n", "class", "unit", "best", "indexed"])
 
-def _assigned(batches: Iterator[pa.RecordBatch], centres: np.ndarray, merge: np.ndarray, parts: np.ndarray, slices: np.ndarray, dim: int) -> Iterator[pa.RecordBatch]:
-    """Every vector once for each shard it is searched for in; where a shard has several parts it is indexed in one and a query in all.
 
-    Where a part has several slices each has all that the part indexes, and a share of its queries.
+def _sizes(routed: DataFrame) -> dict[int, tuple[int, int]]:
+    """Indexed and searched vectors of each shard: a small row for each ``SHARD`` vectors or so."""
+    rows = routed.groupBy("shard").agg(F.count_if("indexed").alias("indexed"), F.count("*").alias("searched"))
+    return {r["shard"]: (r["indexed"], r["searched"]) for r in rows.toLocalIterator()}
+
+
+def _split(heavy: DataFrame, sizes: dict[int, tuple[int, int]], margin: float, dim: int) -> tuple[DataFrame, set[int]]:
+    """Rows of heavy shards routed to shards of their own, and the heavy shards that have no structure to split them by.
+
+    Each heavy shard fits its own centres, one for ``SHARD`` members, on a sample of bounded size, in a task of its own; then its
+    rows, salted, meet the centres. What had a better centre in another shard is searched for only in the new shards within the margin of that.
     """
-    for batch in batches:
-        classes, units = batch.column("class").to_pylist(), batch.column("unit")
-        row, shard, indexed = places_of(_matrix(units.to_pylist(), dim), centres, merge)
-        digest = np.array([int.from_bytes(c[8:12], "little") for c in classes], np.int64)[row]
-        own, home = digest % parts[shard], digest // parts[shard] % slices[shard]
-        each = parts[shard]
-        at = np.repeat(np.arange(len(row)), each)
-        part = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        more = np.where(indexed, slices[shard] - 1, 0)
-        again = np.repeat(np.arange(len(row)), more)
-        other = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
-        other += other >= home[again]
-        part, piece, kept = np.concatenate([part, own[again]]), np.concatenate([home[at], other]), np.concatenate([indexed[at] & (part == own[at]), np.ones(len(again), bool)])
-        at = np.concatenate([at, again])
-        of, place = pa.array(row[at]), part * slices[shard[at]] + piece
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(shard[at].astype(np.int32)), pa.array(place.astype(np.int32)), batch.column("id").take(of), batch.column("n").take(of), units.take(of), pa.array(kept)], names=["shard", "part", "id", "n", "unit", "indexed"]
-        )
+    spark = heavy.sparkSession
+    wanted = {g: min(CENTRES_MOST, -(-m // SHARD)) for g, (m, _) in sizes.items()}
+    table = [(g, min(1.0, max(1024, 2 * PER_CENTRE * wanted[g]) / m), -(-n // ROUTED)) for g, (m, n) in sizes.items()]
+    held = broadcast_if_small(spark.createDataFrame(table, "shard long, share double, salts long"))
+    rows = heavy.join(held, "shard")
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("class", kind="stable")
+        shard = int(frame["shard"].iat[0])
+        centres = fit_centres(_matrix(frame["unit"], dim), wanted[shard])
+        return pd.DataFrame({"shard": [shard], "centres": [centres.tobytes()], "merge": [merged(centres).tolist()]})
+
+    drawn_rows = rows.where(F.col("indexed") & (F.xxhash64("class", F.lit(3)) <= (F.col("share") * 2.0**64 - 2.0**63)))
+    fitted = checkpointed(drawn_rows.select("shard", "class", "unit").groupBy("shard").applyInPandas(fit, "shard long, centres binary, merge array<long>"))
+    split = fitted.where(F.array_max("merge") > 0)
+    dense = set(wanted) - {r["shard"] for r in split.select("shard").toLocalIterator()}
+
+    def route(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return left.iloc[:0].drop(columns="salt")
+        row, shard, indexed, best = places_of(_matrix(left["unit"], dim), _matrix(right["centres"], dim), np.asarray(right["merge"].iat[0]), margin, left["best"].to_numpy(np.float32))
+        out = left.iloc[row].drop(columns="salt")
+        # shards are numbered below the one they come from; 16,384 is above the number of centres
+        return out.assign(shard=(out["shard"] + 1) * 16_384 + shard, best=best, indexed=out["indexed"].to_numpy() & indexed)
+
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("class", F.lit(4)), F.col("salts"))).select("shard", "salt", "id", "n", "class", "unit", "best", "indexed")
+    asked = split.join(held, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "centres", "merge")
+    return checkpointed(salted.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInPandas(route, _ROUTED)), dense
+
+
+def _graphs(routed: DataFrame, sizes: dict[int, tuple[int, int]]) -> tuple[DataFrame, int]:
+    """``routed`` with ``slot``, the number of the graph a row goes to, largest first, and the number of graphs.
+
+    A shard that could not be split by its structure has parts: each member is indexed in one and searched for in all. A part that is asked
+    too much has slices, each with all that the part indexes and a share of its queries.
+    """
+    table, slots = [], 0
+    for shard, (indexed, searched) in sorted(sizes.items(), key=lambda s: (-s[1][0], s[0])):
+        parts, slices = max(1, -(-indexed // SHARD_MOST)), max(1, -(-searched // SEARCHED_MOST))
+        table.append((shard, slots, parts, slices))
+        slots += parts * slices
+    held = broadcast_if_small(routed.sparkSession.createDataFrame(table, "shard long, slot long, parts long, slices long"))
+    digest = F.xxhash64("class", F.lit(5))
+    own, home = F.pmod(digest, F.col("parts")), F.pmod(F.shiftright(digest, 20), F.col("slices"))
+    rows = routed.join(held, "shard").withColumns({"own": own, "home": home})
+    whole = F.struct(F.col("own").alias("part"), F.col("home").alias("slice"), F.col("indexed").alias("kept"))
+    asked = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.col("home").alias("slice"), (F.col("indexed") & (p == F.col("own"))).alias("kept")))
+    again = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda s: F.struct(F.col("own").alias("part"), s.alias("slice"), F.lit(True).alias("kept")))
+    places = F.when((F.col("parts") == 1) & (F.col("slices") == 1), F.array(whole)).otherwise(F.when(F.col("indexed"), F.array_distinct(F.concat(asked, again))).otherwise(asked))
+    placed = rows.select("id", "n", "unit", "slot", "slices", F.explode(places).alias("p"))
+    return placed.select((F.col("slot") + F.col("p.part") * F.col("slices") + F.col("p.slice")).cast("int").alias("slot"), "id", "n", "unit", F.col("p.kept").alias("indexed")), slots
 
 
 def search_shard(x: np.ndarray, indexed: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Build the graph over the indexed rows and search it for every row: batches of (query row, found row, distance), k others at most.
 
-    What the nearest points found have found themselves is measured too: a point that one search missed is
+    A member was searched for when it entered the graph, and has been told since of later ones that found it; its beam search goes on from those, so it is
+    short. What the nearest points found have found themselves is measured too: a point that one search missed is
     seldom missed by all its neighbours' searches.
     """
     base = np.nonzero(indexed)[0]
     if not len(base):
         return
-    graph = RobustGraph(x[base], DEGREE, BEAM, entries=ENTRIES, width=WIDTH)
+    graph = RobustGraph(x[base])
     beam = max(QUERY_BEAM, k + 1)
     found = np.full((len(base), beam), -1, np.int32)
     for i in range(0, len(base), 1024):
         own = np.arange(i, min(i + 1024, len(base)), dtype=np.int32)
-        ids, dist = graph.search(graph.x[own], beam, own=own)
-        found[own] = np.where(np.isfinite(dist), ids, -1)
+        found[own] = graph.search(graph.x[own], beam, own=own)[0]
     place = np.full(len(x), -1, np.int32)
     place[base] = np.arange(len(base))
     for rows in (base, np.nonzero(~indexed)[0]):
         for i in range(0, len(rows), 1024):
             q = rows[i : i + 1024]
             own = place[q]
-            ids = found[own] if own[0] >= 0 else graph.search(x[q], beam)[0]
+            ids = found[own] if own[0] >= 0 else graph.search(x[q], max(OUTER_BEAM, k))[0]
             ids, dist = nearest_of(graph.x, x[q], np.concatenate([ids, found[ids[:, : k + 1]].reshape(len(q), -1)], axis=1), own, k)
             row, slot = np.nonzero(np.isfinite(dist))
             yield q[row], base[ids[row, slot]], dist[row, slot]
@@ -159,15 +220,22 @@ def nearest_of(x: np.ndarray, queries: np.ndarray, candidates: np.ndarray, own:
 
 def similar_classes(vectors: DataFrame, rows: int, dim: int, k: int, least: float) -> DataFrame:
     """Rows ``(id, n, other, other_n, cosine)``: for each of the distinct ``vectors(id, n, class, unit)`` up to ``k`` most similar others found, of at least ``least``."""
-    spark = vectors.sparkSession
-    shards = min(SHARDS_MOST, max(1, -(-rows // SHARD)))
+    spark, margin = vectors.sparkSession, margin_for(least)
+    shards = min(CENTRES_MOST, max(1, -(-rows // SHARD)))
     sample = _matrix([r[0] for r in drawn(vectors.select("unit"), F.xxhash64("unit"), max(SAMPLE, PER_CENTRE * shards), rows).toLocalIterator()], dim)
     centres = fit_centres(sample, shards) if len(sample) else np.zeros((1, dim), np.float32)
-    merge = merged(centres)
-    _, shard, indexed = places_of(sample, centres, merge)
-    parts, slices = (np.maximum(1, np.ceil(np.bincount(held, minlength=merge.max() + 1) * (rows / max(1, len(sample))) / most)).astype(np.int64) for held, most in ((shard[indexed], SHARD_MOST), (shard, SEARCHED_MOST)))
-    held = spark.sparkContext.broadcast((centres, merge, parts, slices))
-    placed = vectors.select("id", "n", "class", "unit").mapInArrow(lambda batches: _assigned(batches, *held.value, dim), _MEMBER)
+    held = spark.sparkContext.broadcast((centres, merged(centres)))
+    routed = vectors.select("id", "n", "class", "unit").mapInArrow(lambda batches: _routed(batches, *held.value, margin, dim), _ROUTED)
+    sizes = _sizes(routed)
+    heavy = {g: s for g, s in sizes.items() if s[0] > SHARD_MOST}
+    while heavy:
+        few = broadcast_if_small(spark.createDataFrame([(g,) for g in heavy], "shard long"))
+        moved, dense = _split(routed.join(few, "shard", "left_semi"), heavy, margin, dim)
+        split = set(heavy) - dense
+        gone = broadcast_if_small(spark.createDataFrame([(g,) for g in split], "shard long"))
+        routed, inner = routed.join(gone, "shard", "left_anti").unionByName(moved), _sizes(moved)
+        sizes = {g: s for g, s in sizes.items() if g not in split} | inner
+        heavy = {g: s for g, s in inner.items() if s[0] > SHARD_MOST}
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", kind="stable")
@@ -181,9 +249,8 @@ def similar_classes(vectors: DataFrame, rows: int, dim: int, k: int, least: floa
             found.append(pd.DataFrame({"id": key[q], "n": n[q], "other": key[p], "other_n": n[p], "cosine": cosine})[cosine >= least])
         return pd.concat(found) if found else pd.DataFrame({"id": [], "n": [], "other": [], "other_n": [], "cosine": []}, dtype=object)
 
-    # three partitions for each graph, so that few tasks get more than one
-    placed = placed.repartition(3 * int((parts * slices).sum()), "shard", "part")
-    return placed.groupBy("shard", "part").applyInPandas(search, "id string, n long, other string, other_n long, cosine double")
+    placed, slots = _graphs(routed, sizes)
+    return placed.repartitionById(max(1, slots), "slot").groupBy("slot").applyInPandas(search, _FOUND)
 
 
 def most_similar(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = 64) -> DataFrame:
@@ -195,9 +262,9 @@ def most_similar(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int =
     Equal vectors are one node of the index, so copies can't crowd out neighbours and a hot vector can't fill
     a shard: a row's other copies come first, and only ``k`` + 1 members of a vector are ever needed to answer for all. The
     distinct vectors go to the shards of their nearest centres; in each a robust-pruned graph is built, and a
-    beam search from every member finds its neighbours. A shard that is expected to grow beyond ``SHARD_MOST`` is
-    split into parts, each member indexed in one and searched for in all. Where many centres lie in one dense cluster of
-    distinct vectors they are one shard, so its size squared over ``SHARD_MOST`` is what it costs. The centres are fitted on a bounded sample,
+    beam search from every member finds its neighbours. A shard that counts more than ``SHARD_MOST`` members is split by centres of its own, again and
+    again; only where its vectors lie so close together that no centres tell them apart is it cut into parts, each
+    member indexed in one and searched for in all, which costs its size squared over ``SHARD_MOST``. The centres are fitted on bounded samples,
     but every vector is indexed and searched for. The search is approximate; the cosines are exact.
     """
     ship_package(vectors.sparkSession)

@@ -1,11 +1,15 @@
+import os
+
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shutterstack.llm import neighbours
 from shutterstack.llm.graph import RobustGraph
 from shutterstack.llm.neighbours import fit_centres, most_similar, search_shard, shards_of, similar_media
 from shutterstack.llm.queries import P3_SQL
+from shutterstack.operators.current import live_rows
 from shutterstack.session import read_table
 
 
@@ -24,8 +28,9 @@ def recall(x, found, k):
 
 def test_graph_recall_and_degree():
     x = clustered(3000)
-    graph = RobustGraph(x, 16, 16, entries=256)
-    assert (graph.edges >= 0).sum(axis=1).max() <= 16
+    graph = RobustGraph(x, 16, 16, entries=256, room=20)
+    assert (graph.edges >= 0).sum(axis=1).max() <= 20 and ((graph.edges >= 0).sum(axis=1) == graph.count).all()
+    assert all(len(set(row[row >= 0].tolist())) == n and i not in row for i, (row, n) in enumerate(zip(graph.edges, graph.count)))
     found = {}
     for q, p, _ in search_shard(x, np.ones(len(x), bool), 5):
         for a, b in zip(q.tolist(), p.tolist()):
@@ -36,13 +41,14 @@ def test_graph_recall_and_degree():
 def test_pruned_edges_are_diverse():
     """No edge is kept to a point that a nearer neighbour already leads to."""
     x = clustered(400)
-    graph = RobustGraph(x, 12, 24, alpha=1.2)
-    for i in range(0, 400, 37):
-        kept = graph.edges[i][graph.edges[i] >= 0]
+    graph = RobustGraph(x, 12, 24, alpha=1.1)
+    nodes = np.arange(0, 400, 37)
+    for i, row in zip(nodes, graph._prune(nodes, np.tile(np.arange(400), (len(nodes), 1)))):
+        kept = row[row >= 0]
         d = 1 - x[kept] @ x[i]
         for a in range(len(kept)):
             for b in range(a + 1, len(kept)):
-                assert 1.2 * (1 - x[kept[a]] @ x[kept[b]]) > d[b] - 1e-5
+                assert 1.1**2 * (1 - x[kept[a]] @ x[kept[b]]) > d[b] - 1e-5
 
 
 def test_parts_of_a_shard_find_the_same(monkeypatch):
@@ -65,9 +71,10 @@ def vectors(spark, x, ids=None):
     return spark.createDataFrame(rows, "id string, embedding array<float>, other string, cosine double")
 
 
-@pytest.mark.parametrize("shard", [8000, 150])
-def test_recall_of_the_operator(spark, monkeypatch, shard):
-    monkeypatch.setattr(neighbours, "SHARD", shard)
+@pytest.mark.parametrize("shard, most, centres", [(8000, 10_000, 100), (150, 10_000, 100), (100, 130, 2)], ids=["one shard", "shards", "shards split again"])
+def test_recall_of_the_operator(spark, monkeypatch, shard, most, centres):
+    for name, value in (("SHARD", shard), ("SHARD_MOST", most), ("CENTRES_MOST", centres)):
+        monkeypatch.setattr(neighbours, name, value)
     x = clustered(900, seed=4)
     found = {}
     for r in most_similar(vectors(spark, x), 5).collect():
@@ -109,3 +116,22 @@ def test_found_against_brute_force(spark, sample):
     expected = set(con.execute(P3_SQL).fetchall())
     found = {(r["id_a"], r["id_b"]) for r in similar_media(read_table(spark, sample, "media")).collect()}
     assert len(found & expected) >= 0.95 * len(expected) and len(found - expected) <= 0.05 * len(found)
+
+
+def test_recall_without_a_least_cosine(spark):
+    """The five most similar of whole tables, however dissimilar those are."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    rows = live_rows(read_table(spark, folder, "media"), "embedding")
+    found = {}
+    for r in most_similar(rows, 5).toLocalIterator():
+        found.setdefault(r["id"], []).append(r["cosine"])
+    held = {r["id"]: np.array(r["embedding"]) for r in rows.where(F.size("embedding") == 64).toLocalIterator() if r["id"] in found}
+    ids = sorted(held)
+    x = np.array([held[i] / np.linalg.norm(held[i]) for i in ids])
+    asked = range(0, len(ids), 25)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -2
+    fifth = -np.partition(-s, 4, axis=1)[:, 4]
+    assert np.mean([np.sum(np.array(found[ids[i]]) >= fifth[n] - 1e-6) / 5 for n, i in enumerate(asked)]) >= 0.9
