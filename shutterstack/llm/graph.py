@@ -21,7 +21,7 @@ class RobustGraph:
     ``keep`` nearest points each point has met so far. Everything is deterministic.
     """
 
-    def __init__(self, vectors: np.ndarray, degree: int = 24, beam: int = 32, alpha: float = 1.05, entries: int = 512, batch: int = 1024, width: int = 12, step: int = 512, room: int = 36, keep: int = 16):
+    def __init__(self, vectors: np.ndarray, degree: int = 24, beam: int = 24, alpha: float = 1.05, entries: int = 512, batch: int = 1024, width: int = 12, step: int = 512, room: int = 36, keep: int = 16):
         self.x = np.ascontiguousarray(vectors, dtype=np.float32)
         n = self.n = len(vectors)
         self.degree, self.room, self.keep, self.width, self.step, self.factor = degree, room, keep, width, step, alpha * alpha

@@ -16,7 +16,7 @@ from shutterstack.operators.current import live_rows
 from shutterstack.session import broadcast_if_small, checkpointed, drawn, ship_package
 
 #: Distinct vectors aimed at per shard before replication, the most indexed and the most searched for in one graph, and the most centres of one level.
-SHARD, SHARD_MOST, SEARCHED_MOST, CENTRES_MOST = 32_000, 128_000, 512_000, 8192
+SHARD, SHARD_MOST, SEARCHED_MOST, CENTRES_MOST = 48_000, 192_000, 768_000, 8192
 #: The centres that route vectors to shards are fitted on this many distinct vectors, or ``PER_CENTRE`` for each centre if that is more.
 SAMPLE, PER_CENTRE = 20_000, 16
 #: A vector is searched for in every shard that has a centre at most a margin less similar than its best, and indexed in those of the ``REPLICAS``
@@ -24,7 +24,7 @@ SAMPLE, PER_CENTRE = 20_000, 16
 #: Centres within ``MERGED`` of a cosine of 1 to a common one make one shard.
 MARGIN, REPLICAS, MERGED = 0.16, 2, 0.08
 #: Points kept of every member's search, and points that a search from outside the index keeps.
-QUERY_BEAM, OUTER_BEAM = 12, 16
+QUERY_BEAM, OUTER_BEAM = 8, 16
 #: Rows of a heavy shard that one task routes.
 ROUTED = 65_536
 
