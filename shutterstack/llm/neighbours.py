@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shutterstack.llm.graph import RobustGraph
 from shutterstack.operators.current import live_rows
-from shutterstack.session import broadcast_if_small, checkpointed, drawn, ship_package
+from shutterstack.session import broadcast_if_small, checkpointed, ship_package
 
 #: Distinct vectors aimed at per shard before replication, the most indexed and the most searched for in one graph, and the most centres of one level.
 SHARD, SHARD_MOST, SEARCHED_MOST, CENTRES_MOST = 48_000, 192_000, 768_000, 8192
@@ -28,8 +28,8 @@ QUERY_BEAM, OUTER_BEAM = 8, 16
 #: Rows of a heavy shard that one task routes.
 ROUTED = 65_536
 
-_ROUTED = "shard long, id string, n long, class binary, unit binary, best float, indexed boolean"
-_FOUND = "id string, n long, other string, other_n long, cosine double"
+_ROUTED = "shard long, id string, n long, class binary, unit binary, best float, indexed boolean, single boolean"
+_FOUND = "id string, n long, single boolean, near array<struct<c double, other string, other_n long>>"
 
 
 def margin_for(least: float) -> float:
@@ -106,11 +106,14 @@ def shards_of(x: np.ndarray, centres: np.ndarray, margin: float = MARGIN) -> tup
 
 
 def _routed(batches: Iterator[pa.RecordBatch], centres: np.ndarray, merge: np.ndarray, margin: float, dim: int) -> Iterator[pa.RecordBatch]:
-    """Every vector once for each shard it is searched for in."""
+    """Every vector once for each shard it is searched for in; ``single`` if that is one."""
     for batch in batches:
         row, shard, indexed, best = places_of(_matrix(batch.column("unit").to_pylist(), dim), centres, merge, margin)
         of = pa.array(row)
-        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), *(batch.column(c).take(of) for c in ("id", "n", "class", "unit")), pa.array(best), pa.array(indexed)], names=["shard", "id", "n", "class", "unit", "best", "indexed"])
+        single = np.bincount(row, minlength=batch.num_rows)[row] == 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(shard, pa.int64()), *(batch.column(c).take(of) for c in ("id", "n", "class", "unit")), pa.array(best), pa.array(indexed), pa.array(single)], names=["shard", "id", "n", "class", "unit", "best", "indexed", "single"]
+        )
 
 
 def _sizes(routed: DataFrame) -> dict[int, tuple[int, int]]:
@@ -148,9 +151,10 @@ def _split(heavy: DataFrame, sizes: dict[int, tuple[int, int]], margin: float, d
         row, shard, indexed, best = places_of(_matrix(left["unit"], dim), _matrix(right["centres"], dim), np.asarray(right["merge"].iat[0]), margin, left["best"].to_numpy(np.float32))
         out = left.iloc[row].drop(columns="salt")
         # shards are numbered below the one they come from; 16,384 is above the number of centres
-        return out.assign(shard=(out["shard"] + 1) * 16_384 + shard, best=best, indexed=out["indexed"].to_numpy() & indexed)
+        single = out["single"].to_numpy() & (np.bincount(row, minlength=len(left))[row] == 1)
+        return out.assign(shard=(out["shard"] + 1) * 16_384 + shard, best=best, indexed=out["indexed"].to_numpy() & indexed, single=single)
 
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("class", F.lit(4)), F.col("salts"))).select("shard", "salt", "id", "n", "class", "unit", "best", "indexed")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("class", F.lit(4)), F.col("salts"))).select("shard", "salt", "id", "n", "class", "unit", "best", "indexed", "single")
     asked = split.join(held, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "centres", "merge")
     return checkpointed(salted.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInPandas(route, _ROUTED)), dense
 
@@ -174,8 +178,9 @@ def _graphs(routed: DataFrame, sizes: dict[int, tuple[int, int]]) -> tuple[DataF
     asked = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.col("home").alias("slice"), (F.col("indexed") & (p == F.col("own"))).alias("kept")))
     again = F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda s: F.struct(F.col("own").alias("part"), s.alias("slice"), F.lit(True).alias("kept")))
     places = F.when((F.col("parts") == 1) & (F.col("slices") == 1), F.array(whole)).otherwise(F.when(F.col("indexed"), F.array_distinct(F.concat(asked, again))).otherwise(asked))
-    placed = rows.select("id", "n", "unit", "slot", "slices", F.explode(places).alias("p"))
-    return placed.select((F.col("slot") + F.col("p.part") * F.col("slices") + F.col("p.slice")).cast("int").alias("slot"), "id", "n", "unit", F.col("p.kept").alias("indexed")), slots
+    single = F.col("single") & (F.col("parts") == 1) & (F.col("slices") == 1)
+    placed = rows.select("id", "n", "unit", single.alias("single"), "slot", "slices", F.explode(places).alias("p"))
+    return placed.select((F.col("slot") + F.col("p.part") * F.col("slices") + F.col("p.slice")).cast("int").alias("slot"), "id", "n", "unit", "single", F.col("p.kept").alias("indexed")), slots
 
 
 def search_shard(x: np.ndarray, indexed: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -219,10 +224,15 @@ def nearest_of(x: np.ndarray, queries: np.ndarray, candidates: np.ndarray, own:
 
 
 def similar_classes(vectors: DataFrame, rows: int, dim: int, k: int, least: float) -> DataFrame:
-    """Rows ``(id, n, other, other_n, cosine)``: for each of the distinct ``vectors(id, n, class, unit)`` up to ``k`` most similar others found, of at least ``least``."""
+    """Rows ``(id, n, near)``: for each of the distinct ``vectors(id, n, class, unit)`` that has any its up to ``k`` most similar others found, of at least ``least``.
+
+    ``near`` is an array of (negative cosine, other, other_n) in order. What was searched for in one shard is complete there; only the lists of the others are shuffled together.
+    """
     spark, margin = vectors.sparkSession, margin_for(least)
     shards = min(CENTRES_MOST, max(1, -(-rows // SHARD)))
-    sample = _matrix([r[0] for r in drawn(vectors.select("unit"), F.xxhash64("unit"), max(SAMPLE, PER_CENTRE * shards), rows).toLocalIterator()], dim)
+    # about as many rows as wanted, in the order of their hashes
+    few = vectors.select("unit", F.xxhash64("unit").alias("by")).where(F.col("by") <= min(2**63 - 1, int(2.0**64 * max(SAMPLE, PER_CENTRE * shards) / max(1, rows) - 2.0**63)))
+    sample = _matrix([r[1] for r in sorted((r["by"], bytes(r["unit"])) for r in few.toLocalIterator())], dim)
     centres = fit_centres(sample, shards) if len(sample) else np.zeros((1, dim), np.float32)
     held = spark.sparkContext.broadcast((centres, merged(centres)))
     routed = vectors.select("id", "n", "class", "unit").mapInArrow(lambda batches: _routed(batches, *held.value, margin, dim), _ROUTED)
@@ -237,20 +247,28 @@ def similar_classes(vectors: DataFrame, rows: int, dim: int, k: int, least: floa
         sizes = {g: s for g, s in sizes.items() if g not in split} | inner
         heavy = {g: s for g, s in inner.items() if s[0] > SHARD_MOST}
 
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id", kind="stable")
-        x, key, n = _matrix(frame["unit"], dim), frame["id"].to_numpy(), frame["n"].to_numpy()
-        found = []
-        for q, p, d in search_shard(x, frame["indexed"].to_numpy(), k):
+    def search(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        x = _matrix(table["unit"].to_pylist(), dim)
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for q, p, d in search_shard(x, table["indexed"].to_numpy(), k):
             near = d <= 1 - least + 1e-4
             q, p = q[near], p[near]
             # the same pair found in two shards has to compare equal
             cosine = np.round(np.einsum("kd,kd->k", x[q].astype(np.float64), x[p].astype(np.float64)), 12)
-            found.append(pd.DataFrame({"id": key[q], "n": n[q], "other": key[p], "other_n": n[p], "cosine": cosine})[cosine >= least])
-        return pd.concat(found) if found else pd.DataFrame({"id": [], "n": [], "other": [], "other_n": [], "cosine": []}, dtype=object)
+            found.append(tuple(a[cosine >= least] for a in (q, p, cosine)))
+        q, p, cosine = (np.concatenate(a) for a in zip(*found))
+        order = np.lexsort((p, -cosine, q))
+        q, p, cosine = q[order], p[order], cosine[order]
+        rows, start = np.unique(q, return_index=True)
+        near = pa.StructArray.from_arrays([pa.array(-cosine), *(table[c].take(pa.array(p)).combine_chunks() for c in ("id", "n"))], names=["c", "other", "other_n"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(q)), pa.int32()), near)
+        return pa.table([*(table[c].take(pa.array(rows)) for c in ("id", "n", "single")), lists], names=["id", "n", "single", "near"])
 
     placed, slots = _graphs(routed, sizes)
-    return placed.repartitionById(max(1, slots), "slot").groupBy("slot").applyInPandas(search, _FOUND)
+    found = checkpointed(placed.repartitionById(max(1, slots), "slot").groupBy("slot").applyInArrow(search, _FOUND))
+    several = found.where("not single").groupBy("id", "n").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+    return found.where("single").select("id", "n", "near").unionByName(several)
 
 
 def most_similar(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = 64) -> DataFrame:
@@ -271,13 +289,11 @@ def most_similar(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int =
     rows = vectors.where("id is not null").select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("embedding")).where(F.size("embedding") == dim)
     units = checkpointed(rows.mapInArrow(lambda batches: _unit_batches(batches, dim), "id string, class binary, unit binary"))
     members = units.select("class", "id")
-    shared = members.groupBy("class").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    shared = checkpointed(members.groupBy("class").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1"))
     copies = checkpointed(members.join(broadcast_if_small(shared), "class").select("id", "lead", "n"))
     # of equal vectors the row with the smallest id stands in the index for all
     leading = units.join(broadcast_if_small(copies), "id", "left").where("lead is null or id = lead").select("id", F.coalesce("n", F.lit(1)).alias("n"), "class", "unit")
-    # at most k rows from each of the few shards a vector was searched in
-    ordered = F.sort_array(F.collect_set(F.struct((-F.col("cosine")).alias("c"), "other", "other_n")))
-    near = checkpointed(similar_classes(leading, units.count(), dim, k, least).groupBy("id", "n").agg(F.slice(ordered, 1, k).alias("near")))
+    near = similar_classes(leading, units.count(), dim, k, least)
     plain = (F.col("n") == 1) & F.forall("near", lambda x: x["other_n"] == 1)
     alone = near.where(plain).select("id", F.inline("near")).select("id", "other", (-F.col("c")).alias("cosine"))
     # where copies are involved they have to be counted among the k
