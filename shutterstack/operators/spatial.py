@@ -17,17 +17,21 @@ from pyspark.sql import functions as F
 
 from shutterstack.functions.vptree import VPTree, unit_vectors
 from shutterstack.operators.current import live_rows
-from shutterstack.session import checkpointed, drawn, ship_package
+from shutterstack.session import broadcast_if_small, checkpointed, drawn, ship_package
 
 #: Radius of the sphere, in metres.
 EARTH_M = 6371008.8
-#: Distinct locations aimed at per cell, and the most pivots.
-CELL, MOST_PIVOTS = 4000, 8192
+#: Distinct locations aimed at per cell, the most pivots of one level, and the points and regions beyond which a cell is split by pivots of its own.
+CELL, MOST_PIVOTS, CELL_MOST = 4000, 8192, 40_000
+#: Points and regions that one task joins, if its cells allow, and rows of a heavy cell that one task places.
+TASK, PLACED = 16_000, 65_536
 #: Entries of a distance matrix computed at once.
 BLOCK = 2_000_000
 QUERIES = 4096
 
-_CELL_SCHEMA = "cell int, kind string, key long, lat double, lon double, reach double, ring_lat array<double>, ring_lon array<double>"
+_CELL_SCHEMA = "cell long, kind string, key long, lat double, lon double, reach double, ring_lat array<double>, ring_lon array<double>"
+_COLUMNS = [c.split()[0] for c in _CELL_SCHEMA.split(", ")]
+_FOUND = ["relation", "lat", "lon", "lat_b", "lon_b", "key"]
 
 
 def locations(points: DataFrame, lat: str = "exif_gps_lat", lon: str = "exif_gps_lon") -> DataFrame:
@@ -40,7 +44,8 @@ def assign_cells(batches: Iterator[pd.DataFrame], pivots: np.ndarray, slack: flo
 
     A point is needed in the home cell of any partner within ``slack`` / 2, and the home pivot of such a
     partner is at most its own least pivot distance plus ``slack`` away. For the bounding circle of a
-    region (``reach``) the same holds with twice its radius. ``kind`` is 'home', 'copy' or 'region'.
+    region (``reach``) the same holds with twice its radius. ``kind`` is 'home', 'copy' or 'region'; what is a copy
+    already, in a cell that is split again, is at home nowhere.
     """
     step = max(1, BLOCK // max(1, len(pivots)))
     for frame in batches:
@@ -53,9 +58,10 @@ def assign_cells(batches: Iterator[pd.DataFrame], pivots: np.ndarray, slack: flo
             limit = d[np.arange(len(part)), home] + np.where(reach > 0, 2 * reach, slack) + 1e-7
             row, cell = np.nonzero(d <= limit[:, None])
             out = part.iloc[row].copy()
-            out["cell"] = cell.astype(np.int32)
-            out["kind"] = np.where(reach[row] > 0, "region", np.where(cell == home[row], "home", "copy"))
-            yield out[[c.split()[0] for c in _CELL_SCHEMA.split(", ")]]
+            stays = (cell == home[row]) & (out["kind"] != "copy").to_numpy()
+            out["cell"] = cell.astype(np.int64)
+            out["kind"] = np.where(reach[row] > 0, "region", np.where(stays, "home", "copy"))
+            yield out[_COLUMNS]
 
 
 def _pieces(n: int) -> Iterator[slice]:
@@ -63,17 +69,19 @@ def _pieces(n: int) -> Iterator[slice]:
 
 
 def near_in_cell(frame: pd.DataFrame, radius: float) -> pd.DataFrame:
-    """Pairs of different keys within ``radius`` radians, each where the smaller key is at home."""
-    frame = frame.sort_values(["kind", "key"], kind="stable")
-    v, key, home = unit_vectors(frame["lat"], frame["lon"]), frame["key"].to_numpy(), np.nonzero((frame["kind"] == "home").to_numpy())[0]
+    """Pairs of different locations within ``radius`` radians, smaller coordinates first, each where the first is at home."""
+    frame = frame.sort_values(["lat", "lon"], kind="stable")
+    lat, lon, home = frame["lat"].to_numpy(), frame["lon"].to_numpy(), np.nonzero((frame["kind"] == "home").to_numpy())[0]
+    v = unit_vectors(lat, lon)
     tree, left, right = VPTree(v), [], []
     for piece in _pieces(len(home)):
         q, p = tree.within(v[home[piece]], np.full(len(home[piece]), radius))
         own = home[piece][q]
-        keep = key[own] < key[p]
-        left.append(key[own[keep]])
-        right.append(key[p[keep]])
-    return pd.DataFrame({"left": np.concatenate(left or [np.empty(0, np.int64)]), "right": np.concatenate(right or [np.empty(0, np.int64)])})
+        keep = own < p
+        left.append(own[keep])
+        right.append(p[keep])
+    a, b = (np.concatenate([*side, np.empty(0, np.int64)]).astype(np.int64) for side in (left, right))
+    return pd.DataFrame({"relation": "near", "lat": lat[a], "lon": lon[a], "lat_b": lat[b], "lon_b": lon[b], "key": 0})
 
 
 def in_ring(lat: np.ndarray, lon: np.ndarray, ring_lat: np.ndarray, ring_lon: np.ndarray) -> np.ndarray:
@@ -97,19 +105,20 @@ def in_ring(lat: np.ndarray, lon: np.ndarray, ring_lat: np.ndarray, ring_lon: np
 
 
 def inside_in_cell(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (location key, region key) of the locations at home in this cell and the regions that contain them."""
+    """The locations at home in this cell with the keys of the regions that contain them."""
     points, regions = frame[frame["kind"] == "home"], frame[frame["kind"] == "region"]
-    left, right = [], []
+    lat, lon = points["lat"].to_numpy(), points["lon"].to_numpy()
+    at, key = [], []
     if len(points) and len(regions):
-        lat, lon, key = (points[c].to_numpy() for c in ("lat", "lon", "key"))
         tree = VPTree(unit_vectors(lat, lon))
         q, p = tree.within(unit_vectors(regions["lat"], regions["lon"]), regions["reach"].to_numpy())
         for i, region in enumerate(regions.itertuples()):
             near = p[q == i]
             hits = near[in_ring(lat[near], lon[near], np.asarray(region.ring_lat, float), np.asarray(region.ring_lon, float))]
-            left.append(key[hits])
-            right.append(np.full(len(hits), region.key))
-    return pd.DataFrame({"left": np.concatenate(left or [np.empty(0, np.int64)]), "right": np.concatenate(right or [np.empty(0, np.int64)])})
+            at.append(hits)
+            key.append(np.full(len(hits), region.key))
+    at, key = (np.concatenate([*side, np.empty(0, np.int64)]).astype(np.int64) for side in (at, key))
+    return pd.DataFrame({"relation": "inside", "lat": lat[at], "lon": lon[at], "lat_b": 0.0, "lon_b": 0.0, "key": key})
 
 
 def region_circles(regions: DataFrame, key: str = "place_id", ring_lat: str = "ring_lat", ring_lon: str = "ring_lon") -> DataFrame:
@@ -135,7 +144,8 @@ def choose_pivots(places: DataFrame, per_cell: int = CELL, most: int = MOST_PIVO
     """Unit vectors of pivots: the distinct locations with the smallest hashes, one for each ``per_cell``, ``most`` at most.
 
     Drawn evenly from distinct locations they follow the density, so a city gets as many cells as its
-    share of locations; copies of one location count once. The driver holds at most ``most`` rows.
+    share of locations; copies of one location count once. The driver holds at most ``most`` rows; beyond that cells
+    grow and are split again.
     """
     total = places.count()
     n = min(most, max(1, -(-total // per_cell)))
@@ -145,50 +155,114 @@ def choose_pivots(places: DataFrame, per_cell: int = CELL, most: int = MOST_PIVO
     return unit_vectors(found["lat"], found["lon"])
 
 
+def _cell_sizes(placed: DataFrame) -> dict[int, int]:
+    """Points and regions of each cell: a small row for each cell."""
+    return {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).toLocalIterator()}
+
+
+def _split_cells(heavy: DataFrame, sizes: dict[int, int], slack: float, per_cell: int, most: int) -> DataFrame:
+    """Rows of heavy cells in smaller cells of their own: each draws its pivots from the locations at home in it, and its rows, salted, meet them."""
+    spark = heavy.sparkSession
+    # pivots are drawn by hash, so their number is about the one wanted
+    table = [(c, min(most, max(2, n // per_cell)) / n, -(-n // PLACED)) for c, n in sizes.items()]
+    held = broadcast_if_small(spark.createDataFrame(table, "cell long, share double, salts long"))
+    rows = heavy.join(held, "cell")
+    chosen = rows.where((F.col("kind") == "home") & (F.xxhash64("lat", "lon", F.lit(1)) <= (F.col("share") * 2.0**64 - 2.0**63)))
+    pivots = checkpointed(chosen.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "lat", "lon"))
+
+    def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values(["lat", "lon"])
+        centres = unit_vectors(right["lat"], right["lon"]) if len(right) else unit_vectors([0.0], [0.0])
+        parts = [part.assign(cell=(left["cell"].iat[0] + 1) * 16_384 + part["cell"]) for part in assign_cells(iter([left]), centres, slack)] if len(left) else []
+        return pd.concat(parts) if parts else left[_COLUMNS]
+
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("lat", "lon", F.lit(2)), F.col("salts"))).select("salt", *_COLUMNS)
+    return checkpointed(salted.groupBy("cell", "salt").cogroup(pivots.groupBy("cell", "salt")).applyInPandas(place, _CELL_SCHEMA))
+
+
+def _cells(placed: DataFrame, slack: float, per_cell: int, most: int, cell_most: int) -> tuple[DataFrame, dict[int, int]]:
+    """``placed`` with every heavy cell split, again and again, as long as that makes cells smaller, and the sizes of the cells.
+
+    Where a cell's locations lie within the radius of each other its parts hold them all, and so does its result.
+    """
+    spark, sizes = placed.sparkSession, _cell_sizes(placed)
+    heavy = {c: n for c, n in sizes.items() if n > cell_most}
+    while heavy:
+        few = broadcast_if_small(spark.createDataFrame([(c,) for c in heavy], "cell long"))
+        moved = _split_cells(placed.join(few, "cell", "left_semi"), heavy, slack, per_cell, most)
+        inner = _cell_sizes(moved)
+        largest: dict[int, int] = {}
+        for c, n in inner.items():
+            largest[c // 16_384 - 1] = max(n, largest.get(c // 16_384 - 1, 0))
+        split = {c for c, n in heavy.items() if largest.get(c, n) < 0.8 * n}
+        gone = broadcast_if_small(spark.createDataFrame([(c,) for c in split], "cell long"))
+        placed = placed.join(gone, "cell", "left_anti").unionByName(moved.join(gone, F.floor(moved["cell"] / 16_384) - 1 == gone["cell"], "left_semi"))
+        inner = {c: n for c, n in inner.items() if c // 16_384 - 1 in split}
+        sizes = {c: n for c, n in sizes.items() if c not in split} | inner
+        heavy = {c: n for c, n in inner.items() if n > cell_most}
+    return placed, sizes
+
+
 def spatial_join(
-    points: DataFrame, regions: DataFrame | None, radius_m: float, key: str = "id", lat: str = "exif_gps_lat", lon: str = "exif_gps_lon", region_key: str = "place_id", per_cell: int = CELL
-) -> DataFrame:
+    points: DataFrame, regions: DataFrame | None, radius_m: float, key: str = "id", lat: str = "exif_gps_lat", lon: str = "exif_gps_lon", region_key: str = "place_id", per_cell: int = CELL, copies: str = "pairs",
+    most: int = MOST_PIVOTS, cell_most: int = CELL_MOST,
+) -> DataFrame:
     """Rows ``(relation, left_key, right_key)``: `near` pairs of points, smaller key first, and `inside` pairs (point, region key as text).
 
     Points that are no location (see ``locations``) or have no key take no part; repeated
     rows of a key at one location count once. A key should have one location; if it has several, a pair is
     given for each pair of locations that is near, and no key is near itself. Equal locations are joined as one, and
-    their members come back at the end, so a hot location is never searched for more than once. A region
+    their members come back at the end, so a hot location is never searched for more than once. With ``copies`` 'pairs' they
+    come back as all pairs that are near; with 'members' a location is represented by its smallest key, and rows `same` (representative, member) name
+    the others, so the result doesn't grow with the square of the copies. A region
     may overlap others; a location in several gives a row for each. Unusable rings contain nothing. Empty
     tables give an empty result; other columns are never read.
+
+    Cells that count more than ``cell_most`` points are split by pivots of their own. The coordinates themselves are what
+    finds are joined back by, so no two locations can be taken for one.
     """
     spark = points.sparkSession
     ship_package(spark)
     # -0.0 and 0.0 are one coordinate, and so is the meridian at 180 from either side.
     x = F.when(F.col(lon) == -180, 180.0).otherwise(F.col(lon) + 0.0)
     members = locations(points.where(F.col(key).isNotNull()), lat, lon).select(F.col(key).cast("string").alias("member"), (F.col(lat) + 0.0).alias("lat"), x.alias("lon"))
-    members = checkpointed(members.distinct().withColumn("spot", F.xxhash64("lat", "lon")))
-    spots = members.groupBy(F.col("spot").alias("key"), "lat", "lon").agg(F.count("*").alias("n"))
-    pivots = choose_pivots(spots, per_cell)
-    empty = spark.createDataFrame([], "relation string, left_key string, right_key string")
+    members = checkpointed(members.distinct())
+    spots = checkpointed(members.groupBy("lat", "lon").agg(F.min("member").alias("lead"), F.count("*").alias("n")))
+    pivots = choose_pivots(spots, per_cell, most)
     if not len(pivots):
-        return empty
+        return spark.createDataFrame([], "relation string, left_key string, right_key string")
     angle_of = radius_m / EARTH_M
-    cells = spots.select("key", "lat", "lon", F.lit(0.0).alias("reach"), F.lit(None).cast("array<double>").alias("ring_lat"), F.lit(None).cast("array<double>").alias("ring_lon"))
+    none = F.lit(None).cast("array<double>")
+    cells = spots.select(F.lit(0).cast("long").alias("key"), "lat", "lon", F.lit(0.0).alias("reach"), none.alias("ring_lat"), none.alias("ring_lon"))
     if regions is not None:
         cells = cells.unionByName(region_circles(regions, region_key))
     held = spark.sparkContext.broadcast(pivots)
-    placed = cells.mapInPandas(lambda batches: assign_cells(batches, held.value, 2 * angle_of), _CELL_SCHEMA)
+    placed = cells.withColumn("kind", F.lit("home")).mapInPandas(lambda batches: assign_cells(batches, held.value, 2 * angle_of), _CELL_SCHEMA)
+    placed, sizes = _cells(placed, 2 * angle_of, per_cell, most, cell_most)
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
-        near = near_in_cell(frame[frame["kind"] != "region"], angle_of).assign(relation="near")
-        return pd.concat([near, inside_in_cell(frame).assign(relation="inside")])[["relation", "left", "right"]]
-
-    found = checkpointed(placed.groupBy("cell").applyInPandas(join, "relation string, left long, right long"))
-    one, two = members.select(F.col("spot").alias("left"), F.col("member").alias("a")), members.select(F.col("spot").alias("right"), F.col("member").alias("b"))
-    apart = found.where("relation = 'near'").join(one, "left").join(two, "right").select("a", "b")
-    shared = members.groupBy("spot").agg(F.count("*").alias("n")).where("n > 1").select("spot")
-    same = members.join(shared, "spot", "left_semi").select(F.col("spot").alias("left"), F.col("member").alias("a")).join(two, F.col("left") == F.col("right")).select("a", "b")
-    pairs = apart.where("a <> b").select(F.least("a", "b").alias("left_key"), F.greatest("a", "b").alias("right_key")).unionByName(same.where("a < b").toDF("left_key", "right_key"))
-    inside = found.where("relation = 'inside'").join(one, "left").select(F.lit("inside").alias("relation"), F.col("a").alias("left_key"), F.col("right").cast("string").alias("right_key"))
-    return pairs.select(F.lit("near").alias("relation"), "left_key", "right_key").unionByName(inside)
-
-
-def media_near_and_inside(media: DataFrame, places: DataFrame, radius_m: float = 60.0) -> DataFrame:
+        return pd.concat([near_in_cell(frame[frame["kind"] != "region"], angle_of), inside_in_cell(frame)])[_FOUND]
+
+    # cells go to tasks by their sizes, largest first, not by the bytes they have
+    tasks = max(1, -(-sum(sizes.values()) // TASK))
+    table = [(c, i % tasks) for i, (c, _) in enumerate(sorted(sizes.items(), key=lambda s: (-s[1], s[0])))]
+    dealt = placed.join(broadcast_if_small(spark.createDataFrame(table, "cell long, task int")), "cell").repartitionById(tasks, "task")
+    found = checkpointed(dealt.groupBy("task", "cell").applyInPandas(join, "relation string, lat double, lon double, lat_b double, lon_b double, key long"))
+    near, inside = found.where("relation = 'near'").drop("key"), found.where("relation = 'inside'").select("lat", "lon", "key")
+    at = ["lat", "lon"]
+    if copies == "members":
+        leads = spots.select(*at, F.col("lead").alias("a"))
+        same = members.join(spots.where("n > 1").drop("n"), at).where("member <> lead").select(F.lit("same").alias("relation"), F.col("lead").alias("left_key"), F.col("member").alias("right_key"))
+    else:
+        leads = members.select(*at, F.col("member").alias("a"))
+        shared = members.join(spots.where("n > 1").select(*at), at, "left_semi").select(*at, F.col("member").alias("a"))
+        same = shared.join(shared.withColumnRenamed("a", "b"), at).where("a < b").select(F.lit("near").alias("relation"), F.col("a").alias("left_key"), F.col("b").alias("right_key"))
+    other = leads.select(F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.col("a").alias("b"))
+    apart = near.join(leads, at).join(other, ["lat_b", "lon_b"]).where("a <> b")
+    pairs = apart.select(F.lit("near").alias("relation"), F.least("a", "b").alias("left_key"), F.greatest("a", "b").alias("right_key")).unionByName(same)
+    return pairs.unionByName(inside.join(leads, at).select(F.lit("inside").alias("relation"), F.col("a").alias("left_key"), F.col("key").cast("string").alias("right_key")))
+
+
+def media_near_and_inside(media: DataFrame, places: DataFrame, radius_m: float = 60.0, copies: str = "pairs") -> DataFrame:
     """``spatial_join`` of the locations of the live media rows and the places."""
-    return spatial_join(live_rows(media, "exif_gps_lat", "exif_gps_lon"), places, radius_m)
+    return spatial_join(live_rows(media, "exif_gps_lat", "exif_gps_lon"), places, radius_m, copies=copies)

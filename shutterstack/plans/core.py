@@ -16,6 +16,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return media_near_and_inside(read_table(spark, folder, "media"), read_table(spark, folder, "places"))
 
 
+def p1_members(spark: SparkSession, folder: str) -> DataFrame:
+    return media_near_and_inside(read_table(spark, folder, "media"), read_table(spark, folder, "places"), copies="members")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return snapshot_changes(read_table(spark, folder, "files"))
 
@@ -24,7 +28,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return media_instants(read_table(spark, folder, "media"), read_table(spark, folder, "zone_hints"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_members": p1_members, "p5_found": p5_found, "p6_found": p6_found}
 
 #: White space that compares as nothing at the ends of a value, as a SQL expression.
 SPACE_SQL = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160) || chr(8239) || chr(65279)"
@@ -50,6 +54,16 @@ SELECT 'near' AS relation, a AS left_key, b AS right_key FROM near WHERE d <= 60
 UNION ALL SELECT DISTINCT 'inside', id, CAST(place_id AS VARCHAR) FROM inside
 """
 
+# a location that several ids share is represented by the smallest; -180 is the meridian 180
+P1_MEMBERS_SQL = f"""
+WITH pairs AS ({P1_SQL}), placed AS (
+  SELECT id, exif_gps_lat + 0.0 AS lat, CASE WHEN exif_gps_lon = -180 THEN 180 ELSE exif_gps_lon + 0.0 END AS lon FROM ({CURRENT_SQL})
+  WHERE NOT coalesce(tombstone, false) AND exif_gps_lat BETWEEN -90 AND 90 AND exif_gps_lon BETWEEN -180 AND 180 AND NOT (exif_gps_lat = 0 AND exif_gps_lon = 0)
+), reps AS (SELECT id, min(id) OVER (PARTITION BY lat, lon) AS rep FROM placed)
+SELECT 'same' AS relation, rep AS left_key, id AS right_key FROM reps WHERE id <> rep
+UNION ALL SELECT relation, left_key, right_key FROM pairs WHERE left_key IN (SELECT rep FROM reps) AND (relation = 'inside' OR right_key IN (SELECT rep FROM reps))
+"""
+
 P5_SQL = f"""
 WITH rows_ AS (
   SELECT snapshot_no, file_path, lower(trim(file_hash, {SPACE_SQL})) AS h, lower(trim(status, {SPACE_SQL})) AS s FROM (
@@ -115,4 +129,4 @@ UNION ALL
 SELECT id, field, CAST(v AS BIGINT) * CASE WHEN length(v) <= 10 THEN 1000000 WHEN length(v) <= 13 THEN 1000 ELSE 1 END FROM vals WHERE regexp_full_match(v, '\\d{{9,10}}|\\d{{12,13}}|\\d{{15,16}}')
 """
 
-SQL: dict[str, str] = {"p1_found": P1_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}
+SQL: dict[str, str] = {"p1_found": P1_SQL, "p1_members": P1_MEMBERS_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL}

@@ -29,8 +29,8 @@ def test_tree_of_copies_and_none():
     assert len(VPTree(p[:0]).within(p[:1], np.ones(1))[0]) == 0
 
 
-@pytest.mark.parametrize("per_cell", [4000, 20])
-def test_near_like_brute_force(spark, per_cell):
+@pytest.mark.parametrize("more", [{}, {"per_cell": 20}, {"per_cell": 20, "most": 2, "cell_most": 60}], ids=["one cell", "cells", "cells split again"])
+def test_near_like_brute_force(spark, more):
     rng = np.random.default_rng(2)
     lat, lon = np.concatenate([rng.normal(50, 0.002, 150), rng.normal(-89.999, 0.0008, 50), rng.normal(0, 0.001, 100)]), np.concatenate([rng.normal(8, 0.002, 150), rng.uniform(-180, 180, 50), 180 - rng.normal(0, 0.0006, 100)])
     lat, lon = np.maximum(lat, -90), np.where(lon > 180, lon - 360, lon)
@@ -38,7 +38,7 @@ def test_near_like_brute_force(spark, per_cell):
     v = unit_vectors(lat, lon)
     d = angle(v[:, None], v[None]) * EARTH_M
     expected = sorted(("near", points[i][0], points[j][0]) for i, j in zip(*np.nonzero(np.triu(d <= 60, 1))))
-    assert join(spark, points, per_cell=per_cell) == expected and len(expected) > 300
+    assert join(spark, points, **more) == expected and len(expected) > 300
 
 
 def test_cases(spark):
@@ -63,6 +63,24 @@ def test_hot_spot(spark):
     assert len(join(spark, points)) == 40 * 39 // 2
 
 
+def test_members(spark):
+    """Copies as members of a representative: one row each, and near rows between representatives only."""
+    points = [(f"h{i:02}", 1.0, 1.0) for i in range(40)] + [("x", 1.0, 1.0003), ("w", -0.5, -180.0), ("v", -0.5, 180.0)]
+    square = [(7, [0.0, 2.0, 2.0, 0.0], [0.0, 0.0, 2.0, 2.0])]
+    assert join(spark, points, square, copies="members") == sorted(
+        [("same", "h00", f"h{i:02}") for i in range(1, 40)] + [("same", "v", "w"), ("near", "h00", "x"), ("inside", "h00", "7"), ("inside", "x", "7")]
+    )
+
+
+def test_regions_in_cells_split_again(spark):
+    rng = np.random.default_rng(3)
+    lat, lon = rng.normal(10, 0.5, 400), rng.normal(20, 0.5, 400)
+    places = [(i, [9.0 + i / 10, 9.0 + i / 10, 10.5, 10.5], [19.0, 20.5, 20.5, 19.0]) for i in range(5)]
+    points = [(f"p{i:03}", float(a), float(b)) for i, (a, b) in enumerate(zip(lat, lon))]
+    expected = sorted(("inside", f"p{i:03}", str(p[0])) for p in places for i in np.nonzero(in_ring(lat, lon, np.array(p[1]), np.array(p[2])))[0])
+    assert [r for r in join(spark, points, places, per_cell=30, most=3, cell_most=80) if r[0] == "inside"] == expected and expected
+
+
 def test_empty(spark):
     assert join(spark, []) == []
     assert join(spark, [], [(1, [0.0, 1.0, 1.0], [0.0, 0.0, 1.0])]) == []
