@@ -10,7 +10,7 @@ from shutterstack.llm.groups import visual_match_groups
 from shutterstack.llm.mixing import block_tokens, mixture, mixture_shares
 from shutterstack.llm.neighbours import similar_media
 from shutterstack.llm.packing import pack_documents, packing_report
-from shutterstack.llm.residue import residue_documents
+from shutterstack.llm.residue import residue_documents, without_residue
 from shutterstack.llm.survivors import surviving_records, survivors
 from shutterstack.plans.core import CURRENT_SQL, SPACE_SQL
 from shutterstack.session import read_table
@@ -56,8 +56,12 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue_documents(read_table(spark, folder, "documents"))
 
 
+def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
+    return without_residue(read_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_records, p3_found, p4_found, p7_containers, p7_report, p8_mixture, p8_shares, p8_tokens, p9_found)
+    f.__name__: f for f in (p2_found, p2_records, p3_found, p4_found, p7_containers, p7_report, p8_mixture, p8_shares, p8_tokens, p9_found, p9_kept)
 }
 
 P2_SQL = f"""

@@ -12,66 +12,27 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from shutterstack.session import ship_package
-
-#: Share of a cell's letters that marked text has to reach.
-THRESHOLD = 0.6
-
-# Phrases of script notices, error pages and filler, in lower case.
-SCRIPT_NAMES = ["javascript", "java script", "js", "scripts", "scripting", "script", "client-side scripting", "client-side scripts", "a script-enabled browser", "browser scripts"]
-SCRIPT_FRAMES = [
-    "needs {}", "requires {}", "require {}", "only works with {}", "works only with {}", "does not work without {}", "doesn't work without {}", "cannot be shown without {}",
-    "can't be shown without {}", "cannot be displayed without {}", "was not drawn because it depends on {}", "depends on {}", "please enable {}", "please activate {}", "please turn on {}",
-    "enable {} to continue", "enable {} in your browser", "you need to enable {}", "you must enable {}", "{} must be switched on", "{} must be enabled", "{} is required", "{} is disabled",
-    "your browser has {} disabled", "it looks like {} is turned off", "{} is turned off", "{} are turned off", "{} has been disabled", "this takes {}", "cookies and {} have to be allowed", "cookies and {} must be allowed",
-    "this site relies on {}", "the widget {} did not load", "{} did not load", "to run this app enable {}", "without {} enabled", "{} seems to be disabled", "{} is not enabled", "{} is not available in your browser",
-]
-SCRIPT_PHRASES = [
-    "please enable", "to continue", "in your browser", "to view this notebook", "to view this page", "to display it", "to display this output", "to display this content", "to run this app",
-    "you need to enable", "some parts of this page will not be shown", "turn it on and reload", "turn it on to continue", "please switch it on", "switch it on and reload", "reload when ready",
-    "allow it in the settings and reload", "the viewer can't start without it", "the viewer cannot start without it", "checking your browser before opening the page", "checking your browser",
-    "a widget should appear here", "if you see this message", "loading notebook viewer", "loading the viewer", "interactive figure:",
-    "bitte aktivieren sie javascript", "um diesen inhalt anzuzeigen", "javascript ist deaktiviert", "javascript wird benötigt", "veuillez activer javascript", "pour afficher ce contenu",
-    "javascript est désactivé", "javascript est requis", "active javascript", "para ver este contenido", "javascript está desactivado", "se requiere javascript", "habilite javascript", "por favor active javascript", "activez javascript",
-]
-SHOWN = ["this page", "this site", "this document", "this notebook", "this output", "this widget", "this figure", "this content", "this view", "the page", "the notebook", "the viewer", "the preview", "the map below", "the map", "the figure below",
-    "the chart below", "the interactive table", "the interactive figure", "the widget", "the output", "the requested file", "the requested page", "the kernel gateway", "the shared workspace", "the document", "the server", "this repository"]
-ERROR_FRAMES = ["is not available right now", "is not available", "is temporarily unavailable due to maintenance", "is temporarily unavailable", "is currently unavailable", "is unavailable", "could not be loaded", "couldn't be loaded",
-    "could not be found", "cannot be found", "can't be found", "was not found", "does not exist", "has been removed or is private", "has been removed", "may have been removed", "is private", "can't be displayed", "cannot be displayed",
-    "could not be displayed", "returned an unexpected error", "took too long to respond", "failed to open", "failed to load", "could not be served", "could not be rendered", "is down for maintenance", "is under maintenance", "has expired", "timed out", "has moved"]
-ERROR_PHRASES = [
-    "not found", "page not found", "bad gateway", "gateway timeout", "gateway time-out", "service unavailable", "internal server error", "forbidden", "access denied", "too many requests", "request timeout",
-    "unauthorized", "bad request", "gone", "error", "http error", "retry", "reload?", "please try again later", "try again later", "please try again in a few minutes", "please try again", "please check back soon",
-    "contact support if this keeps happening", "go back to the overview", "refresh the page or come back in a few minutes", "check the address and try once more", "check the address and try again", "back to the start page",
-    "if the problem persists, contact the administrator", "request id", "reference", "code", "nginx", "apache", "cloudflare", "oops!", "oops", "that page can't be found", "it may have been moved or deleted", "sorry, something went wrong", "something went wrong",
-    "we had trouble rendering this notebook", "unable to render this document", "unable to render this notebook", "the backend did not answer in time", "your session has expired", "log in again to see this page", "rate limit exceeded",
-    "wait a moment before you load more notebooks", "you do not have permission to view this notebook", "you do not have permission to view this page", "sign in and try again", "you are requesting a notebook that does not exist", "the page you requested could not be served",
-    "upstream connect error or disconnect/reset before headers", "reset reason", "connection failure", "connection refused", "connection timed out", "timeout", "notice", "warning",
-    "an error occurred", "an unexpected error occurred", "an error has occurred", "we are sorry", "we're sorry", "sorry",
-    "fehler", "die angeforderte seite wurde nicht gefunden", "diese seite ist zurzeit nicht erreichbar", "bitte versuchen sie es später erneut", "seite nicht gefunden", "zugriff verweigert", "es ist ein fehler aufgetreten", "dienst nicht verfügbar",
-    "erreur", "la page demandée est introuvable", "désolé, une erreur est survenue", "une erreur est survenue", "veuillez réessayer plus tard", "page introuvable", "page non trouvée", "accès refusé", "service indisponible",
-    "no se ha encontrado la página solicitada", "lo sentimos, ha ocurrido un error", "ha ocurrido un error", "vuelva a intentarlo más tarde", "página no encontrada", "acceso denegado", "servicio no disponible", "inténtelo de nuevo más tarde",
-]
-FILLER_PHRASES = [
-    "this is dummy text", "dummy text", "write your own introduction here", "text text text", "your paragraph goes here", "your text here", "your text goes here", "sample text goes here", "sample text", "replace it before publishing", "replace this text",
-    "placeholder paragraph: describe the data set in two or three sentences", "placeholder paragraph", "placeholder text", "heading goes here", "title goes here", "section title", "untitled section", "untitled", "double click to edit this cell", "double-click to edit",
-    "click to edit", "type something here", "body copy goes here", "body text goes here", "add some text here to explain this section", "add some text here", "insert text here", "add your text here", "content goes here", "content coming soon", "coming soon",
-    "texte provisoire à remplacer par votre introduction", "texte provisoire", "texte à remplacer", "insérez votre texte ici", "texto de relleno, sustituir por la introducción", "texto de relleno", "texto de ejemplo", "escriba su texto aquí",
-    "hier steht später der einleitungstext", "bitte ersetzen", "platzhaltertext", "platzhalter", "blindtext", "hier text einfügen", "hier steht ihr text",
-]
+from shutterstack.llm.notices import ERROR, FILLER, LOOSE, SCRIPT, SHOWN, phrases
+from shutterstack.session import broadcast_if_small, checkpointed, ship_package
+
+#: Share of a cell's letters that marked text has to reach; the share of firm phrases from which loose ones count, and the share to be reached with them.
+THRESHOLD, FIRM, LOOSELY = 0.6, 0.15, 0.85
+
+# The words of the usual filler text.
 LOREM = (
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi "
     "aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum"
 ).split()
 _NAMED = r"[A-Za-z_][\w .-]{0,60}?"
+_FIELD = "name|title|company|organi[sz]ation|author|founder|date|year|city|country|address|e-?mail|phone|url|link|topic|subject|product|course|department|position"
 #: Placeholders nobody filled in, in the notations of common template engines and forms.
 PLACEHOLDER = re.compile(
     r"\{\{[^\S\n]*" + _NAMED + r"[^\S\n]*\}\}|\{%.{1,60}?%\}|<%=?.{1,60}?%>|\$\{" + _NAMED + r"\}|#\{" + _NAMED + r"\}|@@\w{1,60}@@|__[A-Z][A-Z_]*__|%[A-Z][A-Z_]+%|\[\[" + _NAMED + r"\]\]"
+    r"|(?<![\w\]])\[(?=(?-i:[A-Z]))(?:[\w]+[ _-]){0,3}(?:" + _FIELD + r")(?:[ _-][\w]+)?\](?![(\[\w])"
     r"|\[(?:insert|your|add|enter|replace|todo|tbd)\b[^\]\n]{0,60}\]|<<" + _NAMED + r">>|<[A-Za-z][\w ]{0,60}? here>|&lt;[A-Za-z][\w ]{0,60}?&gt;|(?<![\\$\w{}])\{[A-Za-z][\w ]{2,60}\}(?!\})",
     re.I,
 )
@@ -83,26 +44,28 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s+")
 _IDENTIFIER = re.compile(r"(?:request id|reference|code)\s*[:#]?\s*#?\s*([0-9a-f-]{2,64})\b")
 
-SCRIPT, ERROR, FILLER, SHOWN_KIND = 1, 2, 4, 8
+#: Scripts written without spaces, whose words have no boundaries to look for.
+_UNSPACED = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+
+
+def build_automata():
+    """The firm phrases, with the kinds each belongs to, and the loose ones that stand between them, each in an automaton."""
+    import ahocorasick
 
+    firm, loose = ahocorasick.Automaton(), ahocorasick.Automaton()
+    for phrase, kind in phrases().items():
+        if kind & ~LOOSE:
+            firm.add_word(phrase, (len(phrase), kind))
+        if kind & (LOOSE | SHOWN):
+            loose.add_word(phrase, (len(phrase), kind))
+    firm.make_automaton()
+    loose.make_automaton()
+    return firm, loose
 
-def build_automaton() -> ahocorasick.Automaton:
-    """All phrases, with the kinds each belongs to: script notice, error page, filler, or what was to be shown."""
-    kinds: dict[str, int] = {}
-    for phrases, kind in (
-        ([f.format(n) for f in SCRIPT_FRAMES for n in SCRIPT_NAMES], SCRIPT),
-        (SCRIPT_PHRASES, SCRIPT),
-        (ERROR_FRAMES + ERROR_PHRASES, ERROR),
-        (FILLER_PHRASES, FILLER),
-        (SHOWN, SHOWN_KIND),
-    ):
-        for phrase in phrases:
-            kinds[phrase] = kinds.get(phrase, 0) | kind
-    automaton = ahocorasick.Automaton()
-    for phrase, kind in kinds.items():
-        automaton.add_word(phrase, (len(phrase), kind))
-    automaton.make_automaton()
-    return automaton
+
+def _runs_on(left: str, right: str) -> bool:
+    """Whether two neighbouring characters are of one word."""
+    return left.isalnum() and right.isalnum() and not _UNSPACED.match(left) and not _UNSPACED.match(right)
 
 
 def _letters(text: str) -> int:
@@ -117,32 +80,48 @@ class Detector:
     """Tells which cells are residue. One is built in each Python worker."""
 
     def __init__(self, threshold: float = THRESHOLD):
-        self.threshold, self.automaton, self.lorem = threshold, build_automaton(), frozenset(LOREM)
+        self.threshold, self.lorem = threshold, frozenset(LOREM)
+        self.firm, self.loose = build_automata()
 
-    def _share(self, text: str, kinds: int, total: int) -> float:
-        """Share of the letters that phrases of these kinds cover. What was to be shown counts only beside another phrase."""
-        cover = bytearray(len(text))
-        shown, firm = [], 0
-        for end, (length, kind) in self.automaton.iter(text):
+    @staticmethod
+    def _matches(automaton, text: str) -> list[tuple[int, int, int]]:
+        found = []
+        for end, (length, kind) in automaton.iter(text):
             start = end + 1 - length
-            if (start and text[start - 1].isalnum() and text[start].isalnum()) or (end + 1 < len(text) and text[end + 1].isalnum() and text[end].isalnum()):
+            if not (start and _runs_on(text[start - 1], text[start])) and not (end + 1 < len(text) and _runs_on(text[end], text[end + 1])):
+                found.append((start, end + 1, kind))
+        return found
+
+    def _covered(self, text: str, total: int, *choices: int) -> bool:
+        """Whether phrases of the kinds of any choice cover enough letters. What was to be shown counts beside another phrase, and loose phrases where the others cover enough."""
+        found, words = self._matches(self.firm, text), None
+        shown = [(i, j) for i, j, kind in found if kind & SHOWN]
+        for kinds in choices:
+            own = [(i, j) for i, j, kind in found if kind & kinds]
+            if sum(j - i for i, j in own) + sum(j - i for i, j in shown) + (len(text) if kinds & ERROR and own else 0) < FIRM * total:
                 continue
-            if kind & kinds:
-                cover[start : end + 1] = b"\x01" * length
-                firm += 1
-            elif kind & SHOWN_KIND:
-                shown.append((start, end + 1))
-        if not firm:
-            return 0.0
-        for start, end in shown:
-            if any(cover[end : end + 2]):
-                cover[start:end] = b"\x01" * (end - start)
-        if kinds & ERROR:
-            for m in _IDENTIFIER.finditer(text):
-                cover[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
-        marked = np.frombuffer(cover, np.uint8)
-        covered = sum(int(marked[m.start() : m.end()].sum()) for m in _WORD.finditer(text))
-        return covered / total
+            if not own:
+                continue
+            cover = bytearray(len(text))
+            for i, j in own:
+                cover[i:j] = b"\x01" * (j - i)
+            for i, j in shown:
+                if any(cover[j : j + 2]):
+                    cover[i:j] = b"\x01" * (j - i)
+            if kinds & ERROR:
+                for m in _IDENTIFIER.finditer(text):
+                    cover[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
+            words = words or [m.span() for m in _WORD.finditer(text)]
+            share = sum(cover.count(1, i, j) for i, j in words) / total
+            if share >= self.threshold:
+                return True
+            # a single common word is no notice, whatever stands around it
+            if share >= FIRM and any(" " in text[i:j] or _UNSPACED.match(text, i) for i, j in own):
+                for i, j, _ in self._matches(self.loose, text):
+                    cover[i:j] = b"\x01" * (j - i)
+                if sum(cover.count(1, i, j) for i, j in words) >= LOOSELY * total:
+                    return True
+        return False
 
     def _template_share(self, text: str, total: int) -> float:
         """Share of the letters in sentences, lines and table cells that hold an unfilled placeholder, with the labels of a form beside it."""
@@ -185,7 +164,7 @@ class Detector:
         if self._template_share(body, total) >= self.threshold:
             return True
         flat = _SPACE.sub(" ", re.sub(r"[*_#>]+", " ", body).lower().replace("’", "'")).strip()
-        return any(self._share(flat, kind, total) >= self.threshold for kind in (SCRIPT, ERROR, FILLER, SCRIPT | ERROR))
+        return self._covered(flat, total, SCRIPT, ERROR, FILLER, SCRIPT | ERROR)
 
     def output_cell(self, cell: str) -> bool:
         """A script notice in place of an output. Every such phrase names scripts or what waits for them."""
@@ -195,7 +174,7 @@ class Detector:
         body = _QUOTED.sub(_blank, _TAG.sub(" ", low))
         total = _letters(body) + _letters("".join(m.group() for m in _QUOTED.finditer(low)))
         flat = _SPACE.sub(" ", re.sub(r"[*_#>]+", " ", body).replace("’", "'")).strip()
-        return bool(total) and self._share(flat, SCRIPT, total) >= self.threshold and re.search(r"script|\bjs\b|browser", flat) is not None
+        return bool(total) and self._covered(flat, total, SCRIPT) and re.search(r"script|\bjs\b|browser", flat) is not None
 
 
 def _residue_batches(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -221,6 +200,15 @@ def _residue_batches(batches: Iterator[pa.RecordBatch], threshold: float) -> Ite
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(out, pa.int64()))], names=["doc_id"])
 
 
+def without_residue(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that stay: all rows and columns but those of the doc_ids that ``residue_documents`` gives. A row without doc_id stays.
+
+    Only the ids found are shuffled or broadcast (if a count shows them to be few); of the documents, where they are many, the rows are.
+    """
+    found = checkpointed(residue_documents(documents.where("doc_id is not null"), threshold))
+    return documents.join(broadcast_if_small(found), "doc_id", "left_anti").select(*documents.columns)
+
+
 def residue_documents(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows ``(doc_id)``: the documents with a text cell that is residue, or an output that is a script notice.
 
