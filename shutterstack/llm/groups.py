@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterstack.functions.text import folded
@@ -58,23 +59,34 @@ def _placed(edges: DataFrame, n: int, block_edges: int) -> DataFrame:
     return salted.withColumn("salt", F.pmod(F.xxhash64("a", "b", F.lit(7)), F.col("parts")).cast("int"))
 
 
-def _labelled(ids: DataFrame) -> tuple[DataFrame, int]:
-    """``ids(id)`` with a label of 64 bits each, and the seed whose hashes are those labels: one that gives no label twice."""
-    seed = 0
-    while True:
-        labelled = checkpointed(ids.withColumn("vertex", F.xxhash64("id", F.lit(seed))))
-        if labelled.groupBy("vertex").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-            return labelled, seed
-        seed += 1
+#: The bit that labels by hash have cleared, and labels given to colliding ids have set.
+_GIVEN = 1
+
 
+def _labelled(ids: DataFrame, labels: Callable[[Column], Column] = lambda c: F.xxhash64(c)) -> tuple[DataFrame, DataFrame]:
+    """``ids(id)`` with a label of 64 bits each, no label twice, and the few ids whose label isn't their hash.
 
-def match_groups(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
+    The hash of an id, made even, is its label. Ids with the same one (of n ids about n squared over 2 ** 63) all get odd numbers instead, so
+    only those are dealt with, however many ids there are.
+    """
+    hashed = checkpointed(ids.withColumn("vertex", labels(F.col("id")).bitwiseAND(F.lit(~_GIVEN))))
+    again = hashed.groupBy("vertex").agg(F.count("*").alias("n")).where("n > 1").select("vertex")
+    odd = checkpointed(hashed.join(again, "vertex", "left_semi").select("id"))
+    if odd.isEmpty():
+        return hashed, odd.withColumn("given", F.lit(0).cast("long"))
+    order = odd.repartition(64, "id").sortWithinPartitions("id").select("id", F.monotonically_increasing_id().alias("k"))
+    given = checkpointed(order.select("id", (F.col("k") * 2 + _GIVEN).alias("given")))
+    settled = hashed.join(broadcast_if_small(given), "id", "left").select("id", F.coalesce("given", "vertex").alias("vertex"))
+    return checkpointed(settled), given
+
+
+def match_groups(edges: DataFrame, block_edges: int = BLOCK_EDGES, labels: Callable[[Column], Column] = lambda c: F.xxhash64(c)) -> DataFrame:
     """Rows ``(id, group_id)`` for every id linked to another by the undirected ``edges(a, b)``; group_id is the smallest id of the group.
 
     Links with a null end and links of an id with itself join nothing; repeated links and either direction
     are one link. An empty table gives an empty result.
 
-    Ids are hashed to labels, checked to be unique, whose order is as good as random: along a chain of any order of ids
+    Ids are hashed to labels (colliding ones get others), whose order is as good as random: along a chain of any order of ids
     about a third of the vertices is smaller than both neighbours, so every round shortens it. A round
     runs union-find locally on every block of the grid, then the row and column blocks of a vertex exchange their representatives: the
     smallest becomes its parent, and the others are linked to that one. Those links are the next round's edges, a
@@ -83,9 +95,13 @@ def match_groups(edges: DataFrame, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """
     ship_package(edges.sparkSession)
     links = checkpointed(edges.where("a <> b").select("a", "b"))
-    ids, seed = _labelled(links.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    ends = [F.xxhash64(c, F.lit(seed)) for c in ("a", "b")]
-    current = checkpointed(links.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct())
+    ids, given = _labelled(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), labels)
+    ended = links.select("a", "b", *(labels(F.col(c)).bitwiseAND(F.lit(~_GIVEN)).alias(f"_{c}") for c in ("a", "b")))
+    if not given.isEmpty():
+        for c in ("a", "b"):
+            few = broadcast_if_small(given.select(F.col("id").alias(c), F.col("given").alias("_given")))
+            ended = ended.join(few, c, "left").withColumn(f"_{c}", F.coalesce("_given", f"_{c}")).drop("_given")
+    current = checkpointed(ended.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
     rounds: list[DataFrame] = []
     while n := current.count():
         local = _placed(current, n, block_edges).groupBy("row", "column", "salt").applyInPandas(_represent, "vertex long, representative long")

@@ -82,47 +82,61 @@ class Source:
     blocks: int
 
 
-def plan_slots(sources: list[Source], shard: int = SHARD) -> int:
-    """The most slots for which no source is expected to pass its cap, four standard deviations below it."""
-    best = None
-    for s in sources:
-        cap = s.repeats * s.blocks
-        slots = cap / s.share
-        spread = 4 * np.sqrt(max(1.0, slots / shard) * len(sources) / 4) + 1 if len(sources) > 1 else 0
-        slots = max(0.0, (cap - spread) / s.share) if cap > 2 * spread else slots / 2
-        best = slots if best is None else min(best, slots)
-    return int(best or 0)
-
-
-def _slots(batches: Iterator[pd.DataFrame], sources: list[Source], starts: dict[int, np.ndarray], total: int, shard: int, seed: int) -> Iterator[pd.DataFrame]:
-    shares = np.array([s.share for s in sources])
-    for batch in batches:
-        for group in batch["id"].tolist():
-            first, counts = group * DRAWN, _group_counts(group, shares, total, shard, seed)
-            ordinal = starts[group] + np.cumsum(counts, axis=0) - counts
-            for i, row in enumerate(counts):
-                kind = np.repeat(np.arange(len(sources)), row)
-                nth = np.concatenate([np.arange(n) for n in row]) + np.repeat(ordinal[i], row)
-                blocks, repeat = np.empty(len(kind), np.int64), np.empty(len(kind), np.int64)
-                for k, s in enumerate(sources):
-                    own = kind == k
-                    repeat[own] = nth[own] // s.blocks
-                    for again in np.unique(repeat[own]):
-                        now = own & (repeat == again)
-                        blocks[now] = permuted(nth[now] % s.blocks, s.blocks, seed * 1_000_003 + k * 1009 + int(again))
-                allowed = repeat < np.array([s.repeats for s in sources])[kind]
-                place = np.random.default_rng([seed, first + i, 1]).permutation(len(kind))
-                out = pd.DataFrame({"shard_no": first + i, "slot_no": place, "source": np.array([s.name for s in sources], dtype=object)[kind], "block_no": blocks, "repeat_no": repeat})
-                yield out[allowed].astype({"shard_no": "int64", "slot_no": "int64"})
-
-
-def _group_counts(group: int, shares: np.ndarray, total: int, shard: int, seed: int) -> np.ndarray:
+def plan_slots(sources: list[Source]) -> int:
+    """The most slots with which every source can have its share within its cap."""
+    return int(min((s.repeats * s.blocks / s.share for s in sources), default=0) + 1e-9)
+
+
+def group_counts(group: int, before: np.ndarray, sources: list[Source], total: int, shard: int, seed: int) -> np.ndarray:
+    """Source counts of the output shards of one group, a row each, after ``before`` draws of every source; none passes its cap.
+
+    Where a source is used up, what the draw wanted of it beyond that is drawn again from those that are left, in proportion, and so are all later shards. The
+    slots run short only if no source has anything left.
+    """
+    shares, room = np.array([s.share for s in sources]), np.array([s.repeats * s.blocks for s in sources]) - before
     whole, rest = divmod(total, shard)
-    full = min(DRAWN, max(0, whole - group * DRAWN))
-    counts = drawn_counts(group, full, shard, shares, seed)
-    if rest and group == whole // DRAWN:
-        counts = np.concatenate([counts, drawn_counts(group, 1, rest, shares, seed)])
-    return counts
+    sizes = [shard] * min(DRAWN, max(0, whole - group * DRAWN)) + ([rest] if rest and group == whole // DRAWN else [])
+    done, retry = [], 0
+    while sizes and (room > 0).any():
+        left = np.where(room > 0, shares, 0.0)
+        full = sum(n == sizes[0] for n in sizes)
+        counts = drawn_counts(group + (retry << 32), full, sizes[0], left / left.sum(), seed)
+        within = (np.cumsum(counts, axis=0) <= room).all(axis=1)
+        good = full if within.all() else int(within.argmin())
+        done.append(counts[:good])
+        room, sizes, retry = room - counts[:good].sum(axis=0), sizes[good:], retry + 1
+        if good < full:
+            # the shard in which a source runs out
+            row, open_slots = np.minimum(counts[good], room), sizes[0]
+            while (missing := open_slots - int(row.sum())) and (row < room).any():
+                left = np.where(row < room, shares, 0.0)
+                row = np.minimum(row + drawn_counts(group + (retry << 32), 1, missing, left / left.sum(), seed)[0], room)
+                retry += 1
+            done.append(row[None])
+            room, sizes = room - row, sizes[1:]
+    return np.concatenate(done) if done else np.zeros((0, len(sources)), np.int64)
+
+
+def _slots(batches: Iterator[pd.DataFrame], sources: list[Source], total: int, shard: int, seed: int) -> Iterator[pd.DataFrame]:
+    """The slots of groups ``(id, before)``: of each source the next draws, each mapped to a block by the permutation of its repetition, in random places of their shards."""
+    names = np.array([s.name for s in sources], dtype=object)
+    for batch in batches:
+        for group, before in zip(batch["id"].tolist(), batch["before"]):
+            before = np.asarray(before, np.int64)
+            counts = group_counts(group, before, sources, total, shard, seed)
+            parts = []
+            for k, s in enumerate(sources):
+                nth = before[k] + np.arange(counts[:, k].sum())
+                repeat, within = np.divmod(nth, s.blocks)
+                # draws of one repetition are consecutive
+                cuts = np.append(np.unique(repeat, return_index=True)[1], len(nth))
+                blocks = [permuted(within[i:j], s.blocks, seed * 1_000_003 + k * 1009 + int(repeat[i])) for i, j in zip(cuts[:-1], cuts[1:])]
+                parts.append((np.repeat(np.arange(len(counts)), counts[:, k]), np.full(len(nth), k), np.concatenate(blocks or [nth]), repeat))
+            at, kind, block, repeat = (np.concatenate(p) for p in zip(*parts))
+            order = np.lexsort((np.random.default_rng([seed, group, 1]).random(len(at)), at))
+            at = at[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at, side="left")
+            yield pd.DataFrame({"shard_no": group * DRAWN + at, "slot_no": place, "source": names[kind[order]], "block_no": block[order], "repeat_no": repeat[order]})
 
 
 def blocks_of(sizes: DataFrame, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
@@ -153,13 +167,17 @@ def blocks_of(sizes: DataFrame, block: int = BLOCK, bucket: int = BUCKET) -> Dat
     return made.join(broadcast_if_small(offsets), ["source", "level", "bucket"]).select("source", (F.col("block") + F.col("offset")).alias("block_no"), "n_tokens", "pieces")
 
 
-def mixture(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, block: int = BLOCK, shard: int = SHARD, seed: int = 1) -> DataFrame:
+def mixture(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, block: int = BLOCK, shard: int = SHARD, seed: int = 1, tokens: int | None = None) -> DataFrame:
     """The mixture: rows ``(shard_no, slot_no, source, block_no, repeat_no, n_tokens, pieces)``, a block of ``block`` tokens each.
 
     ``pieces`` names, in order, the tokens of the block: doc_id, first token and number of tokens
-    (``block_tokens`` reads them). The mixture is as long as the caps allow: of each source the documents are
+    (``block_tokens`` reads them). Of each source the documents are
     cut into blocks, and no block, so no token of a document, is used more than max_repeats times; ``repeat_no``
-    counts from 0. Of every source less than one block remains unused.
+    counts from 0. Of every source less than one block is in no block.
+
+    The mixture is as long as every source can keep its share within its cap. With ``tokens`` it has that many, less than a block less:
+    a source that is used up before falls behind, the others fill its slots in proportion, and ``mixture_shares`` shows the gap. It is never longer than
+    all sources used up. Every slot of every output shard is filled but those of the last shard.
 
     Sources compare trimmed and in lower case. Documents of a null or unlisted source, without doc_id or
     without tokens take no part; of repeated rows of one doc_id the longest counts. Targets with a null or
@@ -179,19 +197,14 @@ def mixture(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, blo
         raise ValueError(f"more than {MOST_SOURCES} sources")
     shares = sum(r["target_share"] for r in rows)
     sources = [Source(r["source"], r["target_share"] / shares, r["max_repeats"], r["count"]) for r in rows]
-    total = plan_slots(sources, shard)
-    groups = -(-total // (shard * DRAWN))
-    weights = np.array([s.share for s in sources])
-    # each group's counts follow from its number, so the sums before it are all that has to be passed on
-    sums = spark.range(groups).mapInPandas(
-        lambda batches: (pd.DataFrame({"id": [g], "n": [_group_counts(g, weights, total, shard, seed).sum(axis=0).tolist()]}) for b in batches for g in b["id"].tolist()), "id long, n array<long>"
-    )
-    before, starts = np.zeros(len(sources), np.int64), {}
-    for r in sums.orderBy("id").toLocalIterator():
-        starts[r["id"]] = before
-        before = before + np.array(r["n"], np.int64)
-    held = spark.sparkContext.broadcast(starts)
-    slots = spark.range(groups).mapInPandas(lambda batches: _slots(batches, sources, held.value, total, shard, seed), "shard_no long, slot_no long, source string, block_no long, repeat_no long")
+    total = plan_slots(sources) if tokens is None else min(max(0, tokens) // block, sum(r.repeats * r.blocks for r in sources))
+    # how many draws of each source come before a group follows from those before it: a small row for each 262,144 slots
+    before, starts = np.zeros(len(sources), np.int64), []
+    for group in range(-(-total // (shard * DRAWN))):
+        starts.append((group, before.tolist()))
+        before = before + group_counts(group, before, sources, total, shard, seed).sum(axis=0)
+    groups = spark.createDataFrame(starts, "id long, before array<long>").repartition(max(1, len(starts)), "id")
+    slots = groups.mapInPandas(lambda batches: _slots(batches, sources, total, shard, seed), "shard_no long, slot_no long, source string, block_no long, repeat_no long")
     # the slots' size can't be told from the group numbers they are made of, so neither side may be broadcast
     return slots.hint("merge").join(blocks, ["source", "block_no"]).select("shard_no", "slot_no", "source", "block_no", "repeat_no", "n_tokens", "pieces")
 
@@ -204,11 +217,12 @@ def _targets(targets: DataFrame) -> DataFrame:
 
 
 def mixture_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """The shares reached: rows ``(source, target_share, max_repeats, tokens, actual_share, most_repeats)``, a row for each usable target."""
+    """The shares reached: rows ``(source, target_share, max_repeats, tokens, actual_share, share_gap, most_repeats)``, a row for each usable target. The gap is the share reached less the target."""
     used = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), (F.max("repeat_no") + 1).alias("most_repeats"))
     rows = _targets(targets).join(used, "source", "left").na.fill(0, ["tokens", "most_repeats"])
     whole = F.sum("tokens").over(Window.partitionBy(F.lit(1)))
-    return rows.select("source", "target_share", "max_repeats", "tokens", F.coalesce(F.round(F.try_divide("tokens", whole), 6), F.lit(0.0)).alias("actual_share"), "most_repeats")
+    actual = F.coalesce(F.try_divide("tokens", whole), F.lit(0.0))
+    return rows.select("source", "target_share", "max_repeats", "tokens", F.round(actual, 6).alias("actual_share"), F.round(actual - F.col("target_share"), 6).alias("share_gap"), "most_repeats")
 
 
 def block_tokens(mixed: DataFrame, documents: DataFrame, path: str = TOKENIZER) -> DataFrame:

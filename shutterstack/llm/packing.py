@@ -17,6 +17,8 @@ SHARD_ITEMS = 4096
 #: Most capacities packed for in one call.
 MOST_CAPACITIES = 1000
 
+#: Tasks of one level of packing; each packs two shards, or more beyond that.
+MOST_TASKS = 20_000
 _PLACED = "capacity_id long, capacity_tokens int, bin string, doc_id long, first_token long, n_tokens long"
 
 
@@ -123,7 +125,9 @@ def pack(items: DataFrame, capacities: DataFrame, shard_items: int = SHARD_ITEMS
     while n := todo.groupBy("capacity_id").count().agg(F.max("count")).first()[0] or 0:
         shards = max(1, -(-n // shard_items))
         dealt = todo.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(shards)).cast("int"))
-        placed = checkpointed(dealt.groupBy("capacity_id", "shard").applyInPandas(_packer(f"r{level}"), _PLACED))
+        # as many tasks as the shards need: by their few bytes they would all be merged into some
+        tasks = min(MOST_TASKS, -(-shards * len(asked) // 2))
+        placed = checkpointed(dealt.repartition(tasks, "capacity_id", "shard").groupBy("capacity_id", "shard").applyInPandas(_packer(f"r{level}"), _PLACED))
         if shards == 1 or n == before:
             done.append(placed)
             break

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shutterstack.llm.groups import visual_match_groups
 from shutterstack.llm.mixing import block_tokens, mixture, mixture_shares
@@ -48,6 +49,13 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture_shares(p8_mixture(spark, folder), read_table(spark, folder, "mix_targets"))
 
 
+def p8_longer_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares of a mixture with as many tokens as the documents have characters, more than the caps of some sources allow."""
+    documents, targets = read_table(spark, folder, "documents"), read_table(spark, folder, "mix_targets")
+    wanted = documents.agg(F.sum(F.length("text"))).first()[0] or 0
+    return mixture_shares(mixture(documents, targets, tokens=wanted), targets)
+
+
 def p8_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return block_tokens(p8_mixture(spark, folder), read_table(spark, folder, "documents"))
 
@@ -61,7 +69,7 @@ def p9_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_records, p3_found, p4_found, p7_containers, p7_report, p8_mixture, p8_shares, p8_tokens, p9_found, p9_kept)
+    f.__name__: f for f in (p2_found, p2_records, p3_found, p4_found, p7_containers, p7_report, p8_mixture, p8_shares, p8_longer_shares, p8_tokens, p9_found, p9_kept)
 }
 
 P2_SQL = f"""

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shutterstack.llm.groups import local_representatives, match_groups, visual_match_groups
 
@@ -40,6 +41,13 @@ def test_like_union_find(spark, block_edges):
     assert groups(spark, edges, block_edges=block_edges) == brute(edges)
 
 
+@pytest.mark.parametrize("bits", [3, 8])
+def test_colliding_labels(spark, bits):
+    """Hashes so short that most or all ids collide: those get labels of their own."""
+    edges = shapes()[::3]
+    assert groups(spark, edges, block_edges=80, labels=lambda c: F.pmod(F.xxhash64(c), F.lit(2**bits))) == brute(edges)
+
+
 def test_local():
     vertex, representative = local_representatives(np.array([4, 2, 9]), np.array([3, 4, 8]))
     assert dict(zip(vertex.tolist(), representative.tolist())) == {2: 2, 3: 2, 4: 2, 8: 8, 9: 8}

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from shutterstack.llm.mixing import block_tokens, blocks_of, drawn_counts, mixture, mixture_shares, permuted
+from shutterstack.llm.mixing import Source, block_tokens, blocks_of, drawn_counts, group_counts, mixture, mixture_shares, permuted, plan_slots
 from shutterstack.llm.tokens import count_tokens, encoding
 
 DOC, TARGET = "doc_id long, source string, text string, block_no long", "source string, target_share double, max_repeats int, tokens long"
@@ -79,6 +79,40 @@ def test_tokens_come_back(spark, docs, targets):
         assert tokens[r["shard_no"], r["slot_no"]] == [t for p in r["pieces"] for t in texts[p["doc_id"]][p["first_token"] : p["first_token"] + p["n_tokens"]]]
 
 
+def test_no_draw_passes_a_cap():
+    """Sources run out one after the other; the others fill their slots, until nothing is left."""
+    sources = [Source("a", 0.5, 1, 900), Source("b", 0.3, 2, 150), Source("c", 0.2, 3, 500)]
+    caps = np.array([900, 300, 1500])
+    assert plan_slots(sources) == 1000
+    for total in (1000, 2000, 2700, 5000):
+        counts = group_counts(0, np.zeros(3, np.int64), sources, min(total, 2700), 64, 1)
+        used = counts.sum(axis=0)
+        assert (used <= caps).all() and used.sum() == min(total, 2700)
+        assert (counts.sum(axis=1)[:-1] == 64).all()
+        if total == 1000:
+            assert np.abs(used / 1000 - [0.5, 0.3, 0.2]).max() < 0.02
+    assert (used == caps).all()
+
+
+def test_a_cap_that_binds(spark, docs, targets):
+    """With more tokens wanted than the source of the largest share has, it falls behind and is reported."""
+    plain = mixture(docs, targets, block=16, shard=64)
+    longest = mixture(docs, targets, block=16, shard=64, tokens=10**9)
+    n = plain.count()
+    rows = mixture(docs, targets, block=16, shard=64, tokens=(n + 300) * 16).collect()
+    assert len(rows) == n + 300 < longest.count()
+    for mixed in (rows, longest.collect()):
+        places = {}
+        for r in mixed:
+            places.setdefault(r["shard_no"], []).append(r["slot_no"])
+        last = max(places)
+        assert all(sorted(v) == list(range(64)) for k, v in places.items() if k != last) and sorted(places[last]) == list(range(len(places[last])))
+        assert len({(r["source"], r["block_no"], r["repeat_no"]) for r in mixed}) == len(mixed)
+    shares = {r["source"]: r for r in mixture_shares(longest, targets).collect()}
+    usual = {r["source"]: r["share_gap"] for r in mixture_shares(plain, targets).collect()}
+    assert shares["a"]["share_gap"] < usual["a"] - 0.05 and shares["b"]["share_gap"] > 0 and shares["b"]["most_repeats"] == 4
+
+
 def test_nothing_to_mix(spark, docs, targets):
     assert mixture(docs.limit(0), targets).count() == 0
     assert mixture(docs, targets.limit(0)).count() == 0
