@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterstack.errors import QueryError
-from shutterstack.operators.knn import knn
+from shutterstack.operators.knn import knn_within
 from shutterstack.session import checkpointed
 
 THRESHOLD = 0.92
@@ -46,7 +46,8 @@ def visual_edges(media: DataFrame, threshold: float = THRESHOLD, k: int = VISUAL
     """
     vectors = media.select("id", "embedding")
     whole = media.where("media_type <> 'video_frame'").select("id", "embedding")
-    near = knn(whole, vectors, k).where("q <> n").withColumn("similarity", 1 - F.col("distance") / 2)
+    # beyond the threshold nothing counts, and nothing there ranks before what does
+    near = knn_within(whole, vectors, k, 2 * (1 - threshold) + 1e-9).where("q <> n").withColumn("similarity", 1 - F.col("distance") / 2)
     near = near.where(F.col("similarity") >= threshold).join(whole.select(F.col("id").alias("n")), "n", "left_semi")
     return near.groupBy(F.least("q", "n").alias("a"), F.greatest("q", "n").alias("b")).agg(F.max("similarity").alias("similarity"))
 
@@ -89,7 +90,7 @@ def cross_video_pairs(media: DataFrame, threshold: float = THRESHOLD, k: int = V
     """
     video = F.coalesce("source_video_path", "file_path")
     frames = media.where("media_type = 'video_frame'").select("id", "embedding", video.alias("video"))
-    near = knn(frames.select("id", "embedding"), media.select("id", "embedding"), k).where(1 - F.col("distance") / 2 >= threshold)
+    near = knn_within(frames.select("id", "embedding"), media.select("id", "embedding"), k, 2 * (1 - threshold) + 1e-9).where(1 - F.col("distance") / 2 >= threshold)
     own = frames.select("id", "video")
     pairs = near.join(own.select(F.col("id").alias("q"), F.col("video").alias("va")), "q").join(own.select(F.col("id").alias("n"), F.col("video").alias("vb")), "n").where("va <> vb")
     frame_pairs = pairs.select(F.least("va", "vb").alias("video_a"), F.greatest("va", "vb").alias("video_b"), F.least("q", "n").alias("fa"), F.greatest("q", "n").alias("fb")).distinct()

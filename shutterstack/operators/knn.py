@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -13,8 +14,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from shutterstack.functions.vectors import l2sq, literal
 from shutterstack.session import drawn, ship_package
 
-#: Vectors of one side of a block pair.
-BLOCK = 8192
+#: Vectors of one side of a block pair, and the least and the most of one side where only what lies within a radius counts.
+BLOCK, LEAST_BLOCK, MOST_BLOCK = 8192, 2048, 32_768
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -66,6 +67,62 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -> D
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "n", "rank", "distance")
 
 
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors of one length as a matrix."""
+    vectors = column.combine_chunks()
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def block_within(left: pa.Table, right: pa.Table, k: int, reach: float) -> pa.Table:
+    """For each left vector its ``k`` nearest right ones of a squared distance of ``reach`` or less, ties by id."""
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    right = right.sort_by("id")
+    if left.num_rows and right.num_rows:
+        x, y = _flat(left["embedding"]), _flat(right["embedding"])
+        small, own = y.astype(np.float32), (y * y).sum(1)
+        for i in range(0, len(x), 256):
+            a = x[i : i + 256]
+            norm = (a * a).sum(1)
+            # single precision with room for its rounding; what passes is measured exactly
+            rough = (a.astype(np.float32) @ small.T) * np.float32(-2)
+            rough += own.astype(np.float32)[None]
+            row, col = np.nonzero(rough <= (reach - norm + 1e-5 * (1 + norm + own.max())).astype(np.float32)[:, None])
+            d = np.square(a[row] - y[col]).sum(1)
+            near = d <= reach
+            row, col, d = row[near], col[near], d[near]
+            order = np.lexsort((col, d, row))
+            row, col, d = row[order], col[order], d[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+            found.append((i + row[first], col[first], d[first]))
+    q, n, d = (np.concatenate(c) for c in zip(*found))
+    return pa.table([left["id"].take(pa.array(q)), right["id"].take(pa.array(n)), pa.array(d)], names=["q", "n", "distance"])
+
+
+def knn_within(queries: DataFrame, vectors: DataFrame, k: int, reach: float, block: int | None = None) -> DataFrame:
+    """Rows ``(q, n, rank, distance)`` of ``knn`` whose squared distance is ``reach`` or less: whatever lies beyond ranks after all of them.
+
+    Exact. A block pair only looks at what may be near enough, and gives at most ``k`` rows for a query, however many copies
+    a vector has. All vectors need the same length. Each vector is copied to the blocks of the other side, of up to ``MOST_BLOCK``, so work and copies are
+    still the product of both sides: in 64 dimensions no partition by distance is both exact and selective at such radii (cells around 3,000
+    pivots with the tightest test, the distance to the bisecting planes, still need half of all vectors each).
+    """
+    ship_package(queries.sparkSession)
+    side = max(1, int(np.ceil(np.sqrt(queries.sparkSession.sparkContext.defaultParallelism))))
+    blocked = []
+    for df in (queries, vectors):
+        n = df.count()
+        size = block or min(MOST_BLOCK, max(LEAST_BLOCK, -(-n // side)))
+        blocks = max(1, -(-n // size))
+        blocked.append((df.where("embedding is not null").select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b")), blocks))
+    (left, nl), (right, nr) = blocked
+    left = left.select("id", "embedding", F.col("b").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("nb"))
+    right = right.select("id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("qb"), F.col("b").alias("nb"))
+    keyed = [df.select((F.col("qb") * nr + F.col("nb")).alias("pair"), "id", "embedding").repartitionById(nl * nr, "pair").groupBy("pair") for df in (left, right)]
+    best = keyed[0].cogroup(keyed[1]).applyInArrow(lambda a, b: block_within(a, b, k, reach), "q string, n string, distance double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "n"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "n", "rank", "distance")
+
+
 def fit_centroids(vectors: DataFrame, partitions: int | None = None, sample: int = 20_000, rounds: int = 8) -> np.ndarray:
     """Centroids of an inverted file, fitted on at most ``sample`` rows drawn by hash; by default the root of the number of rows."""
     n = vectors.count()
