@@ -7,14 +7,20 @@ import os
 import shutil
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shutterstack import schemas
+from shutterstack.config import Extraction
 from shutterstack.encoders import HashingEncoder, embed_images
 from shutterstack.errors import NotFoundError
+from shutterstack.functions.media import frame_time
 from shutterstack.functions.paths import basename, extension, media_type
 from shutterstack.operators import browse, catalog, changes, dedup, jobs, search, transcode
+from shutterstack.operators.frames import reduce_frames, video_embeddings_of
+from shutterstack.session import checkpointed
+from shutterstack.sources.programs import extract_frames, listed_frames, transcode_videos
 from shutterstack.sources.scan import image_metadata, probe_video, scan_directory
 from shutterstack.sources.storage import Table
 
@@ -30,9 +36,10 @@ CLAIMED = 1_000_000
 class Catalog:
     """All tables of one catalog. One process writes at a time; readers always see whole versions."""
 
-    def __init__(self, spark: SparkSession, folder: str, encoder=None, model_id: str = "hashing", model_version: str = "1", clock=_now):
+    def __init__(self, spark: SparkSession, folder: str, encoder=None, model_id: str = "hashing", model_version: str = "1", clock=_now, extraction: Extraction | None = None, transcoding: transcode.TranscodeConfig | None = None):
         self.spark, self.folder, self.clock = spark, folder, clock
         self.encoder, self.model_id, self.model_version = encoder or HashingEncoder(), model_id, model_version
+        self.extraction, self.transcoding = extraction or Extraction(), transcoding or transcode.TranscodeConfig()
         os.makedirs(folder, exist_ok=True)
         kinds = {"media": (schemas.MEDIA, "id"), "files": (schemas.FILES, "file_path"), "jobs": (schemas.JOBS, "id"), "models": (schemas.MODELS, "model_id"), "config": (schemas.CONFIG, "key"), "metadata": (schemas.METADATA, "file_hash")}
         self.tables = {name: Table(spark, os.path.join(folder, name), schema, key) for name, (schema, key) in kinds.items()}
@@ -71,51 +78,138 @@ class Catalog:
         numbered = fresh.withColumn("id", F.monotonically_increasing_id() + top + 1)
         return numbered.withColumns({"attempts": F.lit(0), "max_attempts": F.lit(3), "created_at": stamp})
 
+    def _stamp(self):
+        return F.to_timestamp_ntz(F.lit(self.clock().rstrip("Z")))
+
     def ingest(self, stages: tuple[str, ...] = ("extract_frames", "extract_metadata", "embed", "index"), worker: str = "local") -> dict[str, int]:
-        """Work off the queue stage by stage, each until nothing can be claimed: every claimed batch is one transformation, and then one commit of results and outcomes. Jobs done by stage."""
-        self.tables["jobs"].overwrite(jobs.reset_running(self.read("jobs")))
+        """Work off the queue stage by stage, each until nothing can be claimed. Jobs done by stage.
+
+        A batch of jobs is claimed by one commit, with its start and one more attempt, so that a run that dies leaves a trace; then the work is one
+        transformation, whose results are committed before its outcomes. Jobs that were running when a run began go back into the queue, but
+        none is claimed more than its ``max_attempts`` times.
+        """
+        table = self.tables["jobs"]
+        table.overwrite(jobs.reset_running(self.read("jobs")))
         done = {}
         for stage in stages:
             done[stage], n = 0, 1
             while n:
                 queue = self.read("jobs")
-                claimed = jobs.claim(queue.where(F.col("stage") == stage), worker, CLAIMED, 3).select("id").join(queue, "id").persist()
-                n = claimed.count()
+                claims = jobs.claim(queue.where(F.col("stage") == stage), worker, CLAIMED, now=self._stamp()).persist()
+                n = claims.count()
                 if n:
-                    self.tables["jobs"].overwrite(jobs.transition(queue, self._work(stage, claimed)))
-                claimed.unpersist()
+                    table.overwrite(jobs.claimed(queue, claims))
+                    running = self.read("jobs").where((F.col("stage") == stage) & (F.col("status") == "running"))
+                    outcomes = self._work(stage, running).persist()
+                    table.overwrite(jobs.transition(self.read("jobs"), outcomes, self._stamp()))
+                    outcomes.unpersist()
+                claims.unpersist()
                 done[stage] += n
         return done
 
     def _work(self, stage: str, claimed: DataFrame) -> DataFrame:
         """Do one stage for claimed jobs; rows ``(id, outcome, message)``."""
         kind = media_type(F.col("file_path"), "image")
-        nothing = F.lit(None).cast("string").alias("message")
-        images = claimed.where(kind == "image")
-        if stage == "extract_metadata":
-            read = image_metadata(images.select("file_hash", "file_path").dropDuplicates(["file_hash"])).drop("file_path").withColumn("extracted_at", F.lit(self.clock()))
-            full = read.select(*(F.col(f.name).cast(f.dataType) if f.name in read.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.METADATA))
-            self.tables["metadata"].upsert(full)
-            if shutil.which("ffprobe"):
-                videos = probe_video(claimed.where(kind == "video").select("file_hash", "file_path").dropDuplicates(["file_hash"]))
-                known = videos.where("probe_json is not null").withColumn("extracted_at", F.lit(self.clock())).persist()
-                self.tables["metadata"].upsert(known.select(*(F.col(f.name).cast(f.dataType) if f.name in known.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.METADATA)))
-                done = known.select("file_hash").withColumn("_ok", F.lit(True))
-                return claimed.join(done, "file_hash", "left").select("id", F.when((kind == "image") | F.col("_ok"), "completed").otherwise("failed").alias("outcome"), F.when(kind == "video", "probe failed").alias("message"))
-        elif stage == "embed":
-            vectors = embed_images(images, self.encoder).join(images.select("file_path", "file_hash"), "file_path")
-            self.tables["media"].upsert(self._records(vectors))
-            there = vectors.select("file_hash").distinct().withColumn("_ok", F.lit(True))
-            return claimed.join(there, "file_hash", "left").select("id", F.when(F.col("_ok"), "completed").otherwise("skipped").alias("outcome"), nothing)
-        elif stage == "index":
-            return claimed.select("id", F.lit("completed").alias("outcome"), nothing)
-        # frames of videos and their probes need programs that may not be there: without them the job is skipped
-        return claimed.select("id", F.when(kind == "image", "completed" if stage == "extract_metadata" else "skipped").otherwise("skipped").alias("outcome"), nothing)
+        images, videos = claimed.where(kind == "image"), claimed.where(kind == "video")
+        works = {"extract_metadata": self._metadata, "extract_frames": self._frames, "embed": self._embed, "re_embed": self._embed_again, "transcode": self._transcode}
+        if stage in works:
+            return works[stage](claimed, images, videos)
+        return self._outcomes(claimed, "completed" if stage == "index" else "skipped")
+
+    @staticmethod
+    def _outcomes(rows: DataFrame, outcome, message=None) -> DataFrame:
+        return rows.select("id", (outcome if isinstance(outcome, Column) else F.lit(outcome)).alias("outcome"), (F.lit(None).cast("string") if message is None else message).alias("message"))
+
+    def _full(self, rows: DataFrame, schema: StructType) -> DataFrame:
+        """``rows`` with all columns of a table, null where they have none."""
+        return rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
+
+    def _metadata(self, claimed: DataFrame, images: DataFrame, videos: DataFrame) -> DataFrame:
+        read = image_metadata(images.select("file_hash", "file_path").dropDuplicates(["file_hash"])).drop("file_path").withColumn("extracted_at", F.lit(self.clock()))
+        self.tables["metadata"].upsert(self._full(read, schemas.METADATA))
+        if not shutil.which("ffprobe"):
+            return self._outcomes(images, "completed").unionByName(self._outcomes(videos, "skipped"))
+        probed = checkpointed(probe_video(videos.select("file_hash", "file_path").dropDuplicates(["file_hash"])))
+        known = probed.where("probe_json is not null").withColumn("extracted_at", F.lit(self.clock()))
+        self.tables["metadata"].upsert(self._full(known, schemas.METADATA))
+        rows = videos.join(known.select("file_hash", F.lit(True).alias("_ok")), "file_hash", "left")
+        return self._outcomes(images, "completed").unionByName(self._outcomes(rows, F.when(F.col("_ok"), "completed").otherwise("failed"), F.when(F.col("_ok").isNull(), "probe failed")))
+
+    @property
+    def frames_folder(self) -> str:
+        return os.path.join(os.path.abspath(self.folder), "frames")
+
+    def _frames(self, claimed: DataFrame, images: DataFrame, videos: DataFrame) -> DataFrame:
+        """Frames of videos as files, a folder for each content hash; images have none. Without the program the jobs are skipped."""
+        program = shutil.which("ffmpeg")
+        if not program:
+            return self._outcomes(claimed, "skipped")
+        e = self.extraction
+        written = checkpointed(extract_frames(videos.select("file_hash", "file_path").dropDuplicates(["file_hash"]), self.frames_folder, program, strategy=e.frame_strategy, seconds=e.max_interval_seconds, scene=e.scene_threshold, side=e.frame_max_dimension))
+        rows = videos.join(written, "file_hash", "left")
+        return self._outcomes(images, "skipped").unionByName(self._outcomes(rows, F.when(F.col("error").isNull(), "completed").otherwise("failed"), F.col("error")))
+
+    def _vectors(self, images: DataFrame, videos: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``(file_hash, file_path, embedding, error)`` of images and, pooled over their frames, of videos; and the frames that differ, with ``frame_index``, ``video`` and ``ts_ms``."""
+        listed = checkpointed(listed_frames(videos.dropDuplicates(["file_hash"]), self.frames_folder))
+        paths = images.select("file_path").unionByName(listed.select("file_path")).distinct()
+        vectors = checkpointed(embed_images(paths, self.encoder))
+        of_images = vectors.join(images.select("file_path", "file_hash").distinct(), "file_path").select("file_hash", "file_path", "embedding", "error")
+        seen = listed.join(vectors.where("embedding is not null"), "file_path").select("video", "frame_index", F.col("file_path").alias("id"), "embedding")
+        kept = checkpointed(reduce_frames(seen, self.extraction.dedup_similarity_threshold))
+        pooled = video_embeddings_of(kept).select(F.col("video").alias("file_path"), F.col("embedding").cast("array<float>").alias("embedding"))
+        of_videos = pooled.join(videos.select("file_path", "file_hash").dropDuplicates(["file_path"]), "file_path").select("file_hash", "file_path", "embedding", F.lit(None).cast("string").alias("error"))
+        known = self.read("metadata").select("file_hash", "fps", "duration_ms")
+        at = listed.join(known, "file_hash", "left").select("file_hash", "file_path", frame_time(F.col("file_path"), F.col("frame_index"), F.col("total"), F.col("fps"), F.col("duration_ms")).alias("ts_ms"))
+        frames = kept.withColumnRenamed("id", "file_path").join(at, "file_path")
+        return checkpointed(of_images.unionByName(of_videos)), frames
+
+    def _embed(self, claimed: DataFrame, images: DataFrame, videos: DataFrame) -> DataFrame:
+        vectors, frames = self._vectors(images, videos)
+        media = self.tables["media"]
+        media.upsert(self._records(vectors.where("embedding is not null")))
+        media.upsert(self._frame_records(frames))
+        return self._embedded(claimed, vectors)
+
+    def _embedded(self, claimed: DataFrame, vectors: DataFrame) -> DataFrame:
+        there = vectors.groupBy("file_hash").agg(F.bool_or(F.col("embedding").isNotNull()).alias("_ok"), F.max("error").alias("error"))
+        rows = claimed.join(there, "file_hash", "left")
+        return self._outcomes(rows, F.when(F.col("_ok"), "completed").when(F.col("error").isNotNull(), "failed").otherwise("skipped"), F.when(~F.col("_ok"), F.col("error")))
+
+    def _embed_again(self, claimed: DataFrame, images: DataFrame, videos: DataFrame) -> DataFrame:
+        """New vectors for the rows of claimed files, frames included, under the model the jobs name."""
+        vectors, frames = self._vectors(images, videos)
+        tags = claimed.groupBy("file_hash").agg(F.max(F.struct("model_id", "model_version")).alias("_tag"))
+        whole = vectors.where("embedding is not null").join(tags, "file_hash").select("file_path", F.col("embedding").alias("_vector"), "_tag")
+        still = frames.join(tags, "file_hash").select("file_path", F.col("embedding").alias("_vector"), "_tag")
+        new = whole.unionByName(still).groupBy("file_path").agg(F.max_by("_vector", "file_path").alias("_vector"), F.max("_tag").alias("_tag"))
+        rows = self.read("media").join(new, "file_path")
+        values = {"embedding": F.col("_vector"), "model_id": F.coalesce("_tag.model_id", "model_id"), "model_version": F.coalesce("_tag.model_version", "model_version"), "updated_at": F.lit(self.clock())}
+        self.tables["media"].upsert(rows.withColumns(values))
+        return self._embedded(claimed, vectors)
+
+    def _transcode(self, claimed: DataFrame, images: DataFrame, videos: DataFrame) -> DataFrame:
+        """Videos above the configured size or of another codec are transcoded; a job without metadata fails, one that needs nothing, or whose program is missing, is skipped."""
+        known = self.read("metadata").select("file_hash", "width", "height", "codec", "bitrate_kbps")
+        decided = transcode.decide(videos.join(known, "file_hash").select(F.col("id").cast("string").alias("file_path"), "width", "height", "codec", "bitrate_kbps"), self.transcoding)
+        plan = decided.select(F.col("file_path").cast("long").alias("id"), "decision", "reason")
+        rows = checkpointed(videos.join(known.select("file_hash", F.lit(True).alias("_known")), "file_hash", "left").join(plan, "id", "left").select("id", "file_path", "_known", "decision", "reason"))
+        out = self._outcomes(images, "skipped").unionByName(self._outcomes(rows.where("_known is null"), "failed", F.lit("no metadata"))).unionByName(self._outcomes(rows.where("decision = 'skip'"), "skipped", F.col("reason")))
+        program, due = shutil.which("ffmpeg"), rows.where("decision = 'transcode'")
+        return out.unionByName(transcode_videos(due, self.transcoding, program) if program else self._outcomes(due, "skipped"))
+
+    def _frame_records(self, frames: DataFrame) -> DataFrame:
+        now, path = self.clock(), F.col("file_path")
+        rows = frames.select(
+            F.concat_ws("-", F.lit(uuid.uuid4().hex[:8]), F.sha2("file_path", 256)).alias("id"), "file_hash", "file_path", basename(path).alias("file_name"), F.lit(0).cast("long").alias("file_size"), extension(path).alias("file_ext"), F.lit("video_frame").alias("media_type"),
+            "embedding", F.lit(self.model_id).alias("model_id"), F.lit(self.model_version).alias("model_version"), F.col("video").alias("source_video_path"), "frame_index", F.col("ts_ms").alias("frame_timestamp_ms"), F.lit(now).alias("indexed_at"), F.lit(now).alias("updated_at"), F.lit(False).alias("tombstone"),
+        )
+        return self._full(rows, schemas.MEDIA)
 
     def _records(self, vectors: DataFrame) -> DataFrame:
         now, path = self.clock(), F.col("file_path")
         files = self.read("files").select("file_path", "file_size", "file_modified")
-        base = vectors.dropDuplicates(["file_path"]).join(files, "file_path", "left").select(
+        base = vectors.select("file_hash", "file_path", "embedding").dropDuplicates(["file_path"]).join(files, "file_path", "left").select(
             F.concat_ws("-", F.lit(uuid.uuid4().hex[:8]), F.sha2("file_path", 256)).alias("id"), "file_hash", "file_path", basename(path).alias("file_name"), F.coalesce("file_size", F.lit(0)).alias("file_size"), extension(path).alias("file_ext"),
             media_type(path, "image").alias("media_type"), "embedding", F.lit(self.model_id).alias("model_id"), F.lit(self.model_version).alias("model_version"), "file_modified", F.lit(now).alias("indexed_at"), F.lit(now).alias("updated_at"), F.lit(False).alias("tombstone"),
         )
@@ -158,6 +252,19 @@ class Catalog:
         fresh.unpersist()
         return n
 
+    def enqueue_transcodes(self, config: transcode.TranscodeConfig) -> int:
+        """Enqueue a transcode of every active video that has something to gain; the number of jobs added."""
+        queue = self.read("jobs")
+        due = self.transcode_plan(config).where("decision = 'transcode'").select("file_path").join(self.read("files").where("status = 'active'").select("file_hash", "file_path"), "file_path")
+        paths = due.groupBy("file_hash").agg(F.max("file_path").alias("file_path")).persist()
+        fresh = jobs.enqueue(paths, queue, ("transcode",)).join(paths, "file_hash").persist()
+        top, n = queue.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0], fresh.count()
+        if n:
+            self.tables["jobs"].overwrite(queue.unionByName(self._new_jobs(fresh, top, self.clock()), allowMissingColumns=True))
+        for df in (paths, fresh):
+            df.unpersist()
+        return n
+
     def transcode_plan(self, config: transcode.TranscodeConfig) -> DataFrame:
         return transcode.dry_run(self.read("files"), self.read("metadata"), config)
 

@@ -38,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     dups = commands.add_parser("dedup")
     dups.add_argument("--tier", default="all")
     dups.add_argument("--threshold", type=float, default=dedup.THRESHOLD)
-    commands.add_parser("transcode")
+    commands.add_parser("transcode").add_argument("--run", action="store_true", help="transcode instead of only planning it")
     config = commands.add_parser("config")
     config.add_argument("key")
     config.add_argument("value", nargs="?")
@@ -70,12 +70,16 @@ def run(args: argparse.Namespace, catalog: Catalog, config: Config, out=sys.stdo
     elif args.command == "reembed":
         catalog.register_model(args.model_id, args.version)
         say(catalog.reembed(args.model_id, args.version), "jobs")
+        catalog.ingest(("re_embed",))
     elif args.command == "dedup":
         for tier, rows in catalog.dedup(args.tier, args.threshold).items():
             for line in dedup.report_lines(tier, rows):
                 say(line)
     elif args.command == "transcode":
         say(json.dumps(transcode.summary(catalog.transcode_plan(config.transcode)).first().asDict()))
+        if args.run:
+            say(catalog.enqueue_transcodes(config.transcode), "jobs")
+            say(json.dumps(catalog.ingest(("transcode",))))
     elif args.command == "config":
         if args.value is not None:
             catalog.set(args.key, args.value)
@@ -92,7 +96,8 @@ def run(args: argparse.Namespace, catalog: Catalog, config: Config, out=sys.stdo
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
-        return run(args, Catalog(build_session(), args.catalog), load_config(args.config) if args.config else Config())
+        config = load_config(args.config) if args.config else Config()
+        return run(args, Catalog(build_session(), args.catalog, extraction=config.extraction, transcoding=config.transcode), config)
     except CatalogError as e:
         print(e, file=sys.stderr)
         return 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tomllib
 from dataclasses import dataclass, field, fields
 
@@ -19,8 +20,8 @@ class Library:
 
 @dataclass(frozen=True)
 class Database:
-    catalog_path: str = "~/.local/share/shutterstack/catalog"
-    state_path: str = "~/.local/share/shutterstack/state"
+    catalog_path: str = os.path.expanduser("~/.local/share/shutterstack/catalog")
+    state_path: str = os.path.expanduser("~/.local/share/shutterstack/state")
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,7 @@ class Extraction:
     frame_max_dimension: int = 512
     dedup_similarity_threshold: float = 0.95
     ffprobe_path: str | None = None
-    thumbnail_dir: str = "~/.local/share/shutterstack/thumbs"
+    thumbnail_dir: str = os.path.expanduser("~/.local/share/shutterstack/thumbs")
 
 
 @dataclass(frozen=True)
@@ -68,12 +69,19 @@ class Config:
     transcode: TranscodeConfig = field(default_factory=TranscodeConfig)
 
 
+def _expanded(value):
+    """Paths that begin with a tilde, alone or in a list, with the home folder in its place; other values as they are."""
+    if isinstance(value, list):
+        return [_expanded(v) for v in value]
+    return os.path.expanduser(value) if isinstance(value, str) and value.startswith("~") else value
+
+
 def parse_config(text: str) -> Config:
     """A configuration; sections and keys that are missing have defaults, unknown ones are an error."""
     try:
         raw = tomllib.loads(text)
         kinds = {f.name: f.default_factory for f in fields(Config)}
-        return Config(**{name: kinds[name](**section) for name, section in raw.items()})
+        return Config(**{name: kinds[name](**{k: _expanded(v) for k, v in section.items()}) for name, section in raw.items()})
     except (tomllib.TOMLDecodeError, KeyError, TypeError) as e:
         raise CatalogError(f"bad configuration: {e}") from e
 

@@ -87,19 +87,34 @@ class OnnxTextEncoder:
         return unit_rows(out.reshape(1, -1).astype(np.float64))[0].tolist()
 
 
+def _encoded(encoder: ImageEncoder, images: list[bytes]) -> list[tuple[list[float] | None, str | None]]:
+    """A vector or an error for each image; where a batch fails its images are tried one by one."""
+    try:
+        return [(v.tolist(), None) for v in encoder.encode_images(images)]
+    except Exception as e:  # any decoder's error belongs to its image
+        if len(images) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+        return [one for data in images for one in _encoded(encoder, [data])]
+
+
 def embed_images(files: DataFrame, encoder: ImageEncoder, path: str = "file_path", batch: int = 16) -> DataFrame:
-    """Rows ``(path, embedding)``: the files' vectors. A missing file is skipped; one that can't be decoded fails."""
+    """Rows ``(path, embedding, error)``: the files' vectors. A missing file is left out; one that can't be read or decoded has an error instead and stops no other."""
     ship_package(files.sparkSession)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             there = [p for p in frame[path] if p and os.path.exists(p)]
             for i in range(0, len(there), batch):
-                part = there[i : i + batch]
+                found: dict[str, tuple] = {}
                 images = []
-                for p in part:
-                    with open(p, "rb") as file:
-                        images.append(file.read())
-                yield pd.DataFrame({path: part, "embedding": [v.tolist() for v in encoder.encode_images(images)]})
-
-    return files.select(path).mapInPandas(encode, f"{path} string, embedding array<float>")
+                for p in there[i : i + batch]:
+                    try:
+                        with open(p, "rb") as file:
+                            images.append((p, file.read()))
+                    except OSError as e:
+                        found[p] = (None, str(e))
+                if images:
+                    found |= dict(zip((p for p, _ in images), _encoded(encoder, [data for _, data in images])))
+                yield pd.DataFrame({path: list(found), "embedding": [v for v, _ in found.values()], "error": [e for _, e in found.values()]})
+
+    return files.select(path).mapInPandas(encode, f"{path} string, embedding array<float>, error string")

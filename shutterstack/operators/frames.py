@@ -151,7 +151,11 @@ def reduce_frames(frames: DataFrame, threshold: float = SIMILARITY, most: int =
 
 def video_embeddings(frames: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """Rows ``(video, n_kept, embedding)``: the mean of the reduced frames, at unit length (unless it has almost none)."""
-    kept = reduce_frames(frames, threshold)
+    return video_embeddings_of(reduce_frames(frames, threshold))
+
+
+def video_embeddings_of(kept: DataFrame) -> DataFrame:
+    """``video_embeddings`` of frames that are reduced already."""
     parts = kept.select("video", F.posexplode(F.col("embedding").cast("array<double>")).alias("at", "x"))
     means = parts.groupBy("video", "at").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
     # one row per dimension

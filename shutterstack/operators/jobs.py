@@ -28,19 +28,34 @@ def enqueue_reembed(files: DataFrame, jobs: DataFrame, model_id: str, model_vers
     return rows.withColumns({"model_id": F.lit(model_id), "model_version": F.lit(model_version)})
 
 
-def claim(jobs: DataFrame, worker: str, per_stage: int = 1, max_attempts: int | None = None) -> DataFrame:
-    """The oldest pending jobs of each stage as claimed: running, one more attempt, owned by ``worker``. Ties by id."""
+def claim(jobs: DataFrame, worker: str, per_stage: int = 1, max_attempts: int | None = None, now: Column | None = None) -> DataFrame:
+    """The oldest pending jobs of each stage as claimed: running, one more attempt, owned by ``worker``, started ``now`` if that is given. Ties by id.
+
+    A job that has had its own ``max_attempts``, or the given number, isn't claimed again.
+    """
     open_jobs = jobs.where("status = 'pending'")
     open_jobs = open_jobs.where(F.col("attempts") < max_attempts) if max_attempts is not None else open_jobs
+    if "max_attempts" in jobs.columns:
+        open_jobs = open_jobs.where(F.col("max_attempts").isNull() | (F.coalesce("attempts", F.lit(0)) < F.col("max_attempts")))
     rank = F.row_number().over(Window.partitionBy("stage").orderBy("created_at", "id"))
     first = open_jobs.withColumn("_rank", rank).where(F.col("_rank") <= per_stage)
-    return first.select("stage", "id", F.lit("running").alias("status"), (F.col("attempts") + 1).alias("attempts"), F.lit(worker).alias("worker_id"))
+    started = [] if now is None else [now.alias("started_at")]
+    return first.select("stage", "id", F.lit("running").alias("status"), (F.coalesce("attempts", F.lit(0)) + 1).alias("attempts"), F.lit(worker).alias("worker_id"), *started)
+
+
+def claimed(jobs: DataFrame, claims: DataFrame) -> DataFrame:
+    """Jobs with the columns of their claims."""
+    columns = [c for c in claims.columns if c not in ("id", "stage")]
+    side = claims.select("id", F.struct(*columns).alias("_claim"))
+    return jobs.join(side, "id", "left").withColumns({c: F.when(F.col("_claim").isNotNull(), F.col("_claim")[c]).otherwise(F.col(c)) for c in columns}).drop("_claim")
 
 
-def transition(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Jobs after ``outcomes(id, outcome, message)``: completed, skipped or failed, with the message of a failure. Other jobs stay."""
+def transition(jobs: DataFrame, outcomes: DataFrame, now: Column | None = None) -> DataFrame:
+    """Jobs after ``outcomes(id, outcome, message)``: completed, skipped or failed, with the message of a failure, and completed at ``now`` if that is given. Other jobs stay."""
     done = outcomes.where(F.col("outcome").isin("completed", "skipped", "failed")).groupBy("id").agg(F.max(F.struct("outcome", "message")).alias("o"))
     rows = jobs.join(done, "id", "left")
+    if now is not None:
+        rows = rows.withColumn("completed_at", F.when(F.col("o").isNotNull(), now).otherwise(F.col("completed_at")))
     return rows.withColumn("status", F.coalesce("o.outcome", "status")).withColumn("error_message", F.when(F.col("o.outcome") == "failed", F.col("o.message")).otherwise(F.col("error_message"))).drop("o")
 
 

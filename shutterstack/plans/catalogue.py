@@ -299,16 +299,19 @@ def _(spark, folder):
     return jobs.enqueue_reembed(domain.files(spark, folder), _file_jobs(spark, folder), "clip-vit-l-14", "1")
 
 
-@query("jobs_claim", """SELECT stage, id, 'running' AS status, attempts + 1 AS attempts, 'w1' AS worker_id FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY created_at, id) AS k FROM jobs WHERE status = 'pending') WHERE k <= 3""")
+_NOW = F.lit("2025-01-02 03:04:05").cast("timestamp_ntz")
+
+
+@query("jobs_claim", """SELECT stage, id, 'running' AS status, attempts + 1 AS attempts, 'w1' AS worker_id, TIMESTAMP '2025-01-02 03:04:05' AS started_at FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY created_at, id) AS k FROM jobs WHERE status = 'pending') WHERE k <= 3""")
 def _(spark, folder):
-    return jobs.claim(domain.jobs(spark, folder), "w1", 3)
+    return jobs.claim(domain.jobs(spark, folder), "w1", 3, now=_NOW)
 
 
-@query("jobs_transition", """SELECT id, CASE WHEN status = 'running' THEN (['completed', 'skipped', 'failed'])[id % 3 + 1] ELSE status END AS status, CASE WHEN status = 'running' AND id % 3 = 2 THEN 'broken ' || id END AS error_message FROM jobs""")
+@query("jobs_transition", """SELECT id, CASE WHEN status = 'running' THEN (['completed', 'skipped', 'failed'])[id % 3 + 1] ELSE status END AS status, CASE WHEN status = 'running' AND id % 3 = 2 THEN 'broken ' || id END AS error_message, CASE WHEN status = 'running' THEN TIMESTAMP '2025-01-02 03:04:05' END AS completed_at, CASE WHEN status = 'running' THEN created_at END AS started_at FROM jobs""")
 def _(spark, folder):
     rows = domain.jobs(spark, folder)
     outcome = F.get(F.array(*map(F.lit, ("completed", "skipped", "failed"))), (F.col("id") % 3).cast("int"))
-    return jobs.transition(rows, rows.where("status = 'running'").select("id", outcome.alias("outcome"), F.concat(F.lit("broken "), F.col("id").cast("string")).alias("message"))).select("id", "status", "error_message")
+    return jobs.transition(rows, rows.where("status = 'running'").select("id", outcome.alias("outcome"), F.concat(F.lit("broken "), F.col("id").cast("string")).alias("message")), _NOW).select("id", "status", "error_message", "completed_at", "started_at")
 
 
 @query("jobs_reset", "SELECT id, CASE status WHEN 'running' THEN 'pending' ELSE status END AS status, CASE WHEN status <> 'running' THEN worker_id END AS worker_id FROM jobs")
@@ -571,7 +574,7 @@ _CONFIG = transcode.TranscodeConfig(enabled=True, max_resolution="1080p", target
 _FAMILY_SQL = "CASE WHEN codec IS NULL THEN 'unknown' " + " ".join(f"WHEN lower(codec) IN {_listed(names)} THEN '{family}'" for family, names in transcode.CODECS.items()) + " ELSE 'other' END"
 _PLAN_SQL = f"""SELECT file_path, CASE WHEN reason IS NULL THEN 'transcode' ELSE 'skip' END AS decision, reason, CASE WHEN reason IS NULL THEN tw END AS target_w, CASE WHEN reason IS NULL THEN th END AS target_h,
     CASE WHEN reason IS NULL THEN coalesce(CAST(floor(bitrate_kbps::BIGINT * 1000 / 8) AS BIGINT) * 60, CAST(floor(w * h * bpp * 30.0 * 60.0 / 8.0) AS BIGINT)) - CAST(floor(tw * th * 0.07::DOUBLE * 30.0 * 60.0 / 8.0) AS BIGINT) END AS savings
-  FROM (SELECT *, CASE WHEN w IS NULL OR h IS NULL THEN 'no resolution metadata available' WHEN h <= 1080 AND family = 'h265' THEN 'already within spec (' || w || 'x' || h || ', codec=' || family || ')' END AS reason,
+  FROM (SELECT *, CASE WHEN w IS NULL OR h IS NULL THEN 'width or height unknown' WHEN h <= 1080 AND family = 'h265' THEN family || ' at ' || w || 'x' || h || ' needs no change' END AS reason,
     CASE WHEN h > 1080 THEN CAST(floor(w * (1080.0::DOUBLE / h)) AS BIGINT) // 2 * 2 ELSE w END AS tw, least(h, 1080) AS th, CAST(CASE family WHEN 'h265' THEN 0.07 WHEN 'h264' THEN 0.12 WHEN 'av1' THEN 0.06 ELSE 0.15 END AS DOUBLE) AS bpp
   FROM (SELECT f.file_path, width::BIGINT AS w, height::BIGINT AS h, bitrate_kbps, {_FAMILY_SQL} AS family FROM (SELECT * FROM f0 WHERE status = 'active' AND {_KIND} = 'video') f JOIN meta m ON m.file_hash = f.file_hash))"""
 

@@ -51,7 +51,7 @@ def jobs(spark: SparkSession, folder: str) -> DataFrame:
     state = F.coalesce(F.try_element_at(status, F.col("event_type")), F.lit("pending"))
     return e.select(
         F.col("event_id").alias("id"), F.sha2(F.col("user_id").cast("string"), 256).alias("file_hash"), F.concat(F.lit("/u/"), "user_id").alias("file_path"), stage.alias("stage"), state.alias("status"),
-        (F.col("event_id") % 4).cast("int").alias("attempts"), F.lit(None).cast("string").alias("error_message"), F.col("ts").alias("created_at"), F.when(state == "running", F.col("ts")).alias("started_at"),
+        (F.col("event_id") % 4).cast("int").alias("attempts"), F.lit(None).cast("string").alias("error_message"), F.col("ts").alias("created_at"), F.when(state == "running", F.col("ts")).alias("started_at"), F.lit(None).cast("timestamp_ntz").alias("completed_at"),
         F.when(state == "running", F.concat(F.lit("w"), (F.col("event_id") % 5).cast("string"))).alias("worker_id"),
     )
 

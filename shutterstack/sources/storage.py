@@ -53,10 +53,12 @@ class Table:
         return version
 
     def upsert(self, delta: DataFrame) -> str | None:
-        """Merge by key: rows with a known key are replaced, others added. An empty delta writes nothing."""
-        if delta.isEmpty():
-            return self.version()
-        return self.overwrite(upsert(self.read(), delta, self.key))
+        """Merge by key: rows with a known key are replaced, others added. An empty delta writes nothing. The delta is computed once."""
+        delta = delta.select(*(f.name for f in self.schema)).persist()
+        try:
+            return self.version() if delta.isEmpty() else self.overwrite(upsert(self.read(), delta, self.key))
+        finally:
+            delta.unpersist()
 
     def count(self) -> int:
         return self.read().count()

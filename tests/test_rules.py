@@ -157,12 +157,12 @@ VIDEO = "file_path string, width int, height int, codec string, bitrate_kbps int
 
 @pytest.mark.parametrize("row, config, expected", [
     (("/v", 3840, 2160, "h264", None), {}, ("transcode", None, 1920, 1080)),
-    (("/v", 1280, 720, "HEVC", None), {}, ("skip", "already within spec (1280x720, codec=h265)", None, None)),
+    (("/v", 1280, 720, "HEVC", None), {}, ("skip", "h265 at 1280x720 needs no change", None, None)),
     (("/v", 1280, 720, "h264", 900), {}, ("transcode", None, 1280, 720)),
     (("/v", 1000, 1081, "hevc", None), {}, ("transcode", None, 998, 1080)),
-    (("/v", None, 720, "h264", None), {}, ("skip", "no resolution metadata available", None, None)),
-    (("/v", 1280, 720, None, None), {"max_resolution": "8k"}, ("skip", "unknown max_resolution: 8k", None, None)),
-    (("/v", 1280, 720, None, None), {"enabled": False}, ("skip", "transcoding disabled", None, None)),
+    (("/v", None, 720, "h264", None), {}, ("skip", "width or height unknown", None, None)),
+    (("/v", 1280, 720, None, None), {"max_resolution": "8k"}, ("skip", "no such resolution: 8k", None, None)),
+    (("/v", 1280, 720, None, None), {"enabled": False}, ("skip", "transcoding is switched off", None, None)),
 ])
 def test_decisions(spark, row, config, expected):
     got = transcode.decide(spark.createDataFrame([row], VIDEO), TranscodeConfig(**{"enabled": True} | config)).first()
