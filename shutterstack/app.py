@@ -7,9 +7,10 @@ import os
 import shutil
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from shutterstack import schemas
 from shutterstack.config import Extraction
@@ -17,7 +18,7 @@ from shutterstack.encoders import HashingEncoder, embed_images
 from shutterstack.errors import NotFoundError
 from shutterstack.functions.media import frame_time
 from shutterstack.functions.paths import basename, extension, media_type
-from shutterstack.operators import browse, catalog, changes, dedup, jobs, search, transcode
+from shutterstack.operators import browse, catalog, changes, dedup, jobs, knn, search, transcode
 from shutterstack.operators.frames import reduce_frames, video_embeddings_of
 from shutterstack.session import checkpointed
 from shutterstack.sources.programs import extract_frames, listed_frames, transcode_videos
@@ -216,8 +217,34 @@ class Catalog:
         empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.MEDIA if f.name not in base.columns]
         return catalog.with_metadata(base.select("*", *empty), self.read("metadata")).select(*(f.name for f in schemas.MEDIA))
 
+    @property
+    def _index_folder(self) -> str:
+        return os.path.join(os.path.abspath(self.folder), "index")
+
+    def build_index(self) -> int:
+        """Write the catalog's vectors as an inverted file, a folder for each list, and its centroids; the number of lists. Searches use it until the catalog changes."""
+        version, rows = self.tables["media"].version(), self.read("media").where("size(embedding) > 0")
+        if version is None:
+            return 0
+        centres = knn.fit_centroids(rows.select("id", "embedding"))
+        target = os.path.join(self._index_folder, version)
+        knn.ivf_assign(rows, centres).repartition("centroid_id").write.mode("overwrite").partitionBy("centroid_id").parquet(os.path.join(target, "lists"))
+        table = self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "centroid_id int, centre array<double>")
+        table.coalesce(1).write.mode("overwrite").parquet(os.path.join(target, "centroids"))
+        for old in os.listdir(self._index_folder):
+            if old != version:
+                shutil.rmtree(os.path.join(self._index_folder, old), ignore_errors=True)
+        return len(centres)
+
     def search(self, text: str, limit: int = 20, **given: str) -> DataFrame:
-        return search.search_text(self.read("media"), self.encoder, text, limit, **given)
+        """The best matches of a text. With an index of the catalog as it is now only the lists nearest to the query are read, and ranked exactly."""
+        target = os.path.join(self._index_folder, self.tables["media"].version() or "none")
+        if not os.path.exists(os.path.join(target, "centroids", "_SUCCESS")):
+            return search.search_text(self.read("media"), self.encoder, text, limit, **given)
+        rows = self.spark.read.parquet(os.path.join(target, "centroids")).orderBy("centroid_id").collect()
+        near = knn.nearest_lists(np.array([r["centre"] for r in rows]), self.encoder.encode_text(search.parse_query(text, **given).text))
+        lists = self.spark.read.schema(StructType([*schemas.MEDIA.fields, StructField("centroid_id", IntegerType())])).parquet(os.path.join(target, "lists"))
+        return search.search_text(lists.where(F.col("centroid_id").isin(near)).drop("centroid_id"), self.encoder, text, limit, **given)
 
     def media(self, key: str):
         row = catalog.by_id(self.read("media"), key).first()

@@ -29,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("--type", dest="media_type")
     find.add_argument("--after")
     commands.add_parser("status")
+    commands.add_parser("index")
     reembed = commands.add_parser("reembed")
     reembed.add_argument("model_id")
     reembed.add_argument("--version", default="1")
@@ -65,6 +66,8 @@ def run(args: argparse.Namespace, catalog: Catalog, config: Config, out=sys.stdo
         given = {k: v for k, v in (("media_type", args.media_type), ("after", args.after)) if v}
         for r in search.display_table(catalog.search(args.query, args.limit, **given)).orderBy("rank").collect():
             say(r["rank"], r["score_text"], r["type_label"], r["dims"], r["id"])
+    elif args.command == "index":
+        say(catalog.build_index(), "lists")
     elif args.command == "status":
         say(json.dumps(catalog.stats() | catalog.progress() | {"last_scan_time": catalog.get("last_scan_time")}, sort_keys=True))
     elif args.command == "reembed":

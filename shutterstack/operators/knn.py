@@ -16,6 +16,8 @@ from shutterstack.session import drawn, ship_package
 
 #: Vectors of one side of a block pair, and the least and the most of one side where only what lies within a radius counts.
 BLOCK, LEAST_BLOCK, MOST_BLOCK = 8192, 2048, 32_768
+#: Most lists of an inverted file, and the rows its centroids are fitted on: in all, and for each list.
+MOST_LISTS, SAMPLE, PER_LIST = 4096, 20_000, 16
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -123,19 +125,33 @@ def knn_within(queries: DataFrame, vectors: DataFrame, k: int, reach: float, blo
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "n", "rank", "distance")
 
 
-def fit_centroids(vectors: DataFrame, partitions: int | None = None, sample: int = 20_000, rounds: int = 8) -> np.ndarray:
-    """Centroids of an inverted file, fitted on at most ``sample`` rows drawn by hash; by default the root of the number of rows."""
+def _nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    own = (centres * centres).sum(1)[None]
+    return np.concatenate([(own - 2 * x[i : i + 2048] @ centres.T).argmin(1) for i in range(0, len(x), 2048)]) if len(x) else np.empty(0, np.int64)
+
+
+def fit_centroids(vectors: DataFrame, partitions: int | None = None, rounds: int = 8) -> np.ndarray:
+    """Centroids of an inverted file; by default the root of the number of rows, ``MOST_LISTS`` at most.
+
+    Fitted on ``SAMPLE`` rows drawn by hash, or ``PER_LIST`` for each centroid if that is more, so the driver holds 65,536 vectors at most.
+    """
     n = vectors.count()
-    x = _stack(drawn(vectors.select("id", "embedding"), F.xxhash64("id"), sample, n).toPandas()["embedding"])
-    k = min(len(x), partitions or max(1, int(n**0.5)))
-    centres = x[:k].copy()
-    for _ in range(rounds):
-        label = ((centres * centres).sum(1)[None] - 2 * x @ centres.T).argmin(1)
-        for c in np.unique(label):
-            centres[c] = x[label == c].mean(0)
+    wanted = min(MOST_LISTS, partitions or max(1, int(n**0.5)))
+    x = _stack(drawn(vectors.select("id", "embedding"), F.xxhash64("id"), max(SAMPLE, PER_LIST * wanted), n).toPandas()["embedding"])
+    centres = x[: min(len(x), wanted)].copy()
+    for _ in range(rounds if len(centres) else 0):
+        label = _nearest_centre(x, centres)
+        order = np.argsort(label, kind="stable")
+        present, start = np.unique(label[order], return_index=True)
+        centres[present] = np.add.reduceat(x[order], start, axis=0) / np.diff(np.append(start, len(x)))[:, None]
     return centres
 
 
+def probes_for(lists: int) -> int:
+    """Lists to search by default: an eighth of them, 32 at least."""
+    return max(32, lists // 8)
+
+
 def ivf_assign(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     """``vectors`` with ``centroid_id``, the nearest centroid. Write it partitioned by that column and a probe reads only the lists it names."""
     ship_package(vectors.sparkSession)
@@ -144,13 +160,42 @@ def ivf_assign(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = held.value
         for batch in batches:
-            yield batch.assign(centroid_id=((c * c).sum(1)[None] - 2 * _stack(batch["embedding"]) @ c.T).argmin(1).astype(np.int32))
+            yield batch.assign(centroid_id=_nearest_centre(_stack(batch["embedding"]), c).astype(np.int32))
 
     return vectors.mapInPandas(nearest, StructType([*vectors.schema.fields, StructField("centroid_id", IntegerType())])) if len(centres) else vectors.withColumn("centroid_id", F.lit(0))
 
 
-def ivf_search(index: DataFrame, centres: np.ndarray, vector: Sequence[float], k: int, probes: int = 20) -> DataFrame:
+def nearest_lists(centres: np.ndarray, vector: Sequence[float], probes: int | None = None) -> list[int]:
+    return np.argsort(np.square(centres - np.asarray(vector)).sum(1), kind="stable")[: probes or probes_for(len(centres))].tolist()
+
+
+def ivf_search(index: DataFrame, centres: np.ndarray, vector: Sequence[float], k: int, probes: int | None = None) -> DataFrame:
     """Rows ``(id, distance)`` of the ``k`` nearest in the ``probes`` lists nearest to the query: an ordinary filter on the partition column."""
-    near = np.argsort(np.square(centres - np.asarray(vector)).sum(1), kind="stable")[:probes].tolist()
-    rows = index.where(F.col("centroid_id").isin(near)).select("id", l2sq(F.col("embedding"), literal(vector)).alias("distance"))
+    rows = index.where(F.col("centroid_id").isin(nearest_lists(centres, vector, probes))).select("id", l2sq(F.col("embedding"), literal(vector)).alias("distance"))
     return rows.orderBy("distance", "id").limit(k)
+
+
+def ivf_join(queries: DataFrame, index: DataFrame, centres: np.ndarray, k: int, probes: int | None = None) -> DataFrame:
+    """Rows ``(q, n, rank, distance)``: for every query the ``k`` nearest of ``index`` found in its ``probes`` nearest lists. Distances are exact.
+
+    A query is copied to its lists, the index to nowhere; a list is one group.
+    """
+    ship_package(queries.sparkSession)
+    held, most = queries.sparkSession.sparkContext.broadcast(centres), probes or probes_for(len(centres))
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = held.value
+        for batch in batches:
+            for i in range(0, len(batch), 1024):
+                part = batch.iloc[i : i + 1024]
+                d = (c * c).sum(1)[None] - 2 * _stack(part["embedding"]) @ c.T
+                near = np.argpartition(d, min(most, len(c)) - 1, axis=1)[:, :most]
+                out = part.iloc[np.repeat(np.arange(len(part)), near.shape[1])]
+                yield out.assign(centroid_id=near.reshape(-1).astype(np.int32))
+
+    if not len(centres):
+        return queries.sparkSession.createDataFrame([], "q string, n string, rank int, distance double")
+    asked = queries.select("id", "embedding").mapInPandas(spread, "id string, embedding array<float>, centroid_id int")
+    best = asked.groupBy("centroid_id").cogroup(index.select("id", "embedding", "centroid_id").groupBy("centroid_id")).applyInPandas(lambda a, b: block_nearest(a, b, k), "q string, n string, distance double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "n"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "n", "rank", "distance")

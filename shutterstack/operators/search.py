@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterstack.errors import QueryError
-from shutterstack.functions.vectors import cosine_similarity, l2sq, literal
+from shutterstack.functions.vectors import cosine_similarity, l2sq, literal, usable
+from shutterstack.operators.current import current_rows
 
 #: Ranked rows fetched per result before filters apply.
 OVERFETCH = 4
@@ -137,14 +138,23 @@ def taken_at() -> Column:
     return F.substring(text, 1, 26).try_cast("timestamp_ntz")
 
 
-def ranked(media: DataFrame, vector: Sequence[float], limit: int) -> DataFrame:
-    """The ``limit`` nearest rows by squared distance, ties by id, with ``distance`` and ``score`` = 1 / (1 + distance)."""
-    distance = l2sq(F.col("embedding"), literal(vector))
+def measured(media: DataFrame, vector: Sequence[float], *columns: str) -> DataFrame:
+    """Current rows of the append-only catalog with ``distance`` to a vector, which is measured where a row is read, so that no vector is shuffled.
+
+    Rows without a vector of that length of finite numbers are left out. Rank the result with the vector None.
+    """
+    distance = F.when(usable(F.col("embedding"), len(vector)), l2sq(F.col("embedding"), literal(vector)))
+    return current_rows(media.select("id", "updated_at", *columns, distance.alias("distance")), *columns, "distance").where("distance is not null")
+
+
+def ranked(media: DataFrame, vector: Sequence[float] | None, limit: int) -> DataFrame:
+    """The ``limit`` nearest rows by squared distance, ties by id, with ``distance`` (the rows' own if the vector is None) and ``score`` = 1 / (1 + distance)."""
+    distance = F.col("distance") if vector is None else l2sq(F.col("embedding"), literal(vector))
     near = media.withColumn("distance", distance).orderBy("distance", "id").limit(limit)
     return near.withColumn("score", 1 / (1 + F.col("distance")))
 
 
-def search(media: DataFrame, vector: Sequence[float], filters: Filters | None = None, limit: int = 20, prefilter: bool = False) -> DataFrame:
+def search(media: DataFrame, vector: Sequence[float] | None, filters: Filters | None = None, limit: int = 20, prefilter: bool = False) -> DataFrame:
     """Ranked results, best first.
 
     By default ``OVERFETCH`` times ``limit`` rows are ranked and then filtered, so a selective filter can give fewer

@@ -12,7 +12,7 @@ from shutterstack.functions import media as rules
 from shutterstack.functions.text import folded
 from shutterstack.functions.vectors import dot, literal, norm, normalised
 from shutterstack.operators import browse, catalog, changes, dedup, frames, jobs, search, transcode
-from shutterstack.operators.knn import fit_centroids, ivf_assign, ivf_search, knn
+from shutterstack.operators.knn import fit_centroids, ivf_assign, ivf_join, ivf_search, knn
 from shutterstack.plans import domain
 from shutterstack.plans.core import CURRENT_SQL, SPACE_SQL
 from shutterstack.schemas import ENQUEUED, IMAGE_EXTENSIONS, STAGES, STATUSES, VIDEO_EXTENSIONS
@@ -96,12 +96,16 @@ def _vector(spark: SparkSession, folder: str) -> list[float]:
     return domain.query_vector(spark, folder)
 
 
+def _measured(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return search.measured(read_table(spark, folder, "media"), _vector(spark, folder), *columns)
+
+
 _SHOWN = "SELECT id, media_type, round(d, 6) AS distance, round(1 / (1 + d), 6) AS score FROM"
 
 
 @query("search_topk", f"{_SHOWN} near ORDER BY d, id LIMIT 20")
 def _(spark, folder):
-    return _shown(search.search(domain.vectors(spark, folder, "media_type"), _vector(spark, folder), limit=20))
+    return _shown(search.search(_measured(spark, folder, "media_type"), None, limit=20))
 
 
 _WINDOW = search.Filters(media_type="image", after=dt.datetime(2018, 1, 1), before=dt.datetime(2022, 12, 31, 23, 59, 59))
@@ -110,31 +114,31 @@ _WINDOW = search.Filters(media_type="image", after=dt.datetime(2018, 1, 1), befo
 @query("search_filtered", f"""SELECT * FROM ({_SHOWN} (SELECT *, {_TAKEN} AS taken FROM (SELECT * FROM near ORDER BY d, id LIMIT 40))
   WHERE media_type NOT IN ('video', 'video_frame') AND (taken IS NULL OR taken BETWEEN TIMESTAMP '2018-01-01' AND TIMESTAMP '2022-12-31 23:59:59') ORDER BY 1 / (1 + d) DESC, id LIMIT 10)""")
 def _(spark, folder):
-    return _shown(search.search(domain.vectors(spark, folder, "media_type", "exif_date_taken", "file_modified"), _vector(spark, folder), _WINDOW, 10))
+    return _shown(search.search(_measured(spark, folder, "media_type", "exif_date_taken", "file_modified"), None, _WINDOW, 10))
 
 
 @query("search_prefilter", f"""{_SHOWN} (SELECT *, {_TAKEN} AS taken FROM near)
   WHERE media_type NOT IN ('video', 'video_frame') AND (taken IS NULL OR taken BETWEEN TIMESTAMP '2018-01-01' AND TIMESTAMP '2022-12-31 23:59:59') ORDER BY d, id LIMIT 10""")
 def _(spark, folder):
-    return _shown(search.search(domain.vectors(spark, folder, "media_type", "exif_date_taken", "file_modified"), _vector(spark, folder), _WINDOW, 10, prefilter=True))
+    return _shown(search.search(_measured(spark, folder, "media_type", "exif_date_taken", "file_modified"), None, _WINDOW, 10, prefilter=True))
 
 
 @query("search_extended_filters", f"{_SHOWN} near WHERE width >= 1000 AND height >= 700 AND lower(file_ext) = 'jpg' AND exif_camera_model = 'LV-200' AND exif_gps_lat IS NOT NULL AND exif_gps_lon IS NOT NULL ORDER BY d, id LIMIT 10")
 def _(spark, folder):
     only = search.Filters(min_width=1000, min_height=700, file_ext="JPG", camera_model="LV-200", has_gps=True)
-    return _shown(search.search(domain.vectors(spark, folder, "media_type", "width", "height", "file_ext", "exif_camera_model", "exif_gps_lat", "exif_gps_lon", "exif_date_taken", "file_modified"), _vector(spark, folder), only, 10, prefilter=True))
+    return _shown(search.search(_measured(spark, folder, "media_type", "width", "height", "file_ext", "exif_camera_model", "exif_gps_lat", "exif_gps_lon", "exif_date_taken", "file_modified"), None, only, 10, prefilter=True))
 
 
 @query("search_table", """SELECT row_number() OVER (ORDER BY d, id) AS rank, id, printf('%.3f', 1 / (1 + d)) AS score_text, CASE media_type WHEN 'video_frame' THEN 'frame' ELSE media_type END AS type_label,
   coalesce(width || 'x' || height, '-') AS dims FROM (SELECT * FROM near ORDER BY d, id LIMIT 20)""")
 def _(spark, folder):
-    return search.display_table(search.search(domain.vectors(spark, folder, "media_type", "width", "height"), _vector(spark, folder), limit=20))
+    return search.display_table(search.search(_measured(spark, folder, "media_type", "width", "height"), None, limit=20))
 
 
-@query("search_results", """SELECT id, file_name, round(1 / (1 + d), 6) AS score, CASE WHEN source_video_path IS NOT NULL THEN coalesce(frame_index, 0) END AS frame_index FROM near ORDER BY d, id LIMIT 20""")
+@query("search_results", """SELECT id, file_path, file_name, media_type, width, height, round(1 / (1 + d), 6) AS score, CASE WHEN source_video_path IS NOT NULL THEN coalesce(frame_index, 0) END AS frame_index FROM near ORDER BY d, id LIMIT 20""")
 def _(spark, folder):
-    rows = search.result_columns(search.search(domain.vectors(spark, folder, "media_type", "file_path", "file_name", "width", "height", "source_video_path", "frame_index", "frame_timestamp_ms"), _vector(spark, folder), limit=20))
-    return rows.select("id", "file_name", _r("score").alias("score"), F.col("frame.frame_index").alias("frame_index"))
+    rows = search.result_columns(search.search(_measured(spark, folder, "media_type", "file_path", "file_name", "width", "height", "source_video_path", "frame_index", "frame_timestamp_ms"), None, limit=20))
+    return rows.select("id", "file_path", "file_name", "media_type", "width", "height", _r("score").alias("score"), F.col("frame.frame_index").alias("frame_index"))
 
 
 @query("poc_cosine_search", "SELECT id, round(c, 6) AS score FROM (SELECT id, list_inner_product(v, q) / nullif(sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(q, q)), 0) AS c FROM vec, qv) ORDER BY c DESC NULLS LAST, id LIMIT 5")
@@ -158,10 +162,10 @@ def _(spark, folder):
     return search.parse_queries(read_table(spark, folder, "part").select(F.col("p_partkey").alias("qid"), text.alias("query")))
 
 
-@query("vec_normalize", "SELECT vec_id AS id, round(sqrt(list_inner_product(s, s)), 6) AS norm_before, CASE WHEN vec_id % 5 = 0 THEN 0.0 ELSE 1.0 END AS norm_after FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (vec_id % 5)) AS s FROM embeddings)")
+@query("vec_normalize", "SELECT vec_id AS id, round(sqrt(list_inner_product(s, s)), 6) AS norm_before, list_transform(s, lambda x: round(x / CASE WHEN vec_id % 5 = 0 THEN 1 ELSE sqrt(list_inner_product(s, s)) END, 6)) AS unit FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (vec_id % 5)) AS s FROM embeddings)")
 def _(spark, folder):
     rows = read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 5)).alias("s"))
-    return rows.select("id", _r(norm(F.col("s"))).alias("norm_before"), _r(norm(normalised(F.col("s")))).alias("norm_after"))
+    return rows.select("id", _r(norm(F.col("s"))).alias("norm_before"), F.transform(normalised(F.col("s")), lambda x: F.round(x, 6)).alias("unit"))
 
 
 @query("vec_cosine", "SELECT e.vec_id AS id, round(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[])), 6) AS cos FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) o")
@@ -210,12 +214,12 @@ def _(spark, folder):
     return catalog.tombstoned(domain.media(spark, folder, "file_hash", "tombstone").select("id", "file_hash", "tombstone"), _changes(spark, folder)).select("id", "tombstone")
 
 
-@query("reembed_merge", f"""SELECT id, CASE WHEN w IS NOT NULL THEN 'new-model' ELSE model_id END AS model_id, CASE WHEN w IS NOT NULL THEN round(w[1], 6) END AS first_component
+@query("reembed_merge", f"""SELECT id, CASE WHEN w IS NOT NULL THEN 'new-model' ELSE model_id END AS model_id, CASE WHEN w IS NOT NULL THEN list_transform(w, lambda x: round(x, 4)) END AS embedding, CASE WHEN w IS NOT NULL THEN '2' ELSE model_version END AS model_version, CASE WHEN w IS NOT NULL THEN '2025-01-01T00:00:00Z' ELSE updated_at END AS updated_at
   FROM cur LEFT JOIN (SELECT file_hash, max(list_transform(v, lambda x: x * 2)) AS w FROM vec WHERE media_type = 'image' GROUP BY 1) n USING (file_hash)""")
 def _(spark, folder):
     new = domain.vectors(spark, folder, "media_type", "file_hash").where("media_type = 'image'").select("file_hash", F.transform("embedding", lambda x: x.cast("double") * 2).alias("vector"))
     rows = catalog.reembedded(domain.media(spark, folder, "file_hash", "embedding", "model_id", "model_version", "updated_at").select("id", "file_hash", "embedding", "model_id", "model_version", "updated_at"), new, "new-model", "2", "2025-01-01T00:00:00Z")
-    return rows.select("id", "model_id", F.when(F.col("model_id") == "new-model", _r(F.get("embedding", F.lit(0)).cast("double"))).alias("first_component"))
+    return rows.select("id", "model_id", F.when(F.col("model_id") == "new-model", F.transform("embedding", lambda x: F.round(x.cast("double"), 4))).alias("embedding"), "model_version", "updated_at")
 
 
 @query("content_hash", "SELECT doc_id, sha256(text) AS file_hash FROM documents")
@@ -299,19 +303,20 @@ def _(spark, folder):
     return jobs.enqueue_reembed(domain.files(spark, folder), _file_jobs(spark, folder), "clip-vit-l-14", "1")
 
 
-_NOW = F.lit("2025-01-02 03:04:05").cast("timestamp_ntz")
+def _now():
+    return F.lit("2025-01-02 03:04:05").cast("timestamp_ntz")
 
 
 @query("jobs_claim", """SELECT stage, id, 'running' AS status, attempts + 1 AS attempts, 'w1' AS worker_id, TIMESTAMP '2025-01-02 03:04:05' AS started_at FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY created_at, id) AS k FROM jobs WHERE status = 'pending') WHERE k <= 3""")
 def _(spark, folder):
-    return jobs.claim(domain.jobs(spark, folder), "w1", 3, now=_NOW)
+    return jobs.claim(domain.jobs(spark, folder), "w1", 3, now=_now())
 
 
 @query("jobs_transition", """SELECT id, CASE WHEN status = 'running' THEN (['completed', 'skipped', 'failed'])[id % 3 + 1] ELSE status END AS status, CASE WHEN status = 'running' AND id % 3 = 2 THEN 'broken ' || id END AS error_message, CASE WHEN status = 'running' THEN TIMESTAMP '2025-01-02 03:04:05' END AS completed_at, CASE WHEN status = 'running' THEN created_at END AS started_at FROM jobs""")
 def _(spark, folder):
     rows = domain.jobs(spark, folder)
     outcome = F.get(F.array(*map(F.lit, ("completed", "skipped", "failed"))), (F.col("id") % 3).cast("int"))
-    return jobs.transition(rows, rows.where("status = 'running'").select("id", outcome.alias("outcome"), F.concat(F.lit("broken "), F.col("id").cast("string")).alias("message")), _NOW).select("id", "status", "error_message", "completed_at", "started_at")
+    return jobs.transition(rows, rows.where("status = 'running'").select("id", outcome.alias("outcome"), F.concat(F.lit("broken "), F.col("id").cast("string")).alias("message")), _now()).select("id", "status", "error_message", "completed_at", "started_at")
 
 
 @query("jobs_reset", "SELECT id, CASE status WHEN 'running' THEN 'pending' ELSE status END AS status, CASE WHEN status <> 'running' THEN worker_id END AS worker_id FROM jobs")
@@ -467,9 +472,9 @@ def _(spark, folder):
 
 
 @query("video_embedding", _FOLD_SQL + """, means AS (SELECT video, i, avg(last[i]) AS x, count(*) AS n FROM (SELECT video, last, unnest(range(1, 65)) AS i FROM fold WHERE kept) GROUP BY 1, 2)
-  SELECT video, max(n) AS n_kept, round(max(x) FILTER (i = 1) / sqrt(sum(x * x)), 6) AS first_component FROM means GROUP BY 1""")
+  SELECT video, max(n) AS n_kept, list_transform(list(x ORDER BY i), lambda v: round(v / sqrt(sum(x * x)), 5)) AS embedding FROM means GROUP BY 1""")
 def _(spark, folder):
-    return frames.video_embeddings(domain.frames(spark, folder)).select("video", "n_kept", _r(F.get("embedding", F.lit(0))).alias("first_component"))
+    return frames.video_embeddings(domain.frames(spark, folder)).select("video", "n_kept", F.transform("embedding", lambda x: F.round(x, 5)).alias("embedding"))
 
 
 @query("poc_frame_name_parse", """SELECT file_path, regexp_extract(name, p, 1) AS source, coalesce(try_cast(regexp_extract(name, p, 3) AS DOUBLE), -1) AS timestamp_sec FROM (
@@ -605,3 +610,11 @@ def _(spark, folder):
     rows = domain.vectors(spark, folder).select("id", "embedding")
     centres = fit_centroids(rows)
     return ivf_search(ivf_assign(rows, centres), centres, _vector(spark, folder), 20)
+
+
+@query("ann_ivf_join")
+def _(spark, folder):
+    """The 20 nearest of every hundredth vector, through the index; the tests measure recall against ``knn``."""
+    rows = read_table(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("id"), "embedding")
+    centres = fit_centroids(rows)
+    return ivf_join(rows.where("cast(id as long) % 100 = 0"), ivf_assign(rows, centres), centres, 20)

@@ -26,7 +26,10 @@ def vectors(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 def query_vector(spark: SparkSession, folder: str) -> list[float]:
     """The vector of the smallest id that has one."""
-    return [float(x) for x in vectors(spark, folder).orderBy("id").select("embedding").first()[0]]
+    rows = read_table(spark, folder, "media").select("id", "updated_at", "embedding")
+    fine = current_rows(rows.select("id", "updated_at", usable(F.col("embedding"), DIM).alias("fine")), "fine").where("fine")
+    least = fine.agg(F.min("id")).first()[0]
+    return [float(x) for x in current_rows(rows.where(F.col("id") == least), "embedding").first()["embedding"]]
 
 
 def files(spark: SparkSession, folder: str, back: int = 0) -> DataFrame:
