@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import json
+import mimetypes
+import os
+import shutil
 import threading
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
 from urllib.parse import parse_qsl, urlsplit
 
 from shutterstack.app import Catalog
 from shutterstack.errors import CatalogError, NotFoundError
+from shutterstack.operators import dedup
 from shutterstack.operators.search import result_columns
 
 
@@ -53,6 +58,11 @@ class Service:
                 return self._start("ingest", self.catalog.ingest)
             if method != "GET":
                 return 404, {"error": "no such route"}
+            if path.startswith("/api/media/") and path.endswith("/file"):
+                file = self.catalog.media(path.split("/")[3])["file_path"]
+                if not os.path.isfile(file):
+                    raise NotFoundError(file)
+                return 200, Path(file)
             if path.startswith(("/api/media/", "/api/thumb/")):
                 return 200, {k: v for k, v in self.catalog.media(path.rsplit("/", 1)[1]).asDict().items() if k != "embedding"}
             if path == "/api/stats":
@@ -61,7 +71,9 @@ class Service:
                 return 200, self.catalog.stats() | {"last_scan_time": self.catalog.get("last_scan_time")}
             if path == "/api/dedup":
                 found = self.catalog.dedup(args.get("tier", "all"), float(args.get("threshold", 0.92)))
-                return 200, {tier: self._rows(rows) for tier, rows in found.items()}
+                # a page of each tier, in the order of its report
+                number, size = max(1, page.get("page", 1)), min(1000, max(1, page.get("per_page", 100)))
+                return 200, {tier: self._rows(rows.orderBy(*dedup.REPORT[tier][0]).offset((number - 1) * size).limit(size)) for tier, rows in found.items()}
             if path == "/api/browse":
                 return 200, self._rows(self.catalog.browse(**page))
             if path == "/api/files":
@@ -88,6 +100,8 @@ def server(catalog: Catalog, host: str, port: int) -> ThreadingHTTPServer:
             except ValueError:
                 body = {}
             status, value = service.handle(method, self.path, body)
+            if isinstance(value, Path):
+                return self._file(value)
             data = json.dumps(value, default=str).encode()
             self.send_response(status)
             self.send_header("Content-Type", "application/json")
@@ -95,6 +109,15 @@ def server(catalog: Catalog, host: str, port: int) -> ThreadingHTTPServer:
             self.end_headers()
             self.wfile.write(data)
 
+        def _file(self, path: Path) -> None:
+            """The bytes of a media file, a piece at a time."""
+            with path.open("rb") as file:
+                self.send_response(200)
+                self.send_header("Content-Type", mimetypes.guess_type(path.name)[0] or "application/octet-stream")
+                self.send_header("Content-Length", str(os.fstat(file.fileno()).st_size))
+                self.end_headers()
+                shutil.copyfileobj(file, self.wfile)
+
         def _stream(self) -> None:
             """Progress as server-sent events, every two seconds until nothing runs."""
             self.send_response(200)

@@ -55,3 +55,8 @@ def catalog_stats(media: DataFrame, files: DataFrame, jobs: DataFrame, models: D
     for c in counts:
         out = out.union(c)
     return out
+
+
+def files_by(files: DataFrame, column: str, value: str) -> DataFrame:
+    """The rows of the files table with a hash or a path, whatever their status: a filter that reaches the scan."""
+    return files.where(F.col(column) == value)

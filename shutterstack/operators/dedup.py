@@ -109,7 +109,7 @@ def duplicates(tier: str, files: DataFrame, media: DataFrame, threshold: float =
 
 
 #: By tier: the order of a report's rows, and the totals of its first line.
-_REPORT = {
+REPORT = {
     "exact": (("file_hash",), "count(*) || ' sets, ' || sum(n - 1) || ' extra files'"),
     "visual": (("cluster_id", "id"), "count(distinct cluster_id) || ' clusters, ' || count(*) || ' items'"),
     "cross-video": (("video_a", "video_b"), "count(*) || ' pairs'"),
@@ -118,7 +118,7 @@ _REPORT = {
 
 def report_lines(tier: str, result: DataFrame) -> Iterator[str]:
     """All rows of a tier's result as lines of text in a fixed order, after their totals; the driver holds one partition at a time."""
-    order, totals = _REPORT[tier]
+    order, totals = REPORT[tier]
     rows = result.orderBy(*order).persist()
     try:
         n, total = rows.agg(F.count("*"), F.expr(totals)).first()

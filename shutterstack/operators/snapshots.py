@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterstack.functions.text import folded
-from shutterstack.session import broadcast_if_small
+from shutterstack.session import broadcast_if_small, checkpointed
 
 
 def canonical_hash(columns: Sequence[Column]) -> Column:
@@ -28,23 +28,25 @@ def snapshot_changes(
 
     Consecutive means consecutive among the snapshots present; gaps in the numbers don't matter, and the
     first snapshot is compared with nothing. Within a snapshot the row with the greatest ``version`` stands
-    for its key; rows that tie on it are told apart by the greatest compared values, so the result never
+    for its key; rows that tie on it are told apart by the greatest hash of their compared values, so the result never
     depends on row order. Keys compare exactly (a blank key is a key), compared values trimmed and without
     regard to case, and a null equals only null. Rows with a null key or snapshot are left out. Other
     columns are never read. An empty table, or one with a single snapshot, gives an empty result.
 
-    Plan: repeated rows collapse in a partial aggregate, then one full outer join on (snapshot, key)
+    Plan: the table is read once; repeated rows collapse in a partial aggregate, which is written down, then one full outer join on (snapshot, key)
     compares row hashes; a missing side is an addition or a removal. Both join keys shuffle, so no
     single path or snapshot ends in one task.
     """
     canonical = [folded(F.col(c).cast("string")) for c in compared]
-    rows = (
-        table.where(F.col(key).isNotNull() & F.col(snapshot).isNotNull())
+    rows = checkpointed(
+        table.where(F.col(snapshot).isNotNull())
         .select(F.col(snapshot).alias("_no"), F.col(key).alias("_key"), F.struct(F.col(version).alias("v"), canonical_hash(canonical).alias("h")).alias("_row"))
         .groupBy("_no", "_key")
         .agg(F.max("_row")["h"].alias("_hash"))
     )
-    numbers = table.where(F.col(snapshot).isNotNull()).select(F.col(snapshot).alias("_no")).distinct()
+    # a snapshot was delivered even if all its rows lack a key
+    numbers = rows.select("_no").distinct()
+    rows = rows.where("_key is not null")
     following = numbers.withColumn("_next", F.lead("_no").over(Window.orderBy("_no")))
     follows = broadcast_if_small(following.where("_next is not null"))
     before = rows.join(follows, "_no").select(F.col("_next").alias("_no"), "_key", F.col("_hash").alias("_before"))

@@ -260,6 +260,18 @@ def _(spark, folder):
     return domain.files(spark, folder).where("status = 'active'").select("file_hash", "file_path")
 
 
+@query("files_by_hash", "SELECT file_path, status FROM f0 WHERE file_hash = (SELECT min(file_hash) FROM f0)")
+def _(spark, folder):
+    rows = domain.files(spark, folder)
+    return browse.files_by(rows, "file_hash", rows.agg(F.min("file_hash")).first()[0]).select("file_path", "status")
+
+
+@query("files_by_path", "SELECT file_hash, status FROM f0 WHERE file_path = (SELECT max(file_path) FROM f0)")
+def _(spark, folder):
+    rows = domain.files(spark, folder)
+    return browse.files_by(rows, "file_path", rows.agg(F.max("file_path")).first()[0]).select("file_hash", "status")
+
+
 @query("files_count", "SELECT count(*) AS n FROM f0 WHERE status = 'active'")
 def _(spark, folder):
     return domain.files(spark, folder).where("status = 'active'").agg(F.count("*").alias("n"))
@@ -451,14 +463,17 @@ def _(spark, folder):
     return frames.interval_frames(_videos(spark, folder).withColumn("fps", F.col("fps").cast("double"))).select("video", F.col("k").cast("long").alias("k"), "frame", "timestamp_sec")
 
 
-@query("frame_timestamp", """SELECT id, CASE WHEN pts IS NOT NULL AND fps > 0 THEN CAST(floor(pts / fps * 1000) AS BIGINT) WHEN pts IS NOT NULL THEN pts WHEN total > 1 AND duration_ms IS NOT NULL THEN CAST(floor(duration_ms * idx / (total - 1)) AS BIGINT) ELSE 0 END AS ts_ms FROM (
-  SELECT id, try_cast(regexp_extract(name, '(?:^|/)frame_(\\d+)\\.[^./]*$', 1) AS BIGINT) AS pts, coalesce(frame_index, 0) AS idx, 10 AS total, CASE WHEN frame_index % 3 = 0 THEN 25.0::DOUBLE END AS fps, 90000 AS duration_ms FROM (
-    SELECT *, CASE WHEN frame_index % 2 = 0 THEN file_path ELSE '/frames/still.jpg' END AS name FROM cur WHERE media_type = 'video_frame'))""")
+@query("frame_timestamp", """SELECT id, CASE WHEN pts IS NOT NULL AND fps > 0 THEN CAST(floor(pts / CAST(fps AS DOUBLE) * 1000) AS BIGINT) WHEN pts IS NOT NULL THEN pts WHEN total > 1 AND duration_ms IS NOT NULL THEN CAST(floor(duration_ms * idx / (total - 1)) AS BIGINT) ELSE 0 END AS ts_ms FROM (
+  SELECT f.id, try_cast(regexp_extract(name, '(?:^|/)frame_(\\d+)\\.[^./]*$', 1) AS BIGINT) AS pts, coalesce(f.frame_index, 0) AS idx, count(*) OVER (PARTITION BY f.source_video_path) AS total, m.fps, m.duration_ms FROM (
+    SELECT *, CASE WHEN frame_index % 2 = 0 THEN file_path ELSE '/frames/still.jpg' END AS name, {h} AS h FROM cur WHERE media_type = 'video_frame') f LEFT JOIN meta m ON m.file_hash = f.h)""".replace("{h}", f"lower(trim(file_hash, {SPACE_SQL}))"))
 def _(spark, folder):
-    rows = domain.media(spark, folder, "media_type", "frame_index", "file_path").where("media_type = 'video_frame'")
+    """Times of all frames, by the rate and duration of their videos where those are known; every other name has no number."""
+    rows = domain.media(spark, folder, "media_type", "frame_index", "file_path", "file_hash", "source_video_path").where("media_type = 'video_frame'")
+    totals = rows.groupBy(F.col("source_video_path").alias("_video")).agg(F.count("*").alias("total"))
+    known = domain.metadata(spark, folder).select(F.col("file_hash").alias("_hash"), "fps", "duration_ms")
+    both = rows.join(totals, F.col("source_video_path").eqNullSafe(F.col("_video"))).join(known, folded("file_hash") == F.col("_hash"), "left")
     name = F.when(F.col("frame_index") % 2 == 0, F.col("file_path")).otherwise("/frames/still.jpg")
-    fps = F.when(F.col("frame_index") % 3 == 0, 25.0)
-    return rows.select("id", rules.frame_time(name, F.coalesce("frame_index", F.lit(0)), F.lit(10), fps, F.lit(90000)).alias("ts_ms"))
+    return both.select("id", rules.frame_time(name, F.coalesce("frame_index", F.lit(0)), F.col("total"), F.col("fps"), F.col("duration_ms")).alias("ts_ms"))
 
 
 _FOLD_SQL = """, fold(video, r, id, frame_index, kept, last) AS (
@@ -486,28 +501,13 @@ def _(spark, folder):
     return frames.parse_frame_name(rows.select(F.when(F.col("frame_index") % 2 == 0, made).otherwise(F.col("file_path")).alias("file_path"))).drop("name")
 
 
-@query("metadata_ffprobe", """SELECT file_hash, width, height, codec, round(CASE WHEN width % 3 = 0 THEN NULL WHEN width % 3 = 1 THEN 24.0 ELSE 30000.0 / 1001 END, 4) AS fps, CAST(floor(duration_ms / 1000.0 * 1000) AS BIGINT) AS duration_ms, bitrate_kbps
-  FROM meta WHERE media_type = 'video' AND width IS NOT NULL AND height IS NOT NULL AND codec IS NOT NULL AND bitrate_kbps IS NOT NULL AND duration_ms IS NOT NULL AND duration_ms % 1000 = 0
-  UNION ALL SELECT file_hash, NULL, NULL, NULL, NULL, NULL, NULL FROM meta WHERE media_type = 'image'""")
-def _(spark, folder):
-    m = _meta_kind(spark, folder)
-    rate = F.when(F.col("width") % 3 == 0, "0/0").when(F.col("width") % 3 == 1, "24").otherwise("30000/1001")
-    video = F.concat(
-        F.lit('{"streams":[{"codec_type":"audio","codec_name":"aac"},{"codec_type":"video","codec_name":"'), F.col("codec"), F.lit('","width":'), F.col("width"), F.lit(',"height":'), F.col("height"), F.lit(',"extra":[1],"r_frame_rate":"'),
-        rate, F.lit('"}],"format":{"duration":"'), (F.col("duration_ms") / 1000).cast("long"), F.lit('.000","bit_rate":"'), F.col("bitrate_kbps"), F.lit('999"}}'),
-    )
-    whole = "media_type = 'video' and width is not null and height is not null and codec is not null and bitrate_kbps is not null and duration_ms % 1000 = 0"
-    rows = m.where(whole).select("file_hash", video.alias("json")).unionByName(m.where("media_type = 'image'").select("file_hash", F.lit('{"streams":[],"format":{}}').alias("json")))
-    return rows.select("file_hash", rules.probe_fields(F.col("json")).alias("p")).select("file_hash", "p.width", "p.height", "p.codec", _r(F.col("p.fps").cast("double"), 4).alias("fps"), "p.duration_ms", "p.bitrate_kbps")
-
-
 def _meta_kind(spark, folder):
     kinds = domain.media(spark, folder, "media_type", "file_hash", "updated_at").where("media_type <> 'video_frame'")
     best = kinds.groupBy(folded("file_hash").alias("file_hash")).agg(F.max(F.struct("updated_at", "id", "media_type"))["media_type"].alias("media_type"))
     return domain.metadata(spark, folder).join(best, "file_hash")
 
 
-@query("metadata_ffprobe_all", """SELECT file_hash, width, height, codec, round(CASE WHEN width % 3 = 0 THEN NULL WHEN width % 3 = 1 THEN 24.0 ELSE 30000.0 / 1001 END, 4) AS fps, CAST(floor(CAST(duration_ms AS DOUBLE) / 1000 * 1000) AS BIGINT) AS duration_ms, bitrate_kbps FROM meta WHERE media_type = 'video'
+@query("metadata_ffprobe", """SELECT file_hash, width, height, codec, round(CASE WHEN width % 3 = 0 THEN NULL WHEN width % 3 = 1 THEN 24.0 ELSE 30000.0 / 1001 END, 4) AS fps, CAST(floor(CAST(duration_ms AS DOUBLE) / 1000 * 1000) AS BIGINT) AS duration_ms, bitrate_kbps FROM meta WHERE media_type = 'video'
   UNION ALL SELECT file_hash, NULL, NULL, NULL, NULL, NULL, NULL FROM meta WHERE media_type = 'image'""")
 def _(spark, folder):
     """Every video, whatever its duration; a null field isn't in its JSON at all."""
@@ -521,10 +521,14 @@ def _(spark, folder):
     return rows.select("file_hash", rules.probe_fields(F.col("json")).alias("p")).select("file_hash", "p.width", "p.height", "p.codec", _r(F.col("p.fps").cast("double"), 4).alias("fps"), "p.duration_ms", "p.bitrate_kbps")
 
 
-@query("metadata_exif_struct", "SELECT file_hash, coalesce(exif_camera_make, exif_camera_model, exif_date_taken, CAST(exif_gps_lat AS VARCHAR)) IS NOT NULL AS has_exif, exif_camera_make AS camera_make FROM meta")
+_EXIF = ("camera_make", "camera_model", "date_taken", "gps_lat", "gps_lon", "focal_length_mm", "iso", "orientation")
+_THERE = "coalesce(exif_camera_make, exif_camera_model, exif_date_taken, CAST(exif_gps_lat AS VARCHAR)) IS NOT NULL"
+
+
+@query("metadata_exif_struct", f"SELECT file_hash, {_THERE} AS has_exif, " + ", ".join(f"CASE WHEN {_THERE} THEN exif_{c} END AS {c}" for c in _EXIF) + " FROM meta")
 def _(spark, folder):
     rows = catalog.exif_struct(domain.metadata(spark, folder))
-    return rows.select("file_hash", F.col("exif").isNotNull().alias("has_exif"), F.col("exif.camera_make").alias("camera_make"))
+    return rows.select("file_hash", F.col("exif").isNotNull().alias("has_exif"), *(F.col(f"exif.{c}").alias(c) for c in _EXIF))
 
 
 @query("metadata_upsert", "SELECT file_hash, CASE WHEN width > 2000 THEN 1 ELSE width END AS width FROM meta UNION ALL SELECT 'x' || file_hash, 1 FROM meta WHERE width > 2000")
@@ -534,10 +538,13 @@ def _(spark, folder):
     return catalog.upsert(base, wide.unionByName(wide.withColumn("file_hash", F.concat(F.lit("x"), "file_hash"))), "file_hash")
 
 
-@query("catalog_with_metadata", f"SELECT c.id, coalesce(c.width, m.width) AS width, coalesce(c.codec, m.codec) AS codec FROM (SELECT *, lower(trim(file_hash, {SPACE_SQL})) AS h FROM cur) c LEFT JOIN meta m ON m.file_hash = c.h")
+_META = ("width", "height", "duration_ms", "fps", "codec", "bitrate_kbps", *(f"exif_{c}" for c in _EXIF))
+
+
+@query("catalog_with_metadata", "SELECT c.id, " + ", ".join(f"coalesce(c.{c}, m.{c}) AS {c}" for c in _META) + f" FROM (SELECT *, lower(trim(file_hash, {SPACE_SQL})) AS h FROM cur) c LEFT JOIN meta m ON m.file_hash = c.h")
 def _(spark, folder):
-    rows = domain.media(spark, folder, "file_hash", "width", "codec").select("id", folded("file_hash").alias("file_hash"), "width", "codec")
-    return catalog.with_metadata(rows, domain.metadata(spark, folder)).select("id", "width", "codec")
+    rows = domain.media(spark, folder, "file_hash", *_META).select("id", folded("file_hash").alias("file_hash"), *_META)
+    return catalog.with_metadata(rows, domain.metadata(spark, folder)).select("id", *_META)
 
 
 @query("gps_decimal", """SELECT file_hash, round(CASE WHEN lat < 0 THEN -1 ELSE 1 END * (d + m / 60.0::DOUBLE + ((x - d) * 60 - m) * 60 / 3600.0::DOUBLE), 8) AS lat FROM (

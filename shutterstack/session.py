@@ -26,6 +26,8 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoints that nothing refers to any more are deleted
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     return SparkSession.builder.master(f"local[{cpus}]").appName("shutterstack").config(map=settings).getOrCreate()
 

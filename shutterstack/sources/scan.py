@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import struct
 import subprocess
@@ -45,6 +46,22 @@ def _walk(folder: str) -> Iterator[tuple[str, int, float]]:
                 continue
 
 
+#: Files of a listing held at once, and the folders from which on the rest of a tree is walked in parallel.
+LISTED, FOLDERS = 10_000, 512
+
+
+def _tops(root: str) -> list[str]:
+    """Folders and files that together hold the tree below ``root``: its levels are opened until there are enough folders for many tasks."""
+    files, folders = [], [root]
+    while folders and len(folders) < FOLDERS and len(files) < LISTED:
+        below = []
+        for folder in folders:
+            for e in os.scandir(folder):
+                (below if e.is_dir(follow_symlinks=False) else files).append(e.path)
+        folders = below
+    return sorted(files + folders)
+
+
 def sha256_of(path: str) -> str:
     digest = hashlib.sha256()
     with open(path, "rb") as file:
@@ -56,20 +73,22 @@ def sha256_of(path: str) -> str:
 def list_files(spark: SparkSession, root: str, slices: int = 64) -> DataFrame:
     """Rows ``(file_path, file_size, file_modified)`` of the media files below ``root``, hidden and empty ones included.
 
-    The first level is listed on the driver, the folders below it are walked in parallel. ``root`` has to be visible to all executors.
+    The driver lists the first levels, until it has some hundred folders or some thousand files; the rest is walked in parallel. ``root`` has to be visible to all executors.
     """
     if not os.path.isdir(root):
         raise NotFoundError(root)
     ship_package(spark)
     wanted = frozenset(IMAGE_EXTENSIONS + VIDEO_EXTENSIONS)
-    top = sorted(e.path for e in os.scandir(root))
+    top = _tops(root)
 
     def walked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
-                found = list(_walk(path)) if os.path.isdir(path) else [(path, os.path.getsize(path), os.path.getmtime(path))] if os.path.isfile(path) else []
-                rows = [(p, n, pd.Timestamp(t, unit="s", tz="UTC").strftime("%Y-%m-%dT%H:%M:%SZ")) for p, n, t in found if Path(p).suffix.lower().lstrip(".") in wanted]
-                yield pd.DataFrame(rows, columns=["file_path", "file_size", "file_modified"])
+                found = _walk(path) if os.path.isdir(path) else [(path, os.path.getsize(path), os.path.getmtime(path))] if os.path.isfile(path) else []
+                rows = ((p, n, pd.Timestamp(t, unit="s", tz="UTC").strftime("%Y-%m-%dT%H:%M:%SZ")) for p, n, t in found if Path(p).suffix.lower().lstrip(".") in wanted)
+                # a folder of any size is passed on in pieces
+                while piece := list(itertools.islice(rows, LISTED)):
+                    yield pd.DataFrame(piece, columns=["file_path", "file_size", "file_modified"])
 
     schema = "file_path string, file_size long, file_modified string"
     if not top:

@@ -22,7 +22,7 @@ def watch(spark: SparkSession, folder: str, schema: StructType, files_per_batch:
 
 
 def ingest(stream: DataFrame, table: Table, checkpoint: str) -> StreamingQuery:
-    """Merge what has arrived into ``table`` by key and stop. The last row of a key in a batch is its greatest ``updated_at``, if there is one.
+    """Merge what has arrived into ``table`` by key and stop. Of the rows of a key that of the greatest ``updated_at`` counts, if there is one, be it in the batch or in the table.
 
     A batch that is run again after a failure gives the same table.
     """
@@ -31,7 +31,13 @@ def ingest(stream: DataFrame, table: Table, checkpoint: str) -> StreamingQuery:
         others = [c for c in batch.columns if c not in (table.key, order)]
         row = F.max(F.struct(F.col(order).alias("_at"), *others)).alias("r")
         last = batch.groupBy(table.key).agg(row).select(table.key, *(F.col("r")[c].alias(c) for c in others), *([] if order == table.key else [F.col("r._at").alias(order)]))
-        table.upsert(last.select(*batch.columns))
+        last = last.select(*batch.columns)
+        if order != table.key:
+            # a row that comes later but is older than the stored one changes nothing
+            stored = table.read().select(F.col(table.key).alias("_key"), F.col(order).alias("_stored"))
+            kept = last.join(stored, last[table.key] == F.col("_key"), "left").where(F.col("_stored").isNull() | (F.col(order) >= F.col("_stored")))
+            last = kept.select(*batch.columns)
+        table.upsert(last)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -92,6 +92,20 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame(values, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         ingest(watch(spark, str(tmp_path / "in"), schema), table, str(tmp_path / "check")).awaitTermination(60)
     assert {r["key"]: r["value"] for r in table.read().collect()} == {"a": "2", "b": "1"}
+    # a row that is older than the stored one comes late
+    spark.createDataFrame([("a", "late", "1"), ("b", "3", "3")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ingest(watch(spark, str(tmp_path / "in"), schema), table, str(tmp_path / "check")).awaitTermination(60)
+    assert {r["key"]: r["value"] for r in table.read().collect()} == {"a": "2", "b": "3"}
+
+
+def test_tables_by_their_address_and_old_versions(spark, tmp_path):
+    """A folder with a scheme goes through the file system of that scheme; of many versions the newest stay."""
+    (tmp_path / "u").mkdir()
+    for folder in (f"file://{tmp_path}/u", str(tmp_path / "u")):
+        table = Table(spark, folder, schemas.CONFIG, "key")
+        for i in range(6):
+            table.upsert(spark.createDataFrame([("a", str(i), "t")], schemas.CONFIG))
+        assert table.read().first()["value"] == "5" and len([p for p in (tmp_path / "u").iterdir() if p.name.startswith("v-")]) == 4
 
 
 def test_stateful_fold(spark, tmp_path):

@@ -10,8 +10,8 @@ from shutterstack.plans import catalogue
 def test_every_video_is_probed(spark, sample, size):
     folder = sample.replace("sf0.001", size)
     con = connect(folder)
-    columns, rows = rows_of(catalogue.QUERIES["metadata_ffprobe_all"](spark, folder))
-    assert (columns, rows) == rows_of_sql(con, catalogue.SQL["metadata_ffprobe_all"])
+    columns, rows = rows_of(catalogue.QUERIES["metadata_ffprobe"](spark, folder))
+    assert (columns, rows) == rows_of_sql(con, catalogue.SQL["metadata_ffprobe"])
     videos, whole = con.execute(catalogue.BASE + "SELECT count(*), count(*) FILTER (duration_ms % 1000 = 0) FROM meta WHERE media_type = 'video'").fetchone()
     at = columns.index("duration_ms")
     missing = con.execute(catalogue.BASE + "SELECT count(*) FROM meta WHERE media_type = 'video' AND duration_ms IS NULL").fetchone()[0]
