@@ -26,6 +26,8 @@ class RobustGraph:
         n = self.n = len(vectors)
         self.degree, self.room, self.keep, self.width, self.step, self.factor = degree, room, keep, width, step, alpha * alpha
         self.flat = np.int32 if step * n < 2**31 else np.int64
+        # which points the searches of a batch have met: cleared where it was set, not as a whole
+        self.seen = np.zeros(step * n, bool)
         self.edges, self.count = np.full((n, room), -1, np.int32), np.zeros(n, np.int32)
         self.near, self.far = np.full((n, keep), -1, np.int32), np.full((n, keep), np.inf, np.float32)
         order = np.random.default_rng(0).permutation(n).astype(np.int32)
@@ -130,9 +132,10 @@ class RobustGraph:
             take = min(beam - 1, self.keep)
             ids[:, 0], dist[:, 0] = own, 0
             ids[:, 1 : take + 1], dist[:, 1 : take + 1] = self.near[own, :take], self.far[own, :take]
-        seen = np.zeros(m * self.n, bool)
         row, slot = np.nonzero(ids >= 0)
-        seen[row * self.n + ids[row, slot]] = True
+        met = [row * self.n + ids[row, slot]]
+        seen = self.seen
+        seen[met[0]] = True
         order = np.argsort(dist, axis=1)
         ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
         done, place, width = ~np.isfinite(dist), live.copy(), min(self.width, beam)
@@ -144,12 +147,14 @@ class RobustGraph:
                 out_ids[live[stopped]], out_dist[live[stopped]] = ids[stopped], dist[stopped]
                 live, ids, dist, done, q = live[go], ids[go], dist[go], done[go], q[go]
                 if not len(live):
+                    for flat in met:
+                        seen[flat] = False
                     return out_ids, out_dist
                 place[live] = np.arange(len(live))
-            pick = np.argsort(done, axis=1, kind="stable")[:, :width]
-            row, slot = np.nonzero(~np.take_along_axis(done, pick, 1))
-            near = self.edges[ids[row, pick[row, slot]]]
-            np.put_along_axis(done, pick, True, 1)
+            todo = ~done
+            row, slot = np.nonzero(todo & (np.cumsum(todo, axis=1, dtype=np.int16) <= width))
+            near = self.edges[ids[row, slot]]
+            done[row, slot] = True
             flat = (live[row].astype(self.flat) * self.flat(self.n))[:, None] + near
             flat = flat[near >= 0]
             flat = np.sort(flat[~seen[flat]])
@@ -157,6 +162,7 @@ class RobustGraph:
                 continue
             flat = flat[np.concatenate([[True], flat[1:] != flat[:-1]])]
             seen[flat] = True
+            met.append(flat)
             at, target = np.divmod(flat, self.flat(self.n))
             row = place[at]
             d = 1 - np.einsum("kd,kd->k", self.x[target], q[row])
