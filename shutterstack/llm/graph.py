@@ -165,7 +165,7 @@ class RobustGraph:
             met.append(flat)
             at, target = np.divmod(flat, self.flat(self.n))
             row = place[at]
-            d = 1 - np.einsum("kd,kd->k", self.x[target], q[row])
+            d = 1 - np.einsum("kd,kd->k", self.x.take(target, axis=0), np.repeat(q, np.bincount(row, minlength=len(live)), axis=0))
             worth = d < dist[row, -1]
             row, target, d = row[worth], target[worth], d[worth]
             if not len(row):
@@ -177,6 +177,8 @@ class RobustGraph:
             new_ids[row, column], new_dist[row, column] = target, d
             dist = np.concatenate([dist, new_dist], axis=1)
             order = np.argsort(dist, axis=1)[:, :beam]
-            dist = np.take_along_axis(dist, order, 1)
-            ids = np.take_along_axis(np.concatenate([ids, new_ids], axis=1), order, 1)
-            done = np.take_along_axis(np.concatenate([done, np.zeros(more, bool)], axis=1), order, 1) | ~np.isfinite(dist)
+            # an id and whether it is done move as one number
+            both = np.concatenate([ids * 2 + done, new_ids * 2], axis=1)
+            order += np.arange(len(live))[:, None] * both.shape[1]
+            dist, both = dist.take(order), both.take(order)
+            ids, done = both >> 1, (both & 1).astype(bool) | ~np.isfinite(dist)
