@@ -45,6 +45,14 @@ def normalised(a: Column) -> Column:
     return F.when(n < LEAST_NORM, doubles(a)).otherwise(F.transform(doubles(a), lambda x: x / n))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """A double to ``digits`` places, halves of the scaled number away from zero. Unlike ``round`` it goes by the binary number, not its decimal form, and what rounds to zero keeps its sign."""
+    scaled = x * 10.0**digits
+    even = F.rint(scaled)
+    whole = F.when(F.abs(scaled - even) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(even)
+    return F.when(F.abs(scaled) < float("inf"), whole / 10.0**digits).otherwise(x)
+
+
 def cosine_similarity(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 

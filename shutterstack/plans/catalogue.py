@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shutterstack.functions import media as rules
 from shutterstack.functions.text import folded
-from shutterstack.functions.vectors import dot, literal, norm, normalised
+from shutterstack.functions.vectors import dot, literal, norm, normalised, rounded
 from shutterstack.operators import browse, catalog, changes, dedup, frames, jobs, search, transcode
 from shutterstack.operators.knn import fit_centroids, ivf_assign, ivf_join, ivf_search, knn
 from shutterstack.plans import domain
@@ -165,7 +165,7 @@ def _(spark, folder):
 @query("vec_normalize", "SELECT vec_id AS id, round(sqrt(list_inner_product(s, s)), 6) AS norm_before, list_transform(s, lambda x: round(x / CASE WHEN vec_id % 5 = 0 THEN 1 ELSE sqrt(list_inner_product(s, s)) END, 6)) AS unit FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * (vec_id % 5)) AS s FROM embeddings)")
 def _(spark, folder):
     rows = read_table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 5)).alias("s"))
-    return rows.select("id", _r(norm(F.col("s"))).alias("norm_before"), F.transform(normalised(F.col("s")), lambda x: F.round(x, 6)).alias("unit"))
+    return rows.select("id", rounded(norm(F.col("s")), 6).alias("norm_before"), F.transform(normalised(F.col("s")), lambda x: rounded(x, 6)).alias("unit"))
 
 
 @query("vec_cosine", "SELECT e.vec_id AS id, round(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[])), 6) AS cos FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) o")
