@@ -217,9 +217,10 @@ def _(spark, folder):
 @query("reembed_merge", f"""SELECT id, CASE WHEN w IS NOT NULL THEN 'new-model' ELSE model_id END AS model_id, CASE WHEN w IS NOT NULL THEN list_transform(w, lambda x: round(x, 4)) END AS embedding, CASE WHEN w IS NOT NULL THEN '2' ELSE model_version END AS model_version, CASE WHEN w IS NOT NULL THEN '2025-01-01T00:00:00Z' ELSE updated_at END AS updated_at
   FROM cur LEFT JOIN (SELECT file_hash, max(list_transform(v, lambda x: x * 2)) AS w FROM vec WHERE media_type = 'image' GROUP BY 1) n USING (file_hash)""")
 def _(spark, folder):
-    new = domain.vectors(spark, folder, "media_type", "file_hash").where("media_type = 'image'").select("file_hash", F.transform("embedding", lambda x: x.cast("double") * 2).alias("vector"))
+    # + 0.0 makes -0.0 zero, as the SQL's maximum of lists does
+    new = domain.vectors(spark, folder, "media_type", "file_hash").where("media_type = 'image'").select("file_hash", F.transform("embedding", lambda x: x.cast("double") * 2 + 0.0).alias("vector"))
     rows = catalog.reembedded(domain.media(spark, folder, "file_hash", "embedding", "model_id", "model_version", "updated_at").select("id", "file_hash", "embedding", "model_id", "model_version", "updated_at"), new, "new-model", "2", "2025-01-01T00:00:00Z")
-    return rows.select("id", "model_id", F.when(F.col("model_id") == "new-model", F.transform("embedding", lambda x: F.round(x.cast("double"), 4))).alias("embedding"), "model_version", "updated_at")
+    return rows.select("id", "model_id", F.when(F.col("model_id") == "new-model", F.transform("embedding", lambda x: rounded(x.cast("double"), 4))).alias("embedding"), "model_version", "updated_at")
 
 
 @query("content_hash", "SELECT doc_id, sha256(text) AS file_hash FROM documents")

@@ -44,3 +44,11 @@ def test_vec_normalize(spark, sample, tmp_path):
     expected = {r[0]: bits(r[1:]) for r in con.execute(f"SELECT id, norm_before, unit FROM ({sql})").fetchall()}
     got = {r["id"]: bits((r["norm_before"], r["unit"])) for r in catalogue.QUERIES["vec_normalize"](spark, str(tmp_path)).collect()}
     assert got == expected
+
+
+def test_reembed_merge(spark, sample, tmp_path):
+    same_bits(spark, sample, "reembed_merge")
+    odd = "list_transform(embedding, lambda x, i: CASE i WHEN 1 THEN -4e-6::FLOAT WHEN 2 THEN '-0.0'::FLOAT WHEN 3 THEN 1 / 64 ELSE x END)"
+    duckdb.connect().execute(f"COPY (SELECT * REPLACE ({odd} AS embedding) FROM '{sample}/media.parquet') TO '{tmp_path}/media.parquet'")
+    vectors = [r[2][:3] for r in same_bits(spark, str(tmp_path), "reembed_merge") if r[2]]
+    assert vectors and set(vectors) == {bits((-0.0, 0.0, 0.0313))}
